@@ -44,24 +44,27 @@ def rows_at_positions(
 ) -> DataFrame:
     """Pick rows by their 0-based rank within a group, in order of the whole number ``order``.
 
-    ``wanted`` has the keys and a ``position``. Only the spans that hold a wanted rank are
-    ranked row by row.
+    ``wanted`` has the keys and a ``position``; its size must be bounded by the caller, since
+    it is broadcast. Only the spans that hold a wanted rank are ranked row by row.
     """
     marked = df.withColumn("_span", F.floor(F.col(order) / span).cast("long"))
-    sizes = marked.join(wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys, "_span").count()
+    groups = F.broadcast(wanted.select(*keys).distinct())
+    sizes = marked.join(groups, keys, "left_semi").groupBy(*keys, "_span").count()
     over_spans = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_first", F.coalesce(F.sum("count").over(over_spans), F.lit(0)))
     hits = (
-        wanted.join(starts, keys)
+        F.broadcast(wanted)
+        .join(starts, keys)
         .filter((F.col("position") >= F.col("_first")) & (F.col("position") < F.col("_first") + F.col("count")))
         .select(*keys, "_span", "_first", "position")
     )
     inside = Window.partitionBy(*keys, "_span").orderBy(order)
-    ranked = marked.join(hits.select(*keys, "_span").distinct(), [*keys, "_span"], "left_semi").withColumn(
+    spans_hit = F.broadcast(hits.select(*keys, "_span").distinct())
+    ranked = marked.join(spans_hit, [*keys, "_span"], "left_semi").withColumn(
         "_rank", F.row_number().over(inside) - 1
     )
     return (
-        ranked.join(hits, [*keys, "_span"])
+        ranked.join(F.broadcast(hits), [*keys, "_span"])
         .filter(F.col("_first") + F.col("_rank") == F.col("position"))
         .drop("_span", "_first", "_rank")
     )

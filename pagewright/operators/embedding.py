@@ -156,21 +156,34 @@ def validate_vectors(df: DataFrame, stored_dimension: int | None = None) -> tupl
     )
 
 
-def dimension_check(df: DataFrame, group: list[str], stored_dimension: int | None = None) -> DataFrame:
-    """One row per group of new vectors: the range of lengths and the resulting error."""
-    spans = df.groupBy(*group).agg(
+def document_vector_errors(vectors: DataFrame, stored_dimension: int | None = None) -> DataFrame:
+    """One row per document of new vectors: their length and the error, null if none.
+
+    Without a stored dimension, the first sound document by id sets it.
+    """
+    finite = vx.is_finite_vector(F.col("embedding"))
+    spans = vectors.groupBy("document_fingerprint").agg(
         F.count("*").alias("vectors"),
-        F.min(F.size("embedding")).alias("min_dimension"),
-        F.max(F.size("embedding")).alias("max_dimension"),
-    )
-    error = F.when(
-        F.col("min_dimension") != F.col("max_dimension"), F.lit("INDEX_EMBEDDING_DIMENSION_MISMATCH")
+        F.count_if(~finite).alias("invalid_vectors"),
+        F.min(F.when(finite, F.size("embedding"))).alias("dimension"),
+        F.max(F.when(finite, F.size("embedding"))).alias("max_dimension"),
     )
-    if stored_dimension is not None:
-        error = error.when(
-            F.col("min_dimension") != stored_dimension, F.lit("INDEX_EMBEDDING_DIMENSION_CONFLICT")
+    sound = (F.col("invalid_vectors") == 0) & (F.col("dimension") == F.col("max_dimension"))
+    if stored_dimension is None:
+        first = spans.agg(
+            F.min_by("dimension", F.when(sound, F.col("document_fingerprint"))).alias("_expected")
         )
-    return spans.withColumn("error_code", error)
+        spans = spans.withColumn("_one", F.lit(1)).join(
+            F.broadcast(first.withColumn("_one", F.lit(1))), "_one"
+        ).drop("_one")
+    else:
+        spans = spans.withColumn("_expected", F.lit(stored_dimension))
+    return spans.withColumn(
+        "error_code",
+        F.when(F.col("invalid_vectors") > 0, F.lit("EMBEDDING_INVALID_VALUE"))
+        .when(F.col("dimension") != F.col("max_dimension"), F.lit("INDEX_EMBEDDING_DIMENSION_MISMATCH"))
+        .when(F.col("dimension") != F.col("_expected"), F.lit("INDEX_EMBEDDING_DIMENSION_CONFLICT")),
+    ).drop("_expected")
 
 
 def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
