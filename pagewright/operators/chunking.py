@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pagewright.config import EngineConfig
 from pagewright.functions import text as tx
-from pagewright.operators.units import normalize_pages, with_units
+from pagewright.operators.units import normalize_pages, unit_array, with_units
 from pagewright.schemas import CHUNK_COLUMNS
 
 SPAN = "struct<b:int,bu:int,e:int,eu:int>"
@@ -109,11 +109,15 @@ def _chunk_bodies(units: Column, spans: Column, overlap: int) -> Column:
     return F.transform(spans, body)
 
 
-def _pack_gathered(units: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Chunks of documents short enough to gather: one shuffle on the document."""
-    gathered = units.groupBy("document_id").agg(
+def _pack_gathered(pages: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Chunks of documents short enough to gather: one shuffle on the document.
+
+    Raw texts are shuffled, which are smaller than units and leave the work of cutting them
+    to the evenly hashed side.
+    """
+    gathered = pages.groupBy("document_id").agg(
         F.min("filename").alias("filename"),
-        F.array_sort(F.collect_list(F.struct("page_number", "units"))).alias("pages"),
+        F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("pages"),
     )
     flat = gathered.select(
         "document_id",
@@ -123,7 +127,7 @@ def _pack_gathered(units: DataFrame, cfg: EngineConfig) -> DataFrame:
             F.transform(
                 "pages",
                 lambda p: F.transform(
-                    p["units"],
+                    unit_array(tx.normalize_text(p["text"]), cfg.chunk_size),
                     lambda u: F.struct(
                         u["kind"].alias("kind"),
                         u["n"].alias("n"),
@@ -142,9 +146,13 @@ def _pack_gathered(units: DataFrame, cfg: EngineConfig) -> DataFrame:
         "document_page_count",
         _chunk_bodies(F.col("units"), F.col("spans"), overlap).alias("chunks"),
     )
-    return bodies.select(
-        "document_id", "filename", "document_page_count", F.explode("chunks").alias("c")
-    ).select("document_id", "filename", "document_page_count", "c.*")
+    # A plain explode would make the optimizer infer a filter on the array's size and
+    # compute the whole array a second time for it.
+    return (
+        bodies.select("document_id", "filename", "document_page_count", F.explode_outer("chunks").alias("c"))
+        .filter(F.col("c").isNotNull())
+        .select("document_id", "filename", "document_page_count", "c.*")
+    )
 
 
 def finish(chunks: DataFrame) -> DataFrame:
@@ -185,14 +193,13 @@ def chunk_documents(pages: DataFrame, cfg: EngineConfig) -> DataFrame:
     long_ids = long_document_ids(usable, cfg)
     found = long_ids.limit(cfg.broadcast_documents + 1).count()
     if found == 0:
-        units = with_units(normalize_pages(usable), cfg.chunk_size)
-        return finish(_pack_gathered(units, cfg))
+        return finish(_pack_gathered(usable, cfg))
 
     # A short list of long documents is broadcast; beyond that size the join is left to
     # the planner, whose skew handling splits the long documents' partitions.
     marked = F.broadcast(long_ids) if found <= cfg.broadcast_documents else long_ids
     short = usable.join(marked, "document_id", "left_anti")
     long = usable.join(marked, "document_id")
-    short_chunks = _pack_gathered(with_units(normalize_pages(short), cfg.chunk_size), cfg)
+    short_chunks = _pack_gathered(short, cfg)
     long_chunks = pack_long_documents(with_units(normalize_pages(long), cfg.chunk_size), cfg)
     return finish(short_chunks.unionByName(long_chunks))

@@ -10,12 +10,13 @@ from pagewright.functions import text as tx
 UNIT = "struct<kind:string,n:int,text:string>"
 
 
-def _unit(kind: str, unit_words: Column) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        F.size(unit_words).alias("n"),
-        F.array_join(unit_words, " ").alias("text"),
-    )
+def _unit(kind: str, text: Column, n: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), n.alias("n"), text.alias("text"))
+
+
+def _word_count(text: Column) -> Column:
+    """Words of a stripped, non-empty piece of normalized text: they stand one space apart."""
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
 
 
 def _no_units() -> Column:
@@ -23,26 +24,33 @@ def _no_units() -> Column:
 
 
 def _sentence_units(sentence: Column, target_words: int) -> Column:
-    def cut(w: Column) -> Column:
+    def parts(w: Column) -> Column:
         starts = F.sequence(F.lit(0), F.size(w) - 1, F.lit(target_words))
-        return (
-            F.when(F.size(w) == 0, _no_units())
-            .when(F.size(w) <= target_words, F.array(_unit("sentence", w)))
-            .otherwise(F.transform(starts, lambda i: _unit("word", F.slice(w, i + 1, F.lit(target_words)))))
+        return F.transform(
+            starts,
+            lambda i: tx.let(
+                F.slice(w, i + 1, F.lit(target_words)),
+                lambda part: _unit("word", F.array_join(part, " "), F.size(part)),
+            ),
         )
 
-    return tx.let(tx.words(sentence), cut)
+    return tx.let(
+        _word_count(sentence),
+        lambda n: F.when(n <= target_words, F.array(_unit("sentence", sentence, n))).otherwise(
+            tx.let(F.split(sentence, " ", -1), parts)
+        ),
+    )
 
 
 def _block_units(block: Column, target_words: int) -> Column:
     def paragraph_units(part: Column) -> Column:
         return F.when(part == "", _no_units()).otherwise(
-            F.flatten(F.transform(tx.sentences(part), lambda s: _sentence_units(s, target_words)))
+            F.flatten(F.transform(tx.sentences(part, True), lambda s: _sentence_units(s, target_words)))
         )
 
     def on_lines(rows: Column) -> Column:
         headed = F.concat(
-            F.array(_unit("section", tx.words(rows[0]))),
+            F.array(_unit("section", rows[0], _word_count(rows[0]))),
             paragraph_units(F.array_join(F.slice(rows, F.lit(2), F.size(rows)), " ")),
         )
         plain = paragraph_units(F.array_join(rows, " "))
@@ -78,6 +86,9 @@ def with_units(normalized: DataFrame, target_words: int) -> DataFrame:
 def page_units(pages: DataFrame, target_words: int) -> DataFrame:
     """One row per unit of every page."""
     units = with_units(normalize_pages(pages), target_words)
-    return units.select(
-        "document_id", "page_number", F.posexplode("units").alias("unit_no", "unit")
-    ).select("document_id", "page_number", "unit_no", "unit.kind", "unit.n", "unit.text")
+    # The outer form keeps the optimizer from computing the array twice; see chunking.
+    return (
+        units.select("document_id", "page_number", F.posexplode_outer("units").alias("unit_no", "unit"))
+        .filter(F.col("unit").isNotNull())
+        .select("document_id", "page_number", "unit_no", "unit.kind", "unit.n", "unit.text")
+    )
