@@ -173,8 +173,10 @@ def _by_grid(
 ) -> DataFrame:
     blocks = -(-total // cfg.question_block)
     shards = max(1, -(-corpus.count() // cfg.corpus_shard))
-    spread_q = questions.select("question_id", "embedding").withColumn(
-        "block", F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+    # Renamed, so that questions and chunks may come from one table.
+    asked = questions.select(F.col("question_id").alias("asked_id"), F.col("embedding").alias("asked_vector"))
+    spread_q = asked.withColumn(
+        "block", F.pmod(F.xxhash64("asked_id"), F.lit(blocks))
     ).withColumn("shard", F.explode(_numbers(shards)))
     spread_c = corpus.withColumn("shard", F.pmod(F.xxhash64(*KEYS), F.lit(shards))).withColumn(
         "block", F.explode(_numbers(blocks))
@@ -183,8 +185,8 @@ def _by_grid(
     def score(asked: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or chunks.empty:
             return pd.DataFrame(columns=["question_id", "chunk_id", "document_fingerprint", "sequence", "distance"])
-        ids = asked["question_id"].to_numpy(dtype=np.int64)
-        vectors = np.stack(asked["embedding"].to_numpy()).astype(np.float64)
+        ids = asked["asked_id"].to_numpy(dtype=np.int64)
+        vectors = np.stack(asked["asked_vector"].to_numpy()).astype(np.float64)
         step = 10_000
         parts = [
             nearest_in_block(ids, vectors, chunks.iloc[i : i + step], k, metric, exclude)

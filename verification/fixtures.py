@@ -5,6 +5,8 @@ Everything grows with the tables: no fixture picks out, samples or truncates row
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ CFG = EngineConfig(
     max_context_tokens=700,
     overview_excerpt_words=40,
 )
+# A budget smaller than some chunks, so that nothing may fit.
+NO_FALLBACK = replace(CFG, max_context_tokens=180, enable_overview_fallback=False)
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2]
 
 # Question templates with their known route; "%s" stands for a turn's text.

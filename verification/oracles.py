@@ -628,15 +628,16 @@ ORACLES: dict[str, str] = {
       from (select distinct sha256(text) as id from documents) group by bin)
     select sum(n)::bigint as documents, sha256(string_agg(digest, '|' order by bin)) as signature from bins""",
     "store_dimension": "select count(*) as chunks, max(len(embedding)) as dimension from embeddings",
-    "ingest_dedup": chain(SINGLE, NORMAL, units(T), packed(T, O))
+    "ingest_dedup": chain(FIRST_COPIES, NORMAL, units(T), packed(T, O))
     + f""", counts as (select document_fingerprint as document_id, max(sequence) as n from chunks group by all)
-    select upload_id, document_id, filename, 1 as page_count, case when {strip("raw")} = '' then 1 else 0 end
+    select upload_id, document_id, filename, 1 as page_count, case when {strip("text")} = '' then 1 else 0 end
       as empty_page_count, n as chunk_count, n as indexed_count, case when first then 'indexed' else 'already_indexed' end
       as status, case when first then 'Document ingestion completed successfully. 1 pages processed, ' || n ||
         ' chunks created, ' || n || ' vectors indexed.' else
         'This document is already indexed. No duplicate embedding or indexing was performed.' end as message,
       '' as error_code
-    from (select *, row_number() over (partition by document_id order by upload_id) = 1 as first from norm)
+    from (select doc_id as upload_id, sha256(text) as document_id, {filename("doc_id")} as filename, text,
+        row_number() over (partition by sha256(text) order by doc_id) = 1 as first from documents)
     join counts using (document_id)""",
     "uploads_chosen": """select sha256(text) as document_id, min(doc_id) as upload_id from documents
     group by sha256(text) having not bool_or(lang = 'fr')""",
@@ -709,7 +710,7 @@ ORACLES: dict[str, str] = {
       turn % 2 = 0 as abstained
     from conversations""",
     "answers": answer_sql(fx.CFG.max_context_tokens, True),
-    "answers_without_fallback": "",
+    "answers_without_fallback": answer_sql(fx.NO_FALLBACK.max_context_tokens, False),
     "stage_timings": chain(LOG)
     + """select event, stage, count(*) as events, round(avg(ms), 4) as mean_ms, quantile_disc(ms, 0.5) as p50_ms,
       quantile_disc(ms, 0.95) as p95_ms, max(ms) as max_ms from stages group by event, stage""",

@@ -350,17 +350,22 @@ def threshold_sweep(spark, sf_dir):
     )
 
 
+def _chunk_table(spark, sf_dir):
+    """The chunk table as it would lie in the store: written once, read by the query."""
+    return materialize(fx.chunks(spark, sf_dir), "query-chunks")
+
+
 # --- corpus views ------------------------------------------------------------------
 
 
 @query
 def document_summaries(spark, sf_dir):
-    return documents.document_listing(fx.chunks(spark, sf_dir))
+    return documents.document_listing(_chunk_table(spark, sf_dir))
 
 
 @query
 def corpus_summary(spark, sf_dir):
-    return documents.corpus_summary(fx.chunks(spark, sf_dir))
+    return documents.corpus_summary(_chunk_table(spark, sf_dir))
 
 
 @query
@@ -524,7 +529,7 @@ def retrieval_quality(spark, sf_dir):
 @query
 def overview_positions(spark, sf_dir):
     """Sampled positions for every document of the corpus."""
-    summaries = documents.document_summaries(fx.chunks(spark, sf_dir))
+    summaries = documents.document_summaries(_chunk_table(spark, sf_dir))
     return summaries.select(
         "document_id",
         "chunk_count",
@@ -534,8 +539,7 @@ def overview_positions(spark, sf_dir):
 
 @query
 def overview_excerpts(spark, sf_dir):
-    chunks = fx.chunks(spark, sf_dir)
-    built = overview.build_overview(chunks, fx.CFG)
+    built = overview.build_overview(_chunk_table(spark, sf_dir), fx.CFG)
     return built.select("doc_index", "document_id", "token_budget", "total_documents", F.explode("excerpts").alias("e")).select(
         "doc_index", "document_id", "token_budget", "total_documents", "e.position", "e.chunk_id", "e.text", "e.tokens"
     )
@@ -543,13 +547,13 @@ def overview_excerpts(spark, sf_dir):
 
 @query
 def overview_sources(spark, sf_dir):
-    built = overview.build_overview(fx.chunks(spark, sf_dir), fx.CFG)
+    built = overview.build_overview(_chunk_table(spark, sf_dir), fx.CFG)
     return overview.overview_sources(built)
 
 
 @query
 def overview_rendered(spark, sf_dir):
-    built = overview.build_overview(fx.chunks(spark, sf_dir), fx.CFG)
+    built = overview.build_overview(_chunk_table(spark, sf_dir), fx.CFG)
     return overview.render_overview(built).select("total_documents", "estimated_tokens", "rendered")
 
 
@@ -611,16 +615,8 @@ def answers(spark, sf_dir):
 
 @query
 def answers_without_fallback(spark, sf_dir):
-    cfg = fx.EngineConfig(
-        chunk_size=120,
-        chunk_overlap=20,
-        relevance_threshold=0.30,
-        max_context_tokens=180,
-        enable_overview_fallback=False,
-        overview_excerpt_words=40,
-    )
     chunks = materialize(fx.stored_chunks(spark, sf_dir), "answer-chunks")
-    answered, _ = answer_batch(fx.questions(spark, sf_dir), chunks, cfg=cfg)
+    answered, _ = answer_batch(fx.questions(spark, sf_dir), chunks, cfg=fx.NO_FALLBACK)
     return _flat_answers(answered)
 
 
