@@ -324,7 +324,7 @@ budgets as (
         then {{'total': a.total + x.t, 'kept': list_append(a.kept, x.r)}} else a end,
       {{'total': 0::bigint, 'kept': []::bigint[]}}) as b
   from accepted group by question_id),
-blocks as (
+placed_blocks as (
   select a.*, row_number() over (
     partition by question_id order by filename, start_page, sequence, rank) as block_no
   from accepted a join budgets using (question_id) where list_contains(b.kept, rank)),
@@ -338,7 +338,7 @@ contexts as (
       'pages: ' || start_page || '-' || end_page, 'chunk_id: ' || chunk_id, 'sequence: ' || sequence,
       'distance: ' || printf('%.6f', distance), 'text:', '<document_chunk>', text, '</document_chunk>'),
       chr(10) || chr(10) order by block_no), '') as rendered
-  from budgets left join blocks using (question_id) group by question_id)"""
+  from budgets left join placed_blocks using (question_id) group by question_id)"""
 
 
 def positions(total: str, limit: str) -> str:
