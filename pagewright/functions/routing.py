@@ -7,6 +7,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -171,18 +172,28 @@ ALWAYS = [
 
 _KNOWN = frozenset(VOCABULARY)
 _LONG_WORD = re.compile(r"[a-z]{6,}")
+_LENGTHS = np.array([len(v) for v in VOCABULARY])
+_LETTERS = np.array([[v.count(chr(97 + i)) for i in range(26)] for v in VOCABULARY])
 
 
 @lru_cache(maxsize=200_000)
 def repair_word(word: str) -> str:
-    """The closest vocabulary word, unless the word is known, nothing is close enough, or
-    the two differ only by an ending."""
+    """The closest vocabulary word by gestalt ratio, unless the word is known, nothing is
+    close enough, or the two differ only by an ending. Of equally close words the larger wins.
+
+    No ratio can exceed the share of letters two words have in common whatever their order;
+    that bound rules out nearly all of the vocabulary at once.
+    """
     if word in _KNOWN:
         return word
-    close = difflib.get_close_matches(word, VOCABULARY, n=1, cutoff=SIMILARITY_CUTOFF)
-    if not close or close[0].startswith(word) or word.startswith(close[0]):
+    letters = np.bincount(np.frombuffer(word.encode(), dtype=np.uint8) - 97, minlength=26)
+    bound = 2.0 * np.minimum(_LETTERS, letters).sum(axis=1) / (_LENGTHS + len(word))
+    near = [VOCABULARY[i] for i in np.flatnonzero(bound >= SIMILARITY_CUTOFF)]
+    scored = [(difflib.SequenceMatcher(None, v, word).ratio(), v) for v in near]
+    score, close = max(scored, default=(0.0, ""))
+    if score < SIMILARITY_CUTOFF or close.startswith(word) or word.startswith(close):
         return word
-    return close[0]
+    return close
 
 
 @F.pandas_udf(T.StringType())

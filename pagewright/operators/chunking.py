@@ -21,92 +21,96 @@ from pagewright.functions import text as tx
 from pagewright.operators.units import normalize_pages, unit_array, with_units
 from pagewright.schemas import CHUNK_COLUMNS
 
-SPAN = "struct<b:int,bu:int,e:int,eu:int>"
-_STATE = f"struct<i:int,w:int,b:int,bu:int,out:array<{SPAN}>>"
+END = "struct<e:int,eu:int>"
 
 
-def _flush_spans(units: Column, target: int, overlap: int) -> Column:
-    """Spans ``(b, bu, e, eu)`` between flushes: word and unit offsets, end exclusive."""
+def _flush_ends(units: Column, target: int, overlap: int) -> Column:
+    """Where the buffer is flushed: word and unit offsets ``(e, eu)``, end exclusive.
 
-    def flush(state: Column, when: Column) -> Column:
-        span = F.struct(
-            state["b"].alias("b"),
-            state["bu"].alias("bu"),
-            state["w"].alias("e"),
-            state["i"].alias("eu"),
-        )
-        flushed = F.struct(
-            state["i"].alias("i"),
-            state["w"].alias("w"),
-            state["w"].alias("b"),
-            state["i"].alias("bu"),
-            F.array_append(state["out"], span).alias("out"),
-        )
-        return F.when(when, flushed).otherwise(state)
+    The state carries the growing list of ends; it is written without ``let``, which would
+    copy that list for every unit.
+    """
 
-    def buffered(state: Column) -> Column:
-        return state["w"] - state["b"] + F.least(state["b"], F.lit(overlap))
+    def end(words: Column, unit: Column) -> Column:
+        return F.struct(words.alias("e"), unit.alias("eu"))
 
-    def append(state: Column, unit: Column) -> Column:
-        return F.struct(
-            (state["i"] + 1).alias("i"),
-            (state["w"] + unit["n"]).alias("w"),
-            state["b"].alias("b"),
-            state["bu"].alias("bu"),
-            state["out"].alias("out"),
-        )
+    def buffered(words: Column, last: Column) -> Column:
+        return words - last + F.least(last, F.lit(overlap))
 
     def merge(state: Column, unit: Column) -> Column:
-        full = (unit["kind"] == "section") | (buffered(state) + unit["n"] > target)
-        before = flush(state, (state["w"] > state["b"]) & full)
-        return tx.let(
-            tx.let(before, lambda s: append(s, unit)), lambda s: flush(s, buffered(s) >= target)
+        i, w, b, out = state["i"], state["w"], state["b"], state["out"]
+        n = unit["n"]
+        before = (w > b) & ((unit["kind"] == "section") | (buffered(w, b) + n > target))
+        last = F.when(before, w).otherwise(b)
+        after = buffered(w + n, last) >= target
+        early, late = end(w, i), end(w + n, i + 1)
+        return F.struct(
+            (i + 1).alias("i"),
+            (w + n).alias("w"),
+            F.when(after, w + n).otherwise(last).alias("b"),
+            F.when(before & after, F.concat(out, F.array(early, late)))
+            .when(before, F.array_append(out, early))
+            .when(after, F.array_append(out, late))
+            .otherwise(out)
+            .alias("out"),
         )
 
+    def finish(state: Column) -> Column:
+        return F.when(
+            state["w"] > state["b"], F.array_append(state["out"], end(state["w"], state["i"]))
+        ).otherwise(state["out"])
+
     start = F.struct(
         F.lit(0).alias("i"),
         F.lit(0).alias("w"),
         F.lit(0).alias("b"),
-        F.lit(0).alias("bu"),
-        F.array().cast(f"array<{SPAN}>").alias("out"),
-    ).cast(_STATE)
-    return F.aggregate(units, start, merge, lambda s: flush(s, s["w"] > s["b"])["out"])
+        F.array().cast(f"array<{END}>").alias("out"),
+    )
+    return F.aggregate(units, start, merge, finish)
+
 
+def _between(values: Column, start: Column, end: Column) -> Column:
+    """Elements ``start`` to ``end`` (exclusive). ``slice`` would copy the whole array first."""
+    return F.when(
+        end > start, F.transform(F.sequence(start, end - 1), lambda j: F.get(values, j))
+    ).otherwise(F.array().cast("array<string>"))
 
-def overlap_text(texts: Column, before: Column, overlap: int) -> Column:
+
+def _overlap_text(texts: Column, before: Column, overlap: int) -> Column:
     """The last ``overlap`` words of the units that precede position ``before``.
 
     Every unit holds at least one word and single spaces, so that many units are enough.
     """
-    first = F.greatest(before - overlap, F.lit(0))
-    tail = F.slice(texts, first + 1, before - first)
+    tail = _between(texts, F.greatest(before - overlap, F.lit(0)), before)
     return F.substring_index(F.array_join(tail, " "), " ", -overlap)
 
 
-def _chunk_bodies(units: Column, spans: Column, overlap: int) -> Column:
-    """Chunk structs from the spans of a document whose units sit in one array."""
-    texts = units["text"]
-    kinds = units["kind"]
-    pages = units["page"]
+def _chunk_bodies(overlap: int) -> Column:
+    """Chunk structs of a document from the columns ``ends``, ``texts``, ``kinds`` and
+    ``unit_pages``."""
+    ends, texts, kinds, pages = (F.col(c) for c in ("ends", "texts", "kinds", "unit_pages"))
 
     def body(span: Column, index: Column) -> Column:
-        overlapped = (span["b"] > 0) & F.lit(overlap > 0)
-        own = F.array_join(F.slice(texts, span["bu"] + 1, span["eu"] - span["bu"]), " ")
-        own_kinds = F.slice(kinds, span["bu"] + 1, span["eu"] - span["bu"])
+        first = index == 0
+        b = F.when(first, F.lit(0)).otherwise(F.get(ends, index - 1)["e"])
+        bu = F.when(first, F.lit(0)).otherwise(F.get(ends, index - 1)["eu"])
+        overlapped = ~first & F.lit(overlap > 0)
+        own = F.array_join(_between(texts, bu, span["eu"]), " ")
+        own_kinds = _between(kinds, bu, span["eu"])
         return F.struct(
             (index + 1).alias("sequence"),
-            F.when(overlapped, F.concat_ws(" ", overlap_text(texts, span["bu"], overlap), own))
+            F.when(overlapped, F.concat_ws(" ", _overlap_text(texts, bu, overlap), own))
             .otherwise(own)
             .alias("text"),
-            F.when(overlapped, pages[span["bu"] - 1]).otherwise(pages[span["bu"]]).alias("start_page"),
-            pages[span["eu"] - 1].alias("end_page"),
-            (span["e"] - span["b"] + F.least(span["b"], F.lit(overlap))).alias("word_count"),
+            F.get(pages, F.when(overlapped, bu - 1).otherwise(bu)).alias("start_page"),
+            F.get(pages, span["eu"] - 1).alias("end_page"),
+            (span["e"] - b + F.least(b, F.lit(overlap))).alias("word_count"),
             F.array_distinct(
                 F.when(overlapped, F.concat(F.array(F.lit("overlap")), own_kinds)).otherwise(own_kinds)
             ).alias("source_boundaries"),
         )
 
-    return F.transform(spans, body)
+    return F.transform(ends, body)
 
 
 def _pack_gathered(pages: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -138,13 +142,20 @@ def _pack_gathered(pages: DataFrame, cfg: EngineConfig) -> DataFrame:
             )
         ).alias("units"),
     )
-    target, overlap = cfg.chunk_size, cfg.chunk_overlap
-    spans = flat.withColumn("spans", _flush_spans(F.col("units"), target, overlap))
-    bodies = spans.select(
+    packed = flat.select(
+        "document_id",
+        "filename",
+        "document_page_count",
+        _flush_ends(F.col("units"), cfg.chunk_size, cfg.chunk_overlap).alias("ends"),
+        F.col("units.text").alias("texts"),
+        F.col("units.kind").alias("kinds"),
+        F.col("units.page").alias("unit_pages"),
+    )
+    bodies = packed.select(
         "document_id",
         "filename",
         "document_page_count",
-        _chunk_bodies(F.col("units"), F.col("spans"), overlap).alias("chunks"),
+        _chunk_bodies(cfg.chunk_overlap).alias("chunks"),
     )
     # A plain explode would make the optimizer infer a filter on the array's size and
     # compute the whole array a second time for it.

@@ -28,19 +28,30 @@ KEYS = ["document_fingerprint", "sequence", "chunk_id"]
 ORDER = ["distance", *KEYS]
 _HITS = "question_id long, chunk_id string, document_fingerprint string, sequence int, distance double"
 _TILE_CELLS = 4_000_000
-_SLACK = 1e-6
 
 
-def _approximate(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+def _to_unit(v: np.ndarray) -> np.ndarray:
+    """Scaled to length one, measured in double precision; zero stays zero."""
+    length = np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64))[:, None]
+    return (v / np.where(length == 0, 1.0, length)).astype(np.float32)
+
+
+def _approximate(q: np.ndarray, c: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
+    """Distances in single precision and twice a bound on their error.
+
+    An inner product of d terms is off by less than d roundings of the vectors' lengths.
+    Vectors come as units for the cosine, where a zero vector rightly gets distance 1.
+    """
+    rounding = 4.0 * (q.shape[1] + 4) * np.finfo(np.float32).eps
     dots = q @ c.T
+    if metric == "cosine":
+        return 1 - dots, 2 * rounding
+    q2, c2 = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", c, c)
+    q_most, c_most = float(np.nanmax(q2, initial=0.0)), float(np.nanmax(c2, initial=0.0))
     if metric == "ip":
-        return 1.0 - dots
-    q2, c2 = (q * q).sum(axis=1), (c * c).sum(axis=1)
-    if metric == "l2":
-        return q2[:, None] + c2[None, :] - 2.0 * dots
-    scale = np.sqrt(q2)[:, None] * np.sqrt(c2)[None, :]
-    safe = np.where(scale == 0, 1.0, scale)
-    return np.where(scale == 0, 1.0, 1.0 - dots / safe)
+        return 1 - dots, 2 * rounding * max(1.0, np.sqrt(q_most) * np.sqrt(c_most))
+    reach = (np.sqrt(q_most) + np.sqrt(c_most)) ** 2
+    return q2[:, None] + c2[None, :] - 2 * dots, 2 * rounding * max(1.0, reach)
 
 
 def _exact(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
@@ -78,20 +89,20 @@ def nearest_in_block(
         same = chunks["embedding"].map(lambda v: np.asarray(v, dtype=np.float32).tobytes())
         chunks = chunks[chunks.groupby(same).cumcount() < k]
     chunks = chunks.reset_index(drop=True)
-    vectors = np.stack(chunks["embedding"].to_numpy()).astype(np.float64)
+    vectors = np.stack(chunks["embedding"].to_numpy()).astype(np.float32)
     own = chunks["question_id"].to_numpy() if exclude else None
     tile = max(1, _TILE_CELLS // len(chunks))
+    compared = _to_unit(vectors) if metric == "cosine" else vectors
     found = []
     for start in range(0, len(questions), tile):
         q = questions[start : start + tile]
         ids = question_ids[start : start + tile]
-        near = _approximate(q, vectors, metric)
+        near, slack = _approximate(_to_unit(q) if metric == "cosine" else q, compared, metric)
         barred = ids[:, None] == own[None, :] if exclude else np.zeros(near.shape, dtype=bool)
         near[barred] = np.inf
         if near.shape[1] > k:
             # The k-th approximate distance bounds the true one up to rounding.
-            limit = np.partition(near, k - 1, axis=1)[:, k - 1 : k]
-            limit = limit + _SLACK * np.maximum(1.0, np.abs(limit))
+            limit = np.partition(near, k - 1, axis=1)[:, k - 1 : k] + np.float32(slack)
         else:
             limit = np.full((len(q), 1), np.inf)
         # Written so that a distance that is not a number stays in and is reported later.
@@ -99,7 +110,9 @@ def nearest_in_block(
         distance = np.empty(len(row))
         for at in range(0, len(row), _TILE_CELLS // 64):
             part = slice(at, at + _TILE_CELLS // 64)
-            distance[part] = _exact(q[row[part]], vectors[col[part]], metric)
+            distance[part] = _exact(
+                q[row[part]].astype(np.float64), vectors[col[part]].astype(np.float64), metric
+            )
         # Columns follow the tie-breakers, so (question, distance, column) is the full order.
         order = np.lexsort((col, distance, row))
         row, col, distance = row[order], col[order], distance[order]
@@ -142,7 +155,6 @@ def _by_broadcast(questions: DataFrame, corpus: DataFrame, k: int, metric: str,
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         question_ids, vectors = shared.value
-        vectors = vectors.astype(np.float64)
         held, best = 0, []
         for chunks in batches:
             if chunks.empty:
@@ -186,7 +198,7 @@ def _by_grid(
         if asked.empty or chunks.empty:
             return pd.DataFrame(columns=["question_id", "chunk_id", "document_fingerprint", "sequence", "distance"])
         ids = asked["asked_id"].to_numpy(dtype=np.int64)
-        vectors = np.stack(asked["asked_vector"].to_numpy()).astype(np.float64)
+        vectors = np.stack(asked["asked_vector"].to_numpy()).astype(np.float32)
         step = 10_000
         parts = [
             nearest_in_block(ids, vectors, chunks.iloc[i : i + step], k, metric, exclude)

@@ -75,3 +75,14 @@ def ship_package(spark: SparkSession) -> None:
             out.write(source, source.relative_to(package.parent))
     context.addPyFile(str(archive))
     context._pagewright_shipped = True
+
+
+def spread(df: DataFrame, bytes_per_core: int = 64 * 1024 * 1024) -> DataFrame:
+    """Spread a small input over all cores.
+
+    A small table often is one file with one row group, which one core would have to work
+    through alone. Tables with plenty of data for every core are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * bytes_per_core else df

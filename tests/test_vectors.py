@@ -144,3 +144,18 @@ def test_normalization(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     a, b = df.select(vx.l2_normalize(F.col("v")).alias("u")).collect()
     assert [round(x, 6) for x in a.u] == [0.6, 0.8] and b.u is None
+
+
+def test_knn_is_exact_for_close_and_tiny_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=64)
+    # Distances far below single precision apart, vectors of very different length, and zeros.
+    near = [(base + rng.normal(size=64) * 1e-7) * s for s in (1.0, 1e-20, 1e3) for _ in range(60)]
+    vectors = [np.float32(v).tolist() for v in near] + [[0.0] * 64] * 5
+    chunks = [(f"c{i:04d}", f"d{i % 3}", i, v) for i, v in enumerate(vectors)]
+    questions = [(i, np.float32(base * s).tolist()) for i, s in enumerate((1.0, 1e-20, 50.0))] + [(9, [0.0] * 64)]
+    for metric in ("cosine", "l2", "ip"):
+        got = {}
+        for r in knn(spark.createDataFrame(questions, Q), spark.createDataFrame(chunks, C), 7, metric).collect():
+            got.setdefault(r.question_id, []).append((r.distance, r.document_fingerprint, r.sequence, r.chunk_id))
+        assert {q: sorted(v) for q, v in got.items()} == brute(questions, chunks, 7, metric)

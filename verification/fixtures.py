@@ -14,6 +14,7 @@ from pagewright.config import EngineConfig
 from pagewright.functions.text import fingerprint
 from pagewright.operators.chunking import chunk_documents
 from pagewright.operators.embedding import embed, hash_embedder
+from pagewright.session import materialize, spread
 
 CFG = EngineConfig(
     chunk_size=120,
@@ -46,7 +47,7 @@ TEMPLATES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _filename(number: str):
@@ -74,9 +75,11 @@ def decorated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = pages.groupBy("doc_no").agg(F.array_sort(F.collect_list(digest)).alias("d")).select(
         "doc_no", F.sha2(F.array_join(F.col("d.sha"), "|"), 256).alias("document_id")
     )
-    return pages.join(ids, "doc_no").select(
+    pages = pages.join(ids, "doc_no").select(
         F.col("doc_no").alias("upload_id"), "document_id", _filename("doc_no").alias("filename"), "page_number", "text"
     )
+    # The page table an extractor would have left behind.
+    return spread(materialize(pages, "pages"))
 
 
 def single_page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
