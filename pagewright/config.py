@@ -28,7 +28,9 @@ class EngineConfig:
     folio_pages: int = 256
     folios_per_span: int = 4_096
     broadcast_questions: int = 20_000
+    broadcast_bytes: int = 64 * 1024 * 1024
     broadcast_documents: int = 100_000
+    broadcast_chunk_ids: int = 500_000
     question_block: int = 20_000
     corpus_shard: int = 200_000
 

@@ -228,10 +228,13 @@ def knn(
     cfg = cfg or EngineConfig()
     corpus = _corpus(chunks)
     exclude = exclude_self and "question_id" in chunks.columns
-    total = questions.count()
+    asked = questions.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("width")
+    ).first()
+    total, size = asked["rows"], asked["rows"] * asked["width"] * 4
     if total == 0:
         hits = questions.sparkSession.createDataFrame([], _HITS)
-    elif total <= cfg.broadcast_questions:
+    elif total <= cfg.broadcast_questions and size <= cfg.broadcast_bytes:
         hits = _by_broadcast(questions, corpus, k, metric, exclude)
     else:
         hits = _by_grid(questions, corpus, total, k, metric, exclude, cfg)

@@ -66,10 +66,19 @@ def generate(prompts_df: DataFrame, generator: Generator | None) -> DataFrame:
     return prompts_df.withColumn("answer", column(F.col("system_message"), F.col("user_message")))
 
 
-def with_chunk_columns(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Join text and pages back on to the few candidates; candidates are a written table,
-    so the planner knows whether they are small enough to broadcast."""
-    return candidates.join(chunks.select(*TEXT_COLUMNS), ["chunk_id", "document_fingerprint"])
+def with_chunk_columns(candidates: DataFrame, chunks: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Join text and pages back on to the candidates, a small written table.
+
+    The ids are counted first. Up to a bound they are broadcast as a filter, so that only
+    the texts asked for leave the chunk table's scan; the join proper then moves few rows.
+    Beyond it both sides are shuffled.
+    """
+    keys = ["chunk_id", "document_fingerprint"]
+    texts = chunks.select(*TEXT_COLUMNS)
+    ids = candidates.select(*keys).distinct()
+    if ids.count() <= cfg.broadcast_chunk_ids:
+        texts = texts.join(F.broadcast(ids), keys, "left_semi")
+    return candidates.join(texts, keys)
 
 
 def _answered(df: DataFrame, mode: str, cfg: EngineConfig, **columns: Column) -> DataFrame:
@@ -161,7 +170,7 @@ def answer_batch(
         rank_candidates(knn(asked, chunks, cfg.top_k, cfg.metric, cfg)), "candidates"
     )
     accepted = accept(candidates, cfg.relevance_threshold)
-    contexts = build_context(with_chunk_columns(accepted, chunks), cfg.max_context_tokens)
+    contexts = build_context(with_chunk_columns(accepted, chunks, cfg), cfg.max_context_tokens)
     counted = candidates.groupBy("question_id").agg(F.count("*").cast("int").alias("candidate_count"))
     retrieved = materialize(
         by_content.join(counted, "question_id", "left")

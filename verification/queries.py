@@ -478,7 +478,7 @@ def diagnostics(spark, sf_dir):
 def _contexts(spark, sf_dir):
     chunks, _, candidates = _retrieved(spark, sf_dir)
     accepted = accept(candidates, fx.CFG.relevance_threshold)
-    return build_context(with_chunk_columns(accepted, chunks), fx.CFG.max_context_tokens)
+    return build_context(with_chunk_columns(accepted, chunks, fx.CFG), fx.CFG.max_context_tokens)
 
 
 @query
