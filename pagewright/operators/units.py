@@ -43,24 +43,25 @@ def _sentence_units(sentence: Column, target_words: int) -> Column:
 
 
 def _block_units(block: Column, target_words: int) -> Column:
+    """A heading in the first line is a unit of its own; the other lines form a paragraph."""
+
     def paragraph_units(part: Column) -> Column:
         return F.when(part == "", _no_units()).otherwise(
             F.flatten(F.transform(tx.sentences(part, True), lambda s: _sentence_units(s, target_words)))
         )
 
-    def on_lines(rows: Column) -> Column:
-        headed = F.concat(
-            F.array(_unit("section", rows[0], _word_count(rows[0]))),
-            paragraph_units(F.array_join(F.slice(rows, F.lit(2), F.size(rows)), " ")),
-        )
-        plain = paragraph_units(F.array_join(rows, " "))
-        return (
-            F.when(F.size(rows) == 0, _no_units())
-            .when(tx.is_section_heading(rows[0]), headed)
-            .otherwise(plain)
-        )
+    def on_lines(rows: Column, headed: Column) -> Column:
+        first = F.get(rows, 0)
+        heading = F.when(headed, F.array(_unit("section", first, _word_count(first)))).otherwise(_no_units())
+        rest = F.when(headed, F.slice(rows, F.lit(2), F.size(rows))).otherwise(rows)
+        return F.concat(heading, tx.let(F.array_join(rest, " "), paragraph_units))
 
-    return tx.let(tx.lines(block), on_lines)
+    return tx.let(
+        tx.lines(block),
+        lambda rows: tx.let(
+            F.coalesce(tx.is_section_heading(F.get(rows, 0)), F.lit(False)), lambda h: on_lines(rows, h)
+        ),
+    )
 
 
 def unit_array(text: Column, target_words: int) -> Column:

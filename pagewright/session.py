@@ -13,6 +13,9 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Texts cost far more per byte than rows of numbers: keep all cores busy on small inputs.
+    # On large ones the share per core exceeds this bound anyway.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -28,6 +31,12 @@ def local_session(cores: int | str = "*", app: str = "pagewright", **extra: str)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> None:
+    """Apply to a given session those defaults that results or small inputs depend on."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.coalescePartitions.minPartitionSize"):
+        spark.conf.set(key, DEFAULTS[key])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables that every executor can reach.
 
