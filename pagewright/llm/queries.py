@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +28,102 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chosen_path import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_register("op10_prefix_target_chat")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import chat_examples, conversation_digests
+
+    said = "\\### Assistant: </turn> ok"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return conversation_digests(chat_examples(turns.unionByName(more)))
+
+
+ORACLES["op10_prefix_target_chat"] = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as place,
+    9 + length(replace(replace(replace(replace(role, '\', '\b'), '</turn>', '\c'), '<turn ', '\o'), '>', '\g'))
+      + length(replace(replace(replace(text, '\', '\b'), '</turn>', '\c'), '<turn ', '\o')) + 7 as chars
+  from turns
+), summed as (
+  select *, sum(chars) over (partition by conv_id order by place) as so_far,
+    count(*) over (partition by conv_id) as n
+  from sized
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+  length(coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '')) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(case when role = 'assistant' or place = n then so_far else 0 end) as bigint) as formatted_chars
+from summed group by conv_id
+"""
+
+
+@_register("op2_mixture_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    docs = _table(spark, sf_dir, "documents")
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+RULES = {
+    "com/": "allow",
+    "example.com/en/": "block",
+    "www.example.com/en/": "allow",
+    "net/es/": "block",
+    "net/fr/": "block",
+}
+
+
+@_register("op3_url_templates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_templates import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"), RULES)
+
+
+@_register("op8_ftrl_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_register("op1_sentencepiece_fst")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and the text decoded from them, per document."""
+    import public_tokenizers
+
+    from .sentencepiece_fst import decode_ids, encode_texts
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = decode_ids(encode_texts(_table(spark, sf_dir, "documents"), model), model)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.length("text").cast("long").alias("decoded_chars"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+@_register("op9_iblt_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprint_versions
+
+    return fingerprint_versions(_table(spark, sf_dir, "documents"))
+
+
+@_register("op7_pivot_permutation")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivot_index import linked_vectors
+
+    return linked_vectors(_table(spark, sf_dir, "embeddings"))

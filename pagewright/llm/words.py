@@ -6,8 +6,11 @@ words always have equal hashes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 20
@@ -53,6 +56,21 @@ def prefix_hashes(values: np.ndarray, base: int = BASE) -> tuple[np.ndarray, np.
     return prefix, down
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches into runs of rows whose texts (column ``text``) have about ``limit`` bytes at
+    most, so that a task's arrays stay small. A longer text is a run of its own."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < batch.num_rows:
+            done = sizes[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(sizes, done + limit, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+        if not batch.num_rows:
+            yield batch
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
@@ -66,11 +84,8 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words of all texts in order: hash, start and end in the joined bytes (one space
-    between texts); and the number of words of each text."""
-    data = b" ".join(texts).lower()
-    starts, ends = word_spans(data)
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans in ascending order."""
     values, out = np.frombuffer(data, np.uint8), np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -80,9 +95,18 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         s, e = starts[i:j] - first, ends[i:j] - first
         out[i:j] = (prefix[e] - prefix[s]) * down[s]
         i = j
+    return mix(out)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of all texts in order: hash, start and end in the joined bytes (one space
+    between texts); and the number of words of each text."""
+    data = b" ".join(texts).lower()
+    starts, ends = word_spans(data)
+    out = span_hashes(data, starts, ends)
     text_ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
     counts = np.diff(np.searchsorted(starts, text_ends), prepend=0)
-    return mix(out), starts, ends, counts
+    return out, starts, ends, counts
 
 
 def sequence_hashes(words: np.ndarray, width: int) -> np.ndarray:
