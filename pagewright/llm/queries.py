@@ -127,3 +127,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pivot_index import linked_vectors
 
     return linked_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_register("op5_suffix_array_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_bytes
+
+    return repeated_bytes(_table(spark, sf_dir, "documents"))
+
+
+@_register("op4_paragraph_minhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .paragraph_dedup import repeated_paragraphs
+
+    return repeated_paragraphs(_table(spark, sf_dir, "documents"))
