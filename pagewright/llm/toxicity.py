@@ -29,15 +29,16 @@ from .words import mix, sequence_hashes, slices, texts_of, word_hashes
 @dataclass(frozen=True)
 class Toxicity:
     """``sample`` bounds the labelled rows that are learned from (smallest hashes of ids
-    first). ``threshold`` is the score from which a text is rejected."""
+    first); features of fewer than ``min_texts`` of them get no weight. ``threshold`` is the score from which a text is rejected."""
 
     bits: int = 20
     sample: int = 8192
-    epochs: int = 4
-    alpha: float = 0.1
+    epochs: int = 6
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 2.0
+    l1: float = 8.0
     l2: float = 1.0
+    min_texts: int = 3
     max_features: int = 20_000
     max_weights: int = 200_000
     threshold: float = 0.3
@@ -92,6 +93,10 @@ def _fit(cfg: Toxicity):
                     found = np.random.default_rng(0).choice(found, cfg.max_features, replace=False)
                 rows.append((toxic, found))
         size = 1 << cfg.bits
+        texts = np.zeros(size, np.int32)
+        for _, found in rows:
+            texts[found] += 1
+        rows = [(toxic, found[texts[found] >= cfg.min_texts]) for toxic, found in rows]
         z, n = np.zeros(size + 1), np.zeros(size + 1)
         weights = np.zeros(size + 1)
         positive = sum(t for t, _ in rows)
