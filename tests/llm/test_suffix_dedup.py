@@ -50,7 +50,7 @@ def test_long_text_over_chunks(spark):
 def test_empty_table_null_ids_and_stage(spark):
     schema = "doc_id bigint, text string, n_chars bigint, ranges string, tag int, doc string"
     assert repeated_bytes(spark.createDataFrame([], schema)).collect() == []
-    passage = "é" * 30 + "".join(random.Random(2).choice("abcdefghij") for _ in range(200))
+    passage = "é" * 30 + "".join(random.Random(2).choices("abcdefghij", k=200))
     rows = [(None, passage, 230, "", 1, ""), (4, "x" + passage, 231, "", 1, ""), (9, "y" + passage + "z", 232, "", 1, ""), (11, None, None, "", 1, "")]
     docs = spark.createDataFrame(rows, schema)
     assert found(docs) == removed_bytes([r[:2] for r in rows])
