@@ -133,6 +133,15 @@ def nearest_in_block(
     return pd.concat(found, ignore_index=True)
 
 
+def split_finite(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hits of questions whose distances are all finite, and the other questions with their
+    error: ``question_id``, ``error_code``, ``error_status``."""
+    bad = F.isnan("distance") | (F.abs("distance") == float("inf"))
+    failed = hits.filter(bad).select("question_id").distinct()
+    errors = failed.select("question_id", F.lit("INVALID_RETRIEVAL_DISTANCE").alias("error_code"), F.lit(502).alias("error_status"))
+    return hits.join(failed, "question_id", "left_anti"), errors
+
+
 def _require_finite(hits: DataFrame) -> DataFrame:
     bad = F.isnan("distance") | (F.abs("distance") == float("inf"))
     return hits.withColumn(
@@ -218,9 +227,14 @@ def knn(
     metric: str = "cosine",
     cfg: EngineConfig | None = None,
     exclude_self: bool = False,
+    check: bool = True,
 ) -> DataFrame:
     """The ``min(k, chunks)`` nearest chunks per question.
 
+    A distance that is no finite number fails the job, or with ``check`` off is returned for
+    ``split_finite``; vectors of another length than the chunks' must have been split off by
+    ``validate_vectors``.
+
     ``questions`` has ``question_id`` and ``embedding``; ``chunks`` has the key columns and
     ``embedding``, of which nothing else is read. With ``exclude_self``, a chunk row naming
     a question in its own ``question_id`` is no candidate for it.
@@ -241,9 +255,8 @@ def knn(
     # Arrow brings a NaN back as null, which would sort first.
     hits = hits.withColumn("distance", F.coalesce("distance", F.lit(float("nan"))))
     nearest = Window.partitionBy("question_id").orderBy(*ORDER)
-    return _require_finite(
-        hits.withColumn("_cut", F.row_number().over(nearest)).filter(F.col("_cut") <= k).drop("_cut")
-    )
+    cut = hits.withColumn("_cut", F.row_number().over(nearest)).filter(F.col("_cut") <= k).drop("_cut")
+    return _require_finite(cut) if check else cut
 
 
 def rank_candidates(hits: DataFrame) -> DataFrame:

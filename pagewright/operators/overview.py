@@ -23,7 +23,8 @@ def even_positions(total: Column, limit: Column) -> Column:
     """All positions, or ``limit`` evenly spaced ones including both ends, halves to even."""
     spread = F.transform(
         F.sequence(F.lit(0), limit - 1),
-        lambda i: F.rint(i.cast("double") * (total - 1) / (limit - 1)).cast("int"),
+        # A limit of one takes the first position.
+        lambda i: F.rint(i.cast("double") * (total - 1) / F.greatest(limit - 1, F.lit(1))).cast("int"),
     )
     return F.when(total <= limit, F.sequence(F.lit(0), total - 1)).otherwise(spread)
 

@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def stage_timings(events: DataFrame) -> DataFrame:
+def stage_timings(events: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Per event and stage: count, mean and percentiles of the stage's milliseconds.
-    The percentile sketch has a fixed size, whatever the number of events."""
+    Percentiles are exact; with ``accuracy`` they come from a sketch of fixed size, which is
+    off by up to 1 / ``accuracy`` of the events."""
+
+    def percentile(share: float):
+        if accuracy is None:
+            return F.expr(f"percentile_disc({share}) within group (order by ms)")
+        return F.percentile_approx("ms", share, accuracy)
+
     stages = events.select(
         "event", F.explode("fields.timings_ms").alias("stage", "ms")
     )
     return stages.groupBy("event", "stage").agg(
         F.count("*").alias("events"),
         F.round(F.avg("ms"), 4).alias("mean_ms"),
-        F.percentile_approx("ms", 0.5, 10000).alias("p50_ms"),
-        F.percentile_approx("ms", 0.95, 10000).alias("p95_ms"),
+        percentile(0.5).alias("p50_ms"),
+        percentile(0.95).alias("p95_ms"),
         F.max("ms").alias("max_ms"),
     )
 

@@ -14,8 +14,8 @@ from pagewright.config import EngineConfig
 from pagewright.functions import prompts
 from pagewright.operators.admission import validate_questions
 from pagewright.operators.context import build_context
-from pagewright.operators.embedding import Embedder, embed, hash_embedder
-from pagewright.operators.knn import accept, knn, rank_candidates
+from pagewright.operators.embedding import Embedder, embed, hash_embedder, validate_vectors
+from pagewright.operators.knn import accept, knn, rank_candidates, split_finite
 from pagewright.operators.overview import build_overview, render_overview
 from pagewright.operators.routing import route_questions
 from pagewright.session import materialize
@@ -81,6 +81,12 @@ def with_chunk_columns(candidates: DataFrame, chunks: DataFrame, cfg: EngineConf
     return candidates.join(texts, keys)
 
 
+def _dimension(chunks: DataFrame) -> int | None:
+    """Length of the stored vectors."""
+    row = chunks.select(F.size("embedding").alias("d")).filter("d > 0").limit(1).first()
+    return row.d if row else None
+
+
 def _answered(df: DataFrame, mode: str, cfg: EngineConfig, **columns: Column) -> DataFrame:
     return df.select(
         "question_id",
@@ -165,10 +171,19 @@ def answer_batch(
     by_content = (routed.filter("not document_level") if has_overview else routed).drop("document_level")
 
     # Retrieval reads keys and vectors; texts join later, on the few accepted chunks.
-    asked = materialize(embed(by_content, "question", embedder), "question-vectors")
-    candidates = materialize(
-        rank_candidates(knn(asked, chunks, cfg.top_k, cfg.metric, cfg)), "candidates"
+    embedded = materialize(embed(by_content, "question", embedder), "question-vectors")
+    # A bad vector costs its own question an answer, and no other.
+    asked, unusable = validate_vectors(embedded, _dimension(chunks))
+    hits = materialize(knn(asked, chunks, cfg.top_k, cfg.metric, cfg, check=False), "hits")
+    hits, undefined = split_finite(hits)
+    failed = unusable.select("question_id", "error_code", "error_status").unionByName(undefined)
+    failed = materialize(failed, "failed-questions")
+    rejected = rejected.unionByName(
+        by_content.join(failed, "question_id").select("question_id", "question", "error_code", "error_status"),
+        allowMissingColumns=True,
     )
+    by_content = by_content.join(failed.select("question_id"), "question_id", "left_anti")
+    candidates = materialize(rank_candidates(hits), "candidates")
     accepted = accept(candidates, cfg.relevance_threshold)
     contexts = build_context(with_chunk_columns(accepted, chunks, cfg), cfg.max_context_tokens)
     counted = candidates.groupBy("question_id").agg(F.count("*").cast("int").alias("candidate_count"))

@@ -15,6 +15,7 @@ from pagewright.session import materialize
 from pagewright.sources.store import ChunkStore
 
 # Report wording.
+DONE_MESSAGE = "Document ingestion completed successfully. %d pages processed, %d chunks created, %d vectors indexed."
 DUPLICATE_MESSAGE = "This document is already indexed. No duplicate embedding or indexing was performed."
 
 
@@ -33,8 +34,10 @@ def uploads_to_index(uploads: DataFrame, stored: DataFrame) -> DataFrame:
 def ingest_report(
     uploads: DataFrame, to_index: DataFrame, chunk_counts: DataFrame, rejected: DataFrame | None = None
 ) -> DataFrame:
-    """One row per upload. ``chunk_counts`` has ``document_id`` and ``chunk_count``;
-    ``rejected`` names documents refused by the store, with an ``error_code``.
+    """One row per upload. ``chunk_counts`` has ``document_id`` and ``chunk_count``, and may
+    have ``stored_pages``: an upload of a stored document with another number of pages is no
+    duplicate of it, and is refused as DOCUMENT_PAGES_DIFFER. ``rejected`` names documents
+    refused by the store, with an ``error_code``.
 
     Whether an upload is the one that was indexed is looked up by upload, so copies of one
     document do not meet in one task for it.
@@ -54,13 +57,13 @@ def ingest_report(
     count = F.coalesce("chunk_count", F.lit(0))
     failed = F.col("error_code").isNotNull()
     new = F.coalesce("_indexed", F.lit(False))
-    code = F.coalesce("error_code", refused, F.when(count == 0, F.lit("NO_CHUNKS_CREATED")))
-    done = F.format_string(
-        "Document ingestion completed successfully. %d pages processed, %d chunks created, %d vectors indexed.",
-        "page_count",
-        count,
-        count,
-    )
+    partial = F.lit(None).cast("string")
+    if "stored_pages" in chunk_counts.columns:
+        differs = ~new & (F.col("stored_pages") != F.col("page_count"))
+        partial = F.when(differs, F.lit("DOCUMENT_PAGES_DIFFER"))
+    code = F.coalesce("error_code", refused, F.when(count == 0, F.lit("NO_CHUNKS_CREATED")), partial)
+    failed = failed | partial.isNotNull()
+    done = F.format_string(DONE_MESSAGE, "page_count", count, count)
     return joined.select(
         "upload_id",
         "document_id",
@@ -122,11 +125,16 @@ def ingest(
     dropped = uploads.join(kept, "upload_id", "left_anti")
 
     chunks = chunk_documents(_pages_of(pages, kept, dropped, cfg), cfg)
-    store.append(embed(chunks, "text", embedder), batch)
+    store.append(embed(chunks, "text", embedder), batch, empty_ok=True)
 
+    ours = uploads.select(F.col("document_id").alias("document_fingerprint")).distinct()
     counts = (
-        store.chunks()
+        store.chunks(ours)
         .groupBy(F.col("document_fingerprint").alias("document_id"))
-        .agg(F.count("*").alias("chunk_count"))
+        .agg(F.count("*").alias("chunk_count"), F.max("document_page_count").alias("stored_pages"))
     )
-    return ingest_report(uploads, kept, counts, store.rejected(batch))
+    rejected = store.rejected(batch)
+    # Another writer was first with these: they are duplicates, not failures.
+    late = rejected.filter("error_code = 'DOCUMENT_ALREADY_INDEXED'")
+    kept = kept.join(late.select(F.col("document_fingerprint").alias("document_id")), "document_id", "left_anti")
+    return ingest_report(uploads, kept, counts, rejected.filter("error_code != 'DOCUMENT_ALREADY_INDEXED'"))

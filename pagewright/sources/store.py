@@ -2,21 +2,23 @@
 
 Layout below the root folder::
 
-    chunks/<batch>/        one directory per ingest batch
-    tombstones/<version>/  ids of documents deleted, or rejected, at that version
-    manifest/<version>/    one JSON line per change, written last
-
-A reader uses the manifest as it stands and so sees one consistent version. A batch that
-fails before its manifest line is never seen, and a batch written again under its own name
-replaces itself. One job at a time changes a store. The manifest has one line per change,
-whatever the size of the corpus; ``compact`` folds it.
+    chunks/<folder>/       one directory per attempt to write a batch
+    tombstones/<folder>/   ids of documents deleted, or unusable, at one version
+    rejected/<folder>/     documents of a batch that were not stored, with their codes
+    manifest/<version>     one JSON line per change, published last and at once
+    checkpoints/<version>  the whole snapshot, every ``CHECKPOINT_EVERY`` changes
+
+A reader takes the newest checkpoint and the lines after it, and so sees one consistent
+version. A batch that fails before its line is never seen. Of two writers of one version the
+second finds its name taken, looks at the new version, and tries again. ``vacuum`` removes
+what no reader of the current version needs.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +27,11 @@ from pagewright.functions.vectors import is_finite_vector
 from pagewright.operators.documents import document_summaries
 from pagewright.operators.embedding import document_vector_errors
 from pagewright.schemas import STORED_CHUNK, STORED_COLUMNS
+from pagewright.sources.files_api import Files
 
-MANIFEST = "version long, action string, batch string, rows long, dimension int"
+REJECTED = "document_fingerprint string, error_code string"
+CHECKPOINT_EVERY = 32
+ATTEMPTS = 20
 
 
 class StoreError(RuntimeError):
@@ -38,16 +43,35 @@ class StoreError(RuntimeError):
 
 @dataclass(frozen=True)
 class Snapshot:
-    """What a reader needs to know of one version."""
+    """What a reader needs to know of one version. ``batches`` has version, name and folder of
+    each batch, ``tombstones`` version and folder, ``refusals`` batch name and folder."""
 
-    version: int
-    batches: tuple[tuple[int, str], ...]
-    tombstones: tuple[int, ...]
-    dimension: int | None
+    version: int = 0
+    batches: tuple[tuple[int, str, str], ...] = ()
+    tombstones: tuple[tuple[int, str], ...] = ()
+    refusals: tuple[tuple[str, str], ...] = ()
+    dimension: int | None = None
 
     def without(self, batch: str | None) -> Snapshot:
         return replace(self, batches=tuple(b for b in self.batches if b[1] != batch))
 
+    def after(self, line: dict) -> Snapshot:
+        """The snapshot once a manifest line is applied."""
+        snap = replace(self, version=line["version"])
+        if line["action"] in ("reset", "compact"):
+            snap = Snapshot(line["version"], refusals=self.refusals if line["action"] == "compact" else ())
+        if line.get("rows"):
+            snap = replace(
+                snap,
+                batches=(*snap.batches, (snap.version, line["batch"], line["folder"])),
+                dimension=line["dimension"],
+            )
+        if line.get("tombstone"):
+            snap = replace(snap, tombstones=(*snap.tombstones, (snap.version, line["tombstone"])))
+        if line.get("rejected"):
+            snap = replace(snap, refusals=(*snap.refusals, (line["batch"], line["rejected"])))
+        return snap
+
 
 def insert_if_absent(new: DataFrame, existing: DataFrame) -> DataFrame:
     """New chunks whose id is not stored yet, each id once."""
@@ -74,45 +98,55 @@ class ChunkStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-
-    def _tombstone(self, version: int) -> str:
-        return f"{self.root}/tombstones/{version:012d}"
+        self._files = Files(spark, self.root)
 
     # -- manifest ---------------------------------------------------------------
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-    def _manifest(self) -> list:
-        folder = f"{self.root}/manifest"
-        if not self._exists(folder):
-            return []
-        rows = (
-            self.spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").json(folder).collect()
-        )
-        return sorted(rows, key=lambda r: r.version)
-
-    def _commit(self, version: int, action: str, batch: str = "", rows: int = 0, dimension: int | None = None):
-        line = self.spark.createDataFrame([(version, action, batch, rows, dimension)], MANIFEST)
-        line.coalesce(1).write.mode("overwrite").json(f"{self.root}/manifest/{version:012d}")
-
     def snapshot(self) -> Snapshot:
-        batches: dict[str, int] = {}
-        tombstones: list[int] = []
-        dimension, version = None, 0
-        for entry in self._manifest():
-            version = entry.version
-            if entry.action in ("reset", "compact"):
-                batches, tombstones, dimension = {}, [], None
-            if entry.action in ("append", "append_filtered", "compact") and entry.rows > 0:
-                # A batch committed again under its name replaces itself.
-                batches.setdefault(entry.batch, version)
-                dimension = entry.dimension
-            if entry.action in ("delete", "append_filtered"):
-                tombstones.append(version)
-        return Snapshot(version, tuple((v, b) for b, v in batches.items()), tuple(tombstones), dimension)
+        snap = Snapshot()
+        saved = self._files.names("checkpoints")
+        if saved:
+            told = json.loads(self._files.read(f"checkpoints/{saved[-1]}"))
+            lists = {k: tuple(map(tuple, told[k])) for k in ("batches", "tombstones", "refusals")}
+            snap = Snapshot(told["version"], dimension=told["dimension"], **lists)
+        for name in self._files.names("manifest"):
+            if int(name) > snap.version:
+                snap = snap.after(json.loads(self._files.read(f"manifest/{name}")))
+        return snap
+
+    def _commit(self, snap: Snapshot, action: str, **values) -> int | None:
+        """Publish the change that follows ``snap``; none if another writer was first."""
+        line = {"version": snap.version + 1, "action": action, **values}
+        if not self._files.write_new(f"manifest/{line['version']:012d}", json.dumps(line)):
+            return None
+        if line["version"] % CHECKPOINT_EVERY == 0:
+            self._files.write_new(f"checkpoints/{line['version']:012d}", json.dumps(asdict(snap.after(line))))
+        return line["version"]
+
+    def _retried(self, change) -> int:
+        for _ in range(ATTEMPTS):
+            version = change(self.snapshot())
+            if version is not None:
+                return version
+        raise StoreError("STORE_BUSY", {"attempts": ATTEMPTS})
+
+    def vacuum(self) -> list[str]:
+        """Remove folders that the current version does not use, and manifest lines that its
+        checkpoint covers. No reader of an older version, and no writer, may be at work."""
+        snap = self.snapshot()
+        used = {
+            "chunks": {folder for _, _, folder in snap.batches},
+            "tombstones": {folder for _, folder in snap.tombstones},
+            "rejected": {folder for _, folder in snap.refusals},
+        }
+        if snap.version:
+            name = f"{snap.version:012d}"
+            self._files.write_new(f"checkpoints/{name}", json.dumps(asdict(snap)))
+            used |= {"checkpoints": {name}, "manifest": {name}}
+        gone = [f"{kind}/{name}" for kind, live in used.items() for name in self._files.names(kind) if name not in live]
+        for name in gone:
+            self._files.delete(name)
+        return gone
 
     # -- reading ----------------------------------------------------------------
 
@@ -121,21 +155,21 @@ class ChunkStore:
         snap = snapshot or self.snapshot()
         if not snap.batches:
             return self.spark.createDataFrame([], STORED_CHUNK)
-        last_delete = max(snap.tombstones, default=0)
+        last_delete = max((v for v, _ in snap.tombstones), default=0)
 
         def scan(names: list[str]) -> DataFrame:
             return self.spark.read.schema(STORED_CHUNK).parquet(*[f"{self.root}/chunks/{n}" for n in names])
 
         # Batches newer than every deletion are read as they are.
-        untouched = [b for v, b in snap.batches if v > last_delete]
+        untouched = [folder for v, _, folder in snap.batches if v > last_delete]
         parts = [scan(untouched)] if untouched else []
-        touched = [(v, b) for v, b in snap.batches if v <= last_delete]
-        bounds = sorted({min(t for t in snap.tombstones if t >= v) for v, _ in touched})
+        touched = [(v, folder) for v, _, folder in snap.batches if v <= last_delete]
+        bounds = sorted({min(t for t, _ in snap.tombstones if t >= v) for v, _ in touched})
         for i, bound in enumerate(bounds):
             # Batches between two deletions are affected by the same later ones.
             low = bounds[i - 1] if i else 0
             names = [b for v, b in touched if low < v <= bound]
-            later = [self._tombstone(t) for t in snap.tombstones if t >= bound]
+            later = [f"{self.root}/tombstones/{folder}" for t, folder in snap.tombstones if t >= bound]
             gone = self.spark.read.schema("document_fingerprint string").parquet(*later).distinct()
             parts.append(scan(names).join(gone, "document_fingerprint", "left_anti"))
         live = parts[0].select(*STORED_COLUMNS)
@@ -172,24 +206,37 @@ class ChunkStore:
 
     # -- changing ---------------------------------------------------------------
 
-    def append(self, chunks: DataFrame, batch: str | None = None) -> int:
-        """Add chunks with vectors and return the new version (or the old one for an empty
-        batch, or for one already committed under its name). Documents already stored must
-        have been left out by the caller; see ``plans.ingest``.
+    def append(self, chunks: DataFrame, batch: str | None = None, empty_ok: bool = False) -> int:
+        """Add chunks with vectors and return the new version, or the current one for a batch
+        already committed under its name, or for one with nothing to add.
 
-        Rows are counted while they are written and again in the written files; a mismatch
-        leaves the batch invisible. Documents with a bad vector stay invisible too, and
-        ``rejected`` names them.
+        Documents the store holds already are left out (DOCUMENT_ALREADY_INDEXED), and a chunk
+        id is stored once. Rows are counted while they are written and again in the written
+        files; a mismatch leaves the batch invisible. Documents with a bad vector stay invisible
+        too. ``rejected`` names all documents that were not stored.
         """
-        snap = self.snapshot()
         batch = batch or uuid.uuid4().hex
-        if batch in {b for _, b in snap.batches}:
-            return snap.version
-        path = f"{self.root}/chunks/{batch}"
-        sent = Observation()
-        chunks.select(*STORED_COLUMNS).observe(sent, F.count(F.lit(1)).alias("rows")).write.mode(
-            "overwrite"
-        ).parquet(path)
+        source = chunks.select(*STORED_COLUMNS)
+        for _ in range(ATTEMPTS):
+            snap = self.snapshot()
+            if batch in {name for _, name, _ in snap.batches}:
+                return snap.version
+            folder = f"{batch}-{uuid.uuid4().hex[:12]}"
+            version = self._append(source, batch, folder, snap, empty_ok)
+            if version is not None:
+                return version
+            source = self.spark.read.schema(STORED_CHUNK).parquet(f"{self.root}/chunks/{folder}")
+        raise StoreError("STORE_BUSY", {"attempts": ATTEMPTS})
+
+    def _append(self, source: DataFrame, batch: str, folder: str, snap: Snapshot, empty_ok: bool) -> int | None:
+        path = f"{self.root}/chunks/{folder}"
+        offered, sent = Observation(), Observation()
+        fresh = source.observe(offered, F.count(F.lit(1)).alias("rows"))
+        known = None
+        if snap.batches:
+            known = self.chunks(snapshot=snap).select("document_fingerprint").distinct()
+            fresh = fresh.join(known, "document_fingerprint", "left_anti").select(*STORED_COLUMNS)
+        fresh.observe(sent, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         written = self.spark.read.schema(STORED_CHUNK).parquet(path)
         finite = is_finite_vector(F.col("embedding"))
         found = written.agg(
@@ -198,53 +245,72 @@ class ChunkStore:
             F.min(F.when(finite, F.size("embedding"))).alias("low"),
             F.max(F.when(finite, F.size("embedding"))).alias("high"),
         ).first()
-        if found.rows != sent.get["rows"]:
-            raise StoreError("INDEX_COUNT_MISMATCH", {"expected": sent.get["rows"], "actual": found.rows})
-        if found.rows == 0:
+        expected = sent.get["rows"]
+        if found.rows != expected:
+            raise StoreError("INDEX_COUNT_MISMATCH", {"expected": expected, "actual": found.rows})
+        came = offered.get["rows"]
+        if came == 0 and not empty_ok:
+            raise StoreError("NO_CHUNKS_TO_INDEX", {"batch": batch})
+        if came == 0:
             return snap.version
-        version, stored = snap.version + 1, self.dimension()
-        if found.invalid == 0 and found.low == found.high and stored in (None, found.low):
-            self._commit(version, "append", batch, found.rows, found.low)
-            return version
-        checked = document_vector_errors(written, stored)
-        checked.filter(F.col("error_code").isNotNull()).write.mode("overwrite").parquet(
-            self._tombstone(version)
-        )
-        kept = checked.filter(F.col("error_code").isNull()).agg(F.max("dimension").alias("d")).first().d
-        self._commit(version, "append_filtered", batch, found.rows, kept if stored is None else stored)
-        return version
+        rows = found.rows
+        if rows and written.select("chunk_id").distinct().count() != rows:
+            folder = f"{folder}-once"
+            path = f"{self.root}/chunks/{folder}"
+            written.dropDuplicates(["chunk_id"]).write.parquet(path)
+            written = self.spark.read.schema(STORED_CHUNK).parquet(path)
+            rows = written.count()
+        refused = []
+        if known is not None and found.rows < came:
+            held = source.select("document_fingerprint").distinct().join(known, "document_fingerprint", "left_semi")
+            refused.append(held.withColumn("error_code", F.lit("DOCUMENT_ALREADY_INDEXED")))
+        tombstone = None
+        # A store whose documents are all deleted takes vectors of any dimension.
+        dimension = None if self.chunks(snapshot=snap).isEmpty() else snap.dimension
+        if rows and not (found.invalid == 0 and found.low == found.high and dimension in (None, found.low)):
+            checked = document_vector_errors(written, dimension)
+            bad = checked.filter(F.col("error_code").isNotNull())
+            refused.append(bad.select("document_fingerprint", "error_code"))
+            tombstone = folder
+            bad.select("document_fingerprint").write.parquet(f"{self.root}/tombstones/{folder}")
+            kept = checked.filter(F.col("error_code").isNull()).agg(F.max("dimension").alias("d")).first().d
+            dimension = kept if dimension is None else dimension
+        elif rows:
+            dimension = found.low
+        if refused:
+            told = refused[0] if len(refused) == 1 else refused[0].unionByName(refused[1])
+            told.write.parquet(f"{self.root}/rejected/{folder}")
+        return self._commit(
+            snap, "append", batch=batch, folder=folder, rows=rows, dimension=dimension, tombstone=tombstone,
+            rejected=folder if refused else None,
+        )
 
     def rejected(self, batch: str) -> DataFrame:
-        """Documents of a batch left out for their vectors: ``document_fingerprint, error_code``."""
-        schema = "document_fingerprint string, error_code string"
-        for entry in self._manifest():
-            if entry.action == "append_filtered" and entry.batch == batch:
-                return self.spark.read.schema(schema).parquet(self._tombstone(entry.version))
-        return self.spark.createDataFrame([], schema)
+        """Documents of a batch that were not stored: ``document_fingerprint, error_code``."""
+        folders = [folder for name, folder in self.snapshot().refusals if name == batch]
+        if not folders:
+            return self.spark.createDataFrame([], REJECTED)
+        return self.spark.read.schema(REJECTED).parquet(*[f"{self.root}/rejected/{f}" for f in folders])
 
     def delete(self, document_ids: DataFrame) -> int:
         """Remove all chunks of the documents in ``document_fingerprint``."""
-        version = self.snapshot().version + 1
-        document_ids.select("document_fingerprint").distinct().write.mode("overwrite").parquet(
-            self._tombstone(version)
-        )
-        self._commit(version, "delete")
-        return version
+        folder = f"delete-{uuid.uuid4().hex}"
+        document_ids.select("document_fingerprint").distinct().write.parquet(f"{self.root}/tombstones/{folder}")
+        return self._retried(lambda snap: self._commit(snap, "delete", tombstone=folder))
 
     def reset(self) -> int:
-        version = self.snapshot().version + 1
-        self._commit(version, "reset")
-        return version
+        return self._retried(lambda snap: self._commit(snap, "reset"))
 
     def compact(self) -> int:
         """Rewrite the live chunks as one batch, ordered by document for data skipping."""
-        snap = self.snapshot()
-        batch = f"compact-{snap.version + 1:012d}"
-        path = f"{self.root}/chunks/{batch}"
-        live = self.chunks(snapshot=snap)
-        live.repartitionByRange("document_fingerprint", "sequence").sortWithinPartitions(
-            "document_fingerprint", "sequence"
-        ).write.mode("overwrite").parquet(path)
-        rows = self.spark.read.schema(STORED_CHUNK).parquet(path).count()
-        self._commit(snap.version + 1, "compact", batch, rows, snap.dimension)
-        return snap.version + 1
+
+        def rewrite(snap: Snapshot) -> int | None:
+            folder = f"compact-{uuid.uuid4().hex}"
+            path = f"{self.root}/chunks/{folder}"
+            self.chunks(snapshot=snap).repartitionByRange("document_fingerprint", "sequence").sortWithinPartitions(
+                "document_fingerprint", "sequence"
+            ).write.parquet(path)
+            rows = self.spark.read.schema(STORED_CHUNK).parquet(path).count()
+            return self._commit(snap, "compact", batch=folder, folder=folder, rows=rows, dimension=snap.dimension)
+
+        return self._retried(rewrite)

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pagewright.config import EngineConfig
 from pagewright.operators.embedding import Embedder
 from pagewright.plans.answer import Generator, answer_batch
+from pagewright.session import scratch_scope
 from pagewright.sources.store import ChunkStore
 
 
@@ -26,9 +27,10 @@ def answer_stream(
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         name = f"batch={batch_id:012d}"
-        answered, rejected = answer_batch(batch, store.chunks(), embedder, generator, cfg)
-        answered.write.mode("overwrite").parquet(f"{answers}/{name}")
-        rejected.write.mode("overwrite").parquet(f"{answers}-rejected/{name}")
+        with scratch_scope(store.spark):
+            answered, rejected = answer_batch(batch, store.chunks(), embedder, generator, cfg)
+            answered.write.mode("overwrite").parquet(f"{answers}/{name}")
+            rejected.write.mode("overwrite").parquet(f"{answers}-rejected/{name}")
 
     return (
         questions.writeStream.foreachBatch(one_batch)
