@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -106,17 +107,27 @@ class Transducer:
         self.ids = {p: i for i, p in enumerate(model.pieces) if model.kinds[i] in (NORMAL, UNUSED)}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(model.pieces) if model.kinds[i] == BYTE}
         self.unknown = model.kinds.index(UNKNOWN)
-        self.longest = max(map(len, self.ids), default=1)
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece crosses the start of a word")
         # Parts: a run of marks with the word behind it; a line break alone if no piece holds it.
-        self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.line_breaks = re.compile("(\n)") if "\n" not in inner else None
+        self.line_breaks = "\n" not in inner
+        word = f"[^{MARK}\n]" if self.line_breaks else f"[^{MARK}]"
+        self.parts = re.compile(f"{MARK}*{word}+|{MARK}+|\n")
         # The piece machine: prefixes of pieces are its states.
-        self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
-        self.stable: dict[tuple[str, str], bool] = {}
+        # A state maps a character to the next state, and "" to itself where a piece ends.
+        self.states: dict = {}
+        for piece in self.ids:
+            state = self.states
+            for c in piece:
+                state = state.setdefault(c, {})
+            state[""] = state
+        self.stable: dict[str, dict[str, bool]] = {}
+        self.histories: dict[str, list | None] = {}
+        self.pairs = 0
+        # Outputs of parts, in two generations so that a full cache loses only what is unused.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cached = cached
         self.plain = [p.replace(MARK, " ").encode() for p in model.pieces]
         for value, i in self.bytes.items():
@@ -132,9 +143,10 @@ class Transducer:
         text = text.replace(" ", MARK)
         return MARK + text if text and self.model.dummy_prefix else text
 
-    def merged(self, text: str) -> list[str]:
-        """Symbols of ``text`` after all merges, best score first, then leftmost."""
-        symbols, scores = list(text), self.model.scores
+    def merges(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
+        """All merges of ``text``, best score first, then leftmost: the symbols left, and for
+        each merge its score and the first and last symbol after it."""
+        symbols, done, scores = list(text), [], self.model.scores
         while len(symbols) > 1:
             best, at = -math.inf, -1
             for i in range(len(symbols) - 1):
@@ -144,76 +156,154 @@ class Transducer:
             if at < 0:
                 break
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
+            done.append((best, symbols[0], symbols[-1]))
+        return symbols, done
+
+    def history(self, piece: str) -> list[tuple[float, str, str]] | None:
+        """The merges that make a piece from its characters; null if others come first."""
+        if piece not in self.histories:  # pieces and single characters
+            symbols, done = self.merges(piece)
+            self.histories[piece] = done if symbols == [piece] else None
+        return self.histories[piece]
 
     def neighbours(self, a: str, b: str) -> bool:
         """Whether the pair acceptor has a finite arc; ``a`` is empty at the start."""
-        found = self.stable.get((a, b))
+        own = self.stable.get(a)
+        if own is None:
+            own = self.stable[a] = {}
+        found = own.get(b)
         if found is None:
-            if len(self.stable) > 4 * self.cached:
+            self.pairs += 1
+            if self.pairs > 4 * self.cached:
                 self.stable.clear()
-            found = self.stable[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+                self.pairs, own = 0, self.stable.setdefault(a, {})
+            found = own[b] = self.history(b) is not None and (not a or self.stays_apart(a, b))
         return found
 
-    def arcs(self, text: str, at: int) -> Iterator[tuple[int, float]]:
-        """End and cost of the piece machine's arcs from a position; single characters always
-        have one, by byte fallback if need be."""
-        scores, ids = self.model.scores, self.ids
-        for end in range(at + 1, min(len(text), at + self.longest) + 1):
-            part = text[at:end]
-            i = ids.get(part)
-            if i is not None:
-                yield end, 0.0 if self.model.bpe else -scores[i]
-            elif end == at + 1:
-                yield end, 0.0 if self.model.bpe else FALLBACK_COST - min(scores)
-            if part not in self.prefixes:
-                return
+    def stays_apart(self, a: str, b: str) -> bool:
+        """Whether no merge crosses the boundary while both pieces are merged side by side."""
+        left, right = self.history(a), self.history(b)
+        if left is None or right is None:
+            return False
+        x, y, i, j = a[-1], b[0], 0, 0
+        while True:
+            crossing = self.ids.get(x + y)
+            mine = left[i][0] if i < len(left) else -math.inf
+            theirs = right[j][0] if j < len(right) else -math.inf
+            if crossing is not None:
+                score = self.model.scores[crossing]
+                if score > mine and score >= theirs:
+                    return False
+            if i == len(left) and j == len(right):
+                return True
+            if mine >= theirs and i < len(left):
+                x, i = left[i][2], i + 1
+            else:
+                y, j = right[j][1], j + 1
+
+    def arcs(self, text: str, at: int) -> list[int]:
+        """Ends of the piece machine's arcs from a position; single characters always have
+        one, by byte fallback if need be."""
+        ends = [at + 1]
+        state = self.states.get(text[at])
+        if state is not None:
+            for end in range(at + 2, len(text) + 1):
+                state = state.get(text[end - 1])
+                if state is None:
+                    break
+                if "" in state:
+                    ends.append(end)
+        return ends
 
     def shortest(self, text: str) -> list[str]:
         """The tropical shortest path through the lattice of one part."""
-        # A state of a BPE lattice is a position and the piece before it; of the finite paths
-        # to a position there is one at most, so positions suffice.
+        return self.finite_path(text) if self.model.bpe else self.cheapest_path(text)
+
+    def cheapest_path(self, text: str) -> list[str]:
+        """Positions in order: the lattice has no cycle."""
+        scores = self.model.scores
+        fallback = FALLBACK_COST - min(scores)
         cost, back = [math.inf] * (len(text) + 1), [0] * (len(text) + 1)
         cost[0] = 0.0
         for at in range(len(text)):
-            if cost[at] == math.inf:
-                continue
-            before = text[back[at] : at]
-            for end, arc in self.arcs(text, at):
-                if cost[at] + arc < cost[end] and (not self.model.bpe or self.neighbours(before, text[at:end])):
-                    cost[end], back[end] = cost[at] + arc, at
+            for end in self.arcs(text, at):
+                i = self.ids.get(text[at:end])
+                total = cost[at] + (fallback if i is None else -scores[i])
+                if total < cost[end]:
+                    cost[end], back[end] = total, at
         path, at = [], len(text)
         while at:
             path.append(text[back[at] : at])
             at = back[at]
         return path[::-1]
 
+    def finite_path(self, text: str) -> list[str]:
+        """All arcs cost nothing or are infinite, and of the finite paths to a position there is
+        one at most: so the first path that arrives is the shortest, and a position that led
+        nowhere is not tried again. Longest pieces first."""
+        n, at, before = len(text), 0, ""
+        path: list[str] = []
+        todo = [self.arcs(text, 0)]
+        seen = set()
+        stable = self.stable
+        while at < n:
+            ends = todo[-1]
+            while ends:
+                end = ends.pop()
+                if end in seen:
+                    continue
+                piece = text[at:end]
+                try:
+                    fits = stable[before][piece]
+                except KeyError:
+                    fits = self.neighbours(before, piece)
+                if fits:
+                    seen.add(end)
+                    before = piece
+                    path.append(piece)
+                    at = end
+                    if at < n:
+                        todo.append(self.arcs(text, at))
+                    break
+            else:
+                todo.pop()
+                at -= len(path.pop())
+                before = path[-1] if path else ""
+        return path
+
     def outputs(self, part: str) -> bytes:
-        found = self.known.get(part)
+        ids: list[int] = []
+        for piece in self.shortest(part):
+            i = self.ids.get(piece)
+            if i is not None:
+                ids.append(i)
+            elif self.bytes:
+                ids += [self.bytes[b] for b in piece.encode()]
+            else:
+                ids.append(self.unknown)
+        return array("i", ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Outputs of a mark and a word."""
+        found = self.older.get(word)
         if found is None:
+            found = b"".join(map(self.outputs, self.parts.findall(MARK + word)))
+        if len(word) < 64:
             if len(self.known) > self.cached:
-                self.known.clear()
-            ids: list[int] = []
-            for piece in self.shortest(part):
-                if (i := self.ids.get(piece)) is not None:
-                    ids.append(i)
-                elif self.bytes:
-                    ids += [self.bytes[b] for b in piece.encode()]
-                else:
-                    ids.append(self.unknown)
-            found = np.array(ids, "<i4").tobytes()
-            if len(part) < 64:
-                self.known[part] = found
+                self.known, self.older = {}, self.known
+            self.known[word] = found
         return found
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit numbers."""
-        parts = self.parts.findall(self.normalised(text))
-        if self.line_breaks is not None and "\n" in text:
-            parts = [p for part in parts for p in self.line_breaks.split(part) if p]
-        out = list(map(self.known.get, parts))
+        text = self.normalised(text)
+        if text[:1] != MARK or text[-1:] == MARK or MARK + MARK in text:
+            return b"".join(map(self.outputs, self.parts.findall(text)))
+        words = text[1:].split(MARK)  # each with one mark before it
+        out = list(map(self.known.get, words))
         if None in out:
-            out = [self.outputs(p) if x is None else x for x, p in zip(out, parts)]
+            known = self.known
+            out = [known.get(w) or self.word(w) if x is None else x for x, w in zip(out, words)]
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:
