@@ -36,12 +36,14 @@ from .words import mix
 class PivotIndex:
     """``nearest`` of the reference points describe a vector, and ``shared`` of them must be
     common to a candidate pair. There is about one reference point for ``per_pivot`` vectors,
-    within the bounds given, so that lists stay about equally long while a table grows."""
+    within the bounds given, so that lists stay about equally long while a table grows.
+    Reference points are less similar than ``apart``: close ones would split clusters."""
 
     cosine: float = 0.98
     nearest: int = 8
     shared: int = 2
-    per_pivot: int = 128
+    per_pivot: int = 256
+    apart: float = 0.9
     least_pivots: int = 64
     most_pivots: int = 4096
     sample: int = 8192
@@ -154,6 +156,19 @@ def _lists(cfg: PivotIndex):
     return run
 
 
+def _apart(points: np.ndarray, wanted: int, most: float) -> np.ndarray:
+    """The first ``wanted`` points that are not too similar to an earlier one."""
+    kept: list[int] = []
+    near = np.full(len(points), -1.0)
+    for i in range(len(points)):
+        if len(kept) == wanted:
+            break
+        if near[i] < most:
+            kept.append(i)
+            near = np.maximum(near, points @ points[i])
+    return points[kept]
+
+
 def reference_points(vectors: DataFrame, cfg: PivotIndex) -> dict[int, np.ndarray]:
     """Unit reference points per dimension, from the sample."""
     n = vectors.count()
@@ -167,7 +182,7 @@ def reference_points(vectors: DataFrame, cfg: PivotIndex) -> dict[int, np.ndarra
     for (dim,) in vectors.select(F.size("embedding")).distinct().collect():  # one row per dimension
         if dim > 0:
             fill = np.random.default_rng(dim).standard_normal((cfg.least_pivots, dim))
-            out[dim] = _unit(np.vstack([*by_dim.get(dim, [])[:wanted], fill]))[: max(wanted, cfg.least_pivots)]
+            out[dim] = _apart(_unit(np.vstack([*by_dim.get(dim, []), fill])), wanted, cfg.apart)
     return out
 
 
