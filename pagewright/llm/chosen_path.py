@@ -6,7 +6,8 @@ hash, and each document goes to the children named by its tokens there. Two docu
 equal tokens at a chosen coordinate stay together, so similar pairs meet in some deep node of
 some tree, and others part early. Since choices depend on the node alone, each document finds
 its nodes by itself; one shuffle brings the members of a node together. Nodes that are still
-large branch on. Members of a node are compared, on whole sets, until they are connected.
+large branch on. Members of a node are compared on whole sets; a node whose members are all connected
+already is left alone.
 
 Defined results: null or empty texts and texts without words have no shingles and link with
 nothing. Rows without ``doc_id`` link with nothing, and have no component; they are kept.
@@ -16,7 +17,6 @@ other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import link_within_nodes, prepare, stored
-from .words import BASE, minhash, minhash_parameters, mix, set_digest, shingle_sets, texts_of, word_hashes
+from .common import prepare, stored
+from .set_links import distinct_nodes, link_within_nodes, texts_by_id
+from .words import BASE, minhash, minhash_parameters, mix, set_digest, shingle_sets, slices, texts_of, word_hashes
 
 SIZE = 64  # minwise tokens of a sketch
 SEED = 20
@@ -44,7 +45,7 @@ class ChosenPath:
     percent: int = 75
     trees: int = 12
     depth: int = 3
-    large_node: int = 256
+    large_node: int = 2048
     deepest: int = 6
     salts: int = 64
 
@@ -52,7 +53,7 @@ class ChosenPath:
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parameters = minhash_parameters(SIZE, SEED)
-        for batch in batches:
+        for batch in slices(batches, 1):
             words, _, _, counts = word_hashes(texts_of(batch.column(1)))
             sets = shingle_sets(words, counts, width)
             digests = [set_digest(s) for s in sets]
@@ -70,24 +71,30 @@ def _sketches(width: int):
     return run
 
 
-def choose(nodes: np.ndarray, sure: int, chance: float) -> tuple[np.ndarray, np.ndarray]:
-    """The coordinates that each node chooses: ``sure`` ones, and one more with ``chance``.
-    Returns rows of ``nodes`` and coordinates."""
+def choose(nodes: np.ndarray, chance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The coordinates that each node chooses: one, and another with ``chance``. Returns rows of
+    ``nodes`` and coordinates."""
     order = mix(nodes[:, None] + np.arange(1, SIZE + 1, dtype=np.uint64) * np.uint64(BASE))
-    best = np.argsort(order, axis=1)[:, : sure + 1]
-    extra = mix(nodes ^ np.uint64(0xA24BAED4963EE407)) < np.uint64(int(chance * (2**64 - 1)))
-    rows = np.repeat(np.arange(len(nodes)), sure)
-    more = np.flatnonzero(extra)
-    return np.concatenate([rows, more]), np.concatenate([best[:, :sure].ravel(), best[more, sure]])
+    first = order.argmin(axis=1)
+    more = np.flatnonzero(mix(nodes ^ np.uint64(0xA24BAED4963EE407)) < np.uint64(int(chance * (2**64 - 1))))
+    rest = order[more]
+    rest[np.arange(len(more)), first[more]] = np.iinfo(np.uint64).max
+    return np.concatenate([np.arange(len(nodes)), more]), np.concatenate([first, rest.argmin(axis=1)])
 
 
-def branch(nodes: np.ndarray, tokens: np.ndarray, sure: int, chance: float) -> tuple[np.ndarray, np.ndarray]:
+def branch(nodes: np.ndarray, tokens: np.ndarray, chance: float = 1 / 3) -> tuple[np.ndarray, np.ndarray]:
     """Children of ``nodes``, given each one's row of ``tokens``, and the parents' rows."""
-    rows, at = choose(nodes, sure, chance)
+    rows, at = choose(nodes, chance)
     token = tokens[rows, at].astype(np.uint64)
     return mix(mix(nodes[rows] + at.astype(np.uint64)) ^ (token * np.uint64(BASE))), rows
 
 
+def _few_rows(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def _tokens(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIZE)
 
@@ -100,11 +107,11 @@ def _nodes(ids: pa.Array, rows: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch
 def _first_nodes(cfg: ChosenPath):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mix(np.arange(1, cfg.trees + 1, dtype=np.uint64) * np.uint64(BASE))
-        for batch in batches:
+        for batch in _few_rows(batches):
             tokens = _tokens(batch.column(1))
             rows, nodes = np.repeat(np.arange(len(tokens)), cfg.trees), np.tile(roots, len(tokens))
             for _ in range(cfg.depth):
-                nodes, parents = branch(nodes, tokens[rows], 1, 1 / 3)
+                nodes, parents = branch(nodes, tokens[rows])
                 rows = rows[parents]
             yield _nodes(batch.column(0), rows, nodes)
 
@@ -112,9 +119,9 @@ def _first_nodes(cfg: ChosenPath):
 
 
 def _next_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _few_rows(batches):
         nodes = batch.column(0).to_numpy().view(np.uint64)
-        children, rows = branch(nodes, _tokens(batch.column(2)), 2, 0.0)
+        children, rows = branch(nodes, _tokens(batch.column(2)))
         yield _nodes(batch.column(1), rows, children)
 
 
@@ -135,23 +142,6 @@ def path_nodes(sketches: DataFrame, cfg: ChosenPath) -> DataFrame:
     return leaves
 
 
-def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codec = pa.Codec("zstd", 3)
-    for batch in batches:
-        packed = [len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts_of(batch.column(1))]
-        yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
-
-
-def unpack(packed: bytes) -> bytes:
-    return pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
-
-
-def texts_by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id`` and compressed text of the rows of ``docs`` (``id``, ``text``) whose id is in ``ids``."""
-    packed = docs.select("id", "text").mapInArrow(_compress, "id bigint, packed binary")
-    return packed.join(ids.select("id").distinct(), "id", "left_semi")
-
-
 def _alike(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = int(SCREEN * SIZE)
@@ -165,41 +155,6 @@ def _alike(percent: int):
     return run
 
 
-def _compare(width: int, percent: int):
-    """Rows sorted by head and salt, the head's own text first: a, b, packed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, mine = None, None
-        for batch in batches:
-            texts = [unpack(x) for x in batch.column(3).to_pylist()]
-            words, _, _, counts = word_hashes(texts)
-            links = []
-            rows = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(words, counts, width))
-            for a, b, found in rows:
-                if b is None:
-                    head, mine = a, found
-                elif head == a and len(found):
-                    both = len(np.intersect1d(mine, found, assume_unique=True))
-                    if 100 * both >= percent * (len(mine) + len(found) - both):
-                        links.append((a, b))
-            yield pa.record_batch(
-                [pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"]
-            )
-
-    return run
-
-
-def confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int, salts: int) -> DataFrame:
-    """The pairs whose whole shingle sets are similar. The members of a popular head are dealt
-    to ``salts`` groups, each with a copy of the head's text."""
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
-    members = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "packed")
-    heads = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a")
-    heads = heads.select("a", "salt", F.lit(None).cast("bigint").alias("b"), "packed")
-    rows = members.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_compare(width, percent), "a bigint, b bigint").distinct()
-
-
 def near_duplicates(
     docs: DataFrame, cfg: ChosenPath = ChosenPath(), doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -217,17 +172,15 @@ def near_duplicates(
         .select("id", "n", "sketch"),
         "representative-sketches",
     )
-    nodes = stored(path_nodes(sketches, cfg), "leaves")
-    texts = stored(texts_by_id(docs, nodes), "texts")
+    nodes = distinct_nodes(path_nodes(sketches, cfg))
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def likely(pairs: DataFrame) -> DataFrame:
         a = sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
         b = sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-        likely = stored(both.mapInArrow(_alike(cfg.percent), "a bigint, b bigint"), "likely")
-        return confirm_pairs(likely, texts, cfg.width, cfg.percent, cfg.salts)
+        return both.mapInArrow(_alike(cfg.percent), "a bigint, b bigint")
 
-    found = link_within_nodes(nodes, confirm)
+    found = link_within_nodes(nodes, texts_by_id(docs, nodes), likely, cfg.width, cfg.percent, cfg.salts)
     # One id may stand for several sets, if its rows differ: all of them are then one class.
     group = same.join(found, same["rep"] == found["id"], "left").select(
         "one", "two", F.coalesce("component", "rep").alias("component_id")

@@ -19,26 +19,47 @@ from .words import shingle_sets, slices, texts_of, word_hashes
 TILE_TEXTS = 1024
 TILE_SHINGLES = 400_000
 COLUMNS = 4096
+FILTER_BITS = 1 << 26
 
 
-def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codec = pa.Codec("zstd", 3)
-    for batch in batches:
-        texts = texts_of(batch.column(1))
-        packed = [len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts]
-        words = [len(t.split()) for t in texts]
-        yield pa.record_batch([batch.column(0), pa.array(words, pa.int64()), pa.array(packed, pa.binary())], ["id", "shingles", "packed"])
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A fixed 8 MB filter: bit ``xxhash64(id) mod 2^26`` is set for every id. Beyond some ten
+    millions of ids it lets ever more others pass, which only costs work."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word"))
+    found = words.agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
 
 
-def unpack(packed: bytes) -> bytes:
-    return pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
+def _compress(wanted: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
+        for batch in batches:
+            bit = batch.column(2).to_numpy().astype(np.uint64)
+            batch = batch.filter(pa.array((wanted[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1))
+            texts = texts_of(batch.column(1))
+            packed = [len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts]
+            words = [len(t.split()) for t in texts]
+            columns = [batch.column(0), pa.array(words, pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.record_batch(columns, ["id", "shingles", "packed"])
+
+    return run
 
 
 def texts_by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``id``, compressed text and number of words (a bound for shingles) of the rows of
-    ``docs`` (``id``, ``text``) whose id is in ``ids``."""
-    packed = docs.select("id", "text").mapInArrow(_compress, "id bigint, shingles bigint, packed binary")
-    return packed.join(ids.select("id").distinct(), "id", "left_semi")
+    ``docs`` (``id``, ``text``) whose id is in ``ids``. A filter of bounded size drops most
+    other texts before they are shuffled."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit")
+    likely = docs.filter("id is not null").select("id", "text", bit)
+    packed = likely.mapInArrow(_compress(id_filter(ids)), "id bigint, shingles bigint, packed binary")
+    return packed.join(ids.select("id").distinct().hint("merge"), "id", "left_semi")
+
+
+def unpack(packed: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
 
 
 def _compare(width: int, percent: int):

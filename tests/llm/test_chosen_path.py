@@ -62,7 +62,7 @@ def test_word_hashes_are_of_words_alone():
 def test_equal_tokens_stay_together():
     tokens = np.arange(128, dtype=np.uint32).reshape(2, 64)
     tokens[1] = tokens[0]
-    children, rows = branch(mix(np.array([9, 9], np.uint64)), tokens, 1, 1 / 3)
+    children, rows = branch(mix(np.array([9, 9], np.uint64)), tokens)
     assert sorted(children[rows == 0]) == sorted(children[rows == 1])
 
 
