@@ -644,6 +644,16 @@ ORACLES: dict[str, str] = {
     "store_round_trip": chain(VECTORS)
     + f"""select chunk_id, document_fingerprint || '-' || label as document_fingerprint, sequence,
       {millionths("embedding")} as vector from vectors where label not in (2, 7)""",
+    "store_append_twice": chain(*CHUNKS) + CHUNK_SELECT,
+    "refused_appends": chain(VECTORS)
+    + """select distinct document_fingerprint, 'DOCUMENT_ALREADY_INDEXED' as error_code from vectors
+    where sequence % 2 = 0 and document_fingerprint < 'd15'""",
+    "question_vectors": chain(VECTORS, DAMAGED)
+    + f"""select question_id, case when invalid or len(embedding) <> 64 then 0
+        else least({fx.CFG.top_k}, (select count(*) from vectors)) end::int as neighbours,
+      case when invalid then 'EMBEDDING_INVALID_VALUE'
+        when len(embedding) <> 64 then 'INDEX_EMBEDDING_DIMENSION_CONFLICT' else '' end as error_code,
+      case when invalid then 502 when len(embedding) <> 64 then 409 else 0 end as error_status from judged""",
     "absent_inserts": chain(VECTORS)
     + "select chunk_id, document_fingerprint, sequence from vectors where label > 3 and not label < 6",
     "count_verification": chain(VECTORS)
@@ -710,6 +720,10 @@ ORACLES: dict[str, str] = {
       turn % 2 = 0 as abstained
     from conversations""",
     "answers": answer_sql(fx.CFG.max_context_tokens, True),
+    "answer_json": answer_sql(fx.CFG.max_context_tokens, True),
+    # The route of every question is known beforehand.
+    "question_route": chain(QUESTIONS)
+    + "select question_id, expected as document_level, true as as_expected from questions",
     "answers_without_fallback": answer_sql(fx.NO_FALLBACK.max_context_tokens, False),
     "stage_timings": chain(LOG)
     + """select event, stage, count(*) as events, round(avg(ms), 4) as mean_ms, quantile_disc(ms, 0.5) as p50_ms,
@@ -724,5 +738,6 @@ ORACLES: dict[str, str] = {
       coalesce(round(avg(case when event_type = 'signup' then value end), 4), -1) as mean_latency_ms
     from log group by event, level""",
     "stream_ingest": chain(*CHUNKS) + CHUNK_SELECT,
+    "stream_two_sources": chain(*CHUNKS) + CHUNK_SELECT,
     "stream_answers": answer_sql(fx.CFG.max_context_tokens, True),
 }

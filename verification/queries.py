@@ -18,7 +18,7 @@ from pagewright.functions.routing import fold_question
 from pagewright.operators import admission, documents, embedding, evaluation, overview, telemetry
 from pagewright.operators.chunking import chunk_documents
 from pagewright.operators.context import build_context, retrieval_diagnostics, rounded_distance
-from pagewright.operators.knn import accept, knn, rank_candidates
+from pagewright.operators.knn import accept, knn, rank_candidates, split_finite
 from pagewright.operators.routing import route_questions
 from pagewright.operators.units import normalize_pages, page_units
 from pagewright.plans.answer import answer_batch, with_chunk_columns
@@ -434,6 +434,41 @@ def store_round_trip(spark, sf_dir):
     )
 
 
+@query
+def store_append_twice(spark, sf_dir):
+    """Real chunks appended in overlapping parts, and every chunk once more: each is kept once,
+    with its text, pages and boundaries."""
+    store = _new_store(spark)
+    chunks = materialize(fx.stored_chunks(spark, sf_dir), "query-chunks")
+    low = F.col("document_fingerprint") < "a"
+    store.append(chunks.filter(low).unionByName(chunks.filter(low)), "low")
+    store.append(chunks, "all")
+    store.append(chunks, "again")
+    return chunk_view(store.chunks())
+
+
+@query
+def refused_appends(spark, sf_dir):
+    """Documents that a second append found stored already."""
+    store = _new_store(spark)
+    rows = _stored(fx.vectors(spark, sf_dir))
+    store.append(rows.filter("sequence % 2 = 0 and document_fingerprint < 'd15'"), "first")
+    store.append(rows, "second")
+    return store.rejected("second")
+
+
+@query
+def question_vectors(spark, sf_dir):
+    """Damaged vectors as questions: an error each, and neighbours for the sound ones."""
+    good, bad = embedding.validate_vectors(_damaged(spark, sf_dir), stored_dimension=64)
+    corpus = fx.vectors(spark, sf_dir).drop("question_id")
+    hits, undefined = split_finite(knn(good, corpus, fx.CFG.top_k, "cosine", fx.CFG, check=False))
+    found = hits.groupBy("question_id").agg(F.count("*").cast("int").alias("neighbours"))
+    answered = found.select("question_id", "neighbours", F.lit("").alias("error_code"), F.lit(0).alias("error_status"))
+    failed = bad.select("question_id", "error_code", "error_status").unionByName(undefined)
+    return answered.unionByName(failed.select("question_id", F.lit(0).alias("neighbours"), "error_code", "error_status"))
+
+
 @query
 def absent_inserts(spark, sf_dir):
     """Two overlapping halves of the vector table, the second inserted where absent."""
@@ -620,11 +655,33 @@ def answers_without_fallback(spark, sf_dir):
     return _flat_answers(answered)
 
 
+PAYLOAD = (
+    "answer string, status string, sources array<struct<source_id string, filename string, chunk_id string, "
+    "start_page int, end_page int, sequence int, rank int, distance double>>, retrieval struct<candidates int, "
+    "accepted int, top_k int, relevance_threshold double, context_token_estimate int, mode string>"
+)
+
+
 @query
 def answer_json(spark, sf_dir):
+    """The JSON payloads, read back."""
     chunks = materialize(fx.stored_chunks(spark, sf_dir), "answer-chunks")
     answered, _ = answer_batch(fx.questions(spark, sf_dir), chunks, cfg=fx.CFG)
-    return answer_payloads(answered)
+    told = answer_payloads(answered).select("question_id", F.from_json("payload", PAYLOAD).alias("p"))
+    return _flat_answers(
+        told.select(
+            "question_id",
+            "p.answer",
+            "p.status",
+            "p.retrieval.mode",
+            F.col("p.retrieval.candidates").alias("candidate_count"),
+            F.col("p.retrieval.accepted").alias("accepted_count"),
+            "p.retrieval.top_k",
+            "p.retrieval.relevance_threshold",
+            "p.retrieval.context_token_estimate",
+            "p.sources",
+        )
+    )
 
 
 # --- telemetry ----------------------------------------------------------------------------------
@@ -661,6 +718,19 @@ def stream_ingest(spark, sf_dir):
     return chunk_view(store.chunks())
 
 
+@query
+def stream_two_sources(spark, sf_dir):
+    """Two streams feed one store: together they hold what one batch would."""
+    pages = fx.decorated_pages(spark, sf_dir)
+    store = _new_store(spark)
+    for part, rows in (("low", pages.filter("document_id < 'a'")), ("high", pages.filter("document_id >= 'a'"))):
+        incoming, work = scratch_path(spark, f"incoming-{part}"), scratch_path(spark, f"stream-{part}")
+        rows.repartition(2, "document_id").write.parquet(incoming)
+        source = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+        ingest_stream(source, store, f"{work}/checkpoint", f"{work}/reports", cfg=fx.CFG).awaitTermination()
+    return chunk_view(store.chunks())
+
+
 @query
 def stream_answers(spark, sf_dir):
     store = _new_store(spark)
