@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def timings() -> Column:
+    """Milliseconds by stage, from the fields of an event."""
+    return F.try_variant_get("fields", "$.timings_ms", "map<string,double>")
+
+
 def stage_timings(events: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Per event and stage: count, mean and percentiles of the stage's milliseconds.
     Percentiles are exact; with ``accuracy`` they come from a sketch of fixed size, which is
@@ -17,7 +22,7 @@ def stage_timings(events: DataFrame, accuracy: int | None = None) -> DataFrame:
         return F.percentile_approx("ms", share, accuracy)
 
     stages = events.select(
-        "event", F.explode("fields.timings_ms").alias("stage", "ms")
+        "event", F.explode(timings()).alias("stage", "ms")
     )
     return stages.groupBy("event", "stage").agg(
         F.count("*").alias("events"),
@@ -40,7 +45,7 @@ ANSWERED_EVENTS = ["query_generation_completed", "query_document_level_completed
 def query_outcomes(events: DataFrame) -> DataFrame:
     """One row: finished questions, share abstained, and time in retrieval and generation."""
     done = events.filter(F.col("event").isin(ABSTAINED_EVENTS + ANSWERED_EVENTS))
-    timing = F.col("fields.timings_ms")
+    timing = timings()
 
     def total(stage: str):
         return F.round(F.coalesce(F.sum(F.try_element_at(timing, F.lit(stage))), F.lit(0.0)), 2)
@@ -57,5 +62,5 @@ def query_outcomes(events: DataFrame) -> DataFrame:
 def event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("event", "level").agg(
         F.count("*").alias("events"),
-        F.round(F.avg("fields.latency_ms"), 4).alias("mean_latency_ms"),
+        F.round(F.avg(F.try_variant_get("fields", "$.latency_ms", "double")), 4).alias("mean_latency_ms"),
     )

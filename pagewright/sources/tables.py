@@ -41,9 +41,10 @@ def questions_from_requests(requests: DataFrame) -> DataFrame:
 
 def scan_log(spark: SparkSession, path: str) -> DataFrame:
     """Event log files, one JSON object per line."""
-    return spark.read.schema(LOG_EVENT).json(path)
+    return parse_log(spark.read.text(path), "value")
 
 
 def parse_log(lines: DataFrame, column: str = "line") -> DataFrame:
-    """The same from a column of JSON lines; lines that do not parse give null fields."""
+    """The same from a column of JSON lines; lines that do not parse give null fields. An
+    event's own ``fields`` stay whole, as a variant."""
     return lines.select(F.from_json(column, LOG_EVENT).alias("e")).select("e.*")

@@ -532,6 +532,8 @@ def opening(x: str) -> str:
 ORACLES: dict[str, str] = {
     "normalized_pages": chain(PAGES, NORMAL)
     + f"select document_id, page_number, text, {strip('raw')} = '' as empty, text = '' as blank from norm",
+    "scanned_pages": chain(PAGES, NORMAL)
+    + f"select document_id, page_number, text, {strip('raw')} = '' as empty, text = '' as blank from norm",
     "page_text_units": chain(PAGES, NORMAL, units(T))
     + "select document_id, page_number, unit_no, kind, n, text from units",
     "headings": chain(PAGES, NORMAL)
@@ -737,6 +739,10 @@ ORACLES: dict[str, str] = {
     + """select event, level, count(*) as events,
       coalesce(round(avg(case when event_type = 'signup' then value end), 4), -1) as mean_latency_ms
     from log group by event, level""",
+    "scanned_log": chain(LOG)
+    + """select event, level, count(*) as events,
+      coalesce(round(avg(case when event_type = 'signup' then value end), 4), -1) as mean_latency_ms
+    from log group by event, level""",
     "stream_ingest": chain(*CHUNKS) + CHUNK_SELECT,
     "stream_two_sources": chain(*CHUNKS) + CHUNK_SELECT,
     "stream_answers": answer_sql(fx.CFG.max_context_tokens, True),

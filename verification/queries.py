@@ -26,7 +26,7 @@ from pagewright.plans.ingest import first_uploads, ingest, uploads_to_index
 from pagewright.session import materialize, scratch_path
 from pagewright.sources.sinks import answer_payloads
 from pagewright.sources.store import ChunkStore, count_mismatches, insert_if_absent
-from pagewright.sources.tables import parse_log, questions_from_requests
+from pagewright.sources.tables import parse_log, questions_from_requests, scan_log, scan_pages
 from pagewright.streaming.answer import answer_stream
 from pagewright.streaming.ingest import ingest_stream
 from verification import fixtures as fx
@@ -70,6 +70,14 @@ def chunk_view(chunks: DataFrame) -> DataFrame:
 # --- text and chunking ---------------------------------------------------------
 
 
+@query
+def scanned_pages(spark, sf_dir):
+    """Pages written as a table and scanned from there."""
+    path = scratch_path(spark, "pages")
+    fx.decorated_pages(spark, sf_dir).select("document_id", "filename", "page_number", "text").write.parquet(path)
+    return normalize_pages(scan_pages(spark, path)).select("document_id", "page_number", "text", "empty", "blank")
+
+
 @query
 def normalized_pages(spark, sf_dir):
     return normalize_pages(fx.decorated_pages(spark, sf_dir)).select(
@@ -692,6 +700,15 @@ def stage_timings(spark, sf_dir):
     return telemetry.stage_timings(parse_log(fx.log_lines(spark, sf_dir)))
 
 
+@query
+def scanned_log(spark, sf_dir):
+    """Log lines written to files and scanned from there."""
+    path = scratch_path(spark, "log")
+    fx.log_lines(spark, sf_dir).write.text(path)
+    counts = telemetry.event_counts(scan_log(spark, path))
+    return counts.withColumn("mean_latency_ms", F.coalesce("mean_latency_ms", F.lit(-1.0)))
+
+
 @query
 def query_outcomes(spark, sf_dir):
     return telemetry.query_outcomes(parse_log(fx.log_lines(spark, sf_dir)))
