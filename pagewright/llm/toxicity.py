@@ -140,6 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, cfg: Toxicity) -> tuple[np.ndarray
     rows = stored(texts.mapInArrow(_training_rows(cfg), schema), "training-rows")
     fitted = rows.repartition(1).sortWithinPartitions("order").mapInArrow(_fit(cfg), "feature bigint, weight double")
     found = fitted.collect()  # at most max_weights + 1
+    if not found:  # nothing to learn from
+        return np.array([1 << cfg.bits], np.int64), np.zeros(1)
     return np.array([r.feature for r in found], np.int64), np.array([r.weight for r in found])
 
 

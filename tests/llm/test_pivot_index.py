@@ -35,14 +35,20 @@ def recall(found, links):
         true[a] = true.get(a, 0) + 1
         true[b] = true.get(b, 0) + 1
     assert all(r.n_links <= true.get(r.vec_id, 0) for r in found if r.vec_id is not None)
-    return sum(r.n_links for r in found) / max(1, 2 * len(links))
+    return sum(r.n_links for r in found) / (2 * len(links)) if links else 1.0
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-def test_given_vectors(spark):
-    table = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    links = links_of([(r.vec_id, r.embedding, r.label) for r in table.collect()])
-    assert recall(linked_vectors(table).collect(), links) >= 0.9
+def test_given_vectors_and_noisy_copies(spark):
+    rng = np.random.default_rng(9)
+    rows = [(r.vec_id, list(r.embedding), r.label, "", 1, "") for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
+    for vec, values, label, *_ in rows[::3]:
+        for copy in (1, 2):
+            noisy = np.array(values) + rng.standard_normal(len(values)) * 0.017 * copy
+            rows.append((vec + 10_000 * copy, noisy.tolist(), label, "", 1, ""))
+    links = links_of(rows)
+    assert len(links) > 100
+    assert recall(linked_vectors(spark.createDataFrame(rows, SCHEMA)).collect(), links) >= 0.9
 
 
 def test_clusters_copies_and_tiles(spark):
