@@ -58,7 +58,8 @@ def test_given_documents_keep_the_corpus_shares(spark):
             windows[p.window][p.source] += p.length
         if cfg.max_queues > 20:
             everything = sum(total.values())
-            for window in list(windows.values())[:-1]:
+            windows.pop(max(windows))  # the last one may be short
+            for window in windows.values():
                 for source, n in total.items():
                     assert abs(window[source] - cfg.window * 1024 * n / everything) < 1 + 1e-6
 
