@@ -1,5 +1,6 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import re
 from pathlib import Path
 
 import duckdb
@@ -21,9 +22,9 @@ def tables(sf_dir):
 
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
-    # Routing needs look-ahead, which the SQL engine's patterns lack; the payloads repeat
-    # the answers as JSON.
-    assert set(QUERIES) - set(SQL) == {"question_route", "answer_json"}
+    # Operators for training data are compared with brute force instead.
+    without = {name for name in set(QUERIES) - set(SQL) if not re.match(r"op\d+_|pipeline$", name)}
+    assert not without
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
