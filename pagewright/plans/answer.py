@@ -49,17 +49,28 @@ class Generator:
 
 
 def generate(prompts_df: DataFrame, generator: Generator | None) -> DataFrame:
-    """Add ``answer``. Without a generator, the question's first line is echoed."""
+    """Add ``answer``. Without a generator, the question's first line is echoed. A prompt that
+    the generator fails on, or gives no answer for, has a null answer."""
     if generator is None:
         return prompts_df.withColumn("answer", prompts.echo_answer(F.col("user_message")))
     call, batch = generator.generate, generator.batch
 
+    def ask(pairs: list[tuple[str, str]]) -> list[str | None]:
+        try:
+            got = list(call(pairs))
+        except Exception:  # noqa: BLE001  a user's model may raise anything
+            got = []
+        if len(got) == len(pairs):
+            return got
+        # One by one, so that a failure costs its own prompt only.
+        return [None] if len(pairs) == 1 else [x for pair in pairs for x in ask([pair])]
+
     def answers(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for systems, users in batches:
             pairs = list(zip(systems, users, strict=True))
-            out: list[str] = []
+            out: list[str | None] = []
             for start in range(0, len(pairs), batch):
-                out.extend(call(pairs[start : start + batch]))
+                out.extend(ask(pairs[start : start + batch]))
             yield pd.Series(out, index=users.index, dtype=object)
 
     column = F.pandas_udf(answers, T.StringType())
@@ -194,10 +205,16 @@ def answer_batch(
         .withColumn("accepted_count", F.coalesce("accepted_count", F.lit(0))),
         "retrieved",
     )
-    return (
-        _branches(retrieved, by_overview, overview if has_overview else None, generator, cfg),
-        rejected,
-    )
+    answers = _branches(retrieved, by_overview, overview if has_overview else None, generator, cfg)
+    if generator is not None:
+        # A model is asked once, however often the answers are read.
+        answers = materialize(answers, "answers")
+        silent = answers.filter("answer is null").select(
+            "question_id", "question", F.lit("GENERATION_FAILED").alias("error_code"), F.lit(502).alias("error_status")
+        )
+        rejected = rejected.unionByName(silent, allowMissingColumns=True)
+        answers = answers.filter("answer is not null")
+    return answers, rejected
 
 
 def _branches(
@@ -239,7 +256,7 @@ def _branches(
         if generator is not None:
             # A model is asked once; its answers decide between two branches.
             tried = materialize(tried, "fallback-answers")
-        gave_up = prompts.is_abstention(F.col("answer"))
+        gave_up = F.coalesce(prompts.is_abstention(F.col("answer")), F.lit(False))
         results.append(_overview_answers(tried.filter(~gave_up), cfg))
         results.append(_abstained(tried.filter(gave_up), cfg, F.lit(0)))
     else:

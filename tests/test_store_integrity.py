@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagewright.config import EngineConfig
 from pagewright.operators.embedding import Embedder
 from pagewright.operators.overview import even_positions
-from pagewright.plans.answer import answer_batch
+from pagewright.plans.answer import Generator, answer_batch
 from pagewright.plans.ingest import ingest
 from pagewright.session import scratch_path, scratch_scope, shared_folder
 from pagewright.sources import store as store_module
@@ -135,6 +135,21 @@ def test_bad_question_vectors_fail_alone(spark, store):
     }
 
 
+def test_generator_faults_cost_their_own_question(spark, store):
+    ingest(spark.createDataFrame([(1, "fp1", "a.pdf", 1, "Rivers flow. Mountains stand.")], PAGES), store)
+
+    def model(pairs):
+        if any("broken" in user for _, user in pairs):
+            raise RuntimeError("no answer")
+        return ["fine" for _ in pairs]
+
+    names = ["how do rivers flow", "broken rivers flow", "do mountains stand"]
+    questions = spark.createDataFrame(list(enumerate(names)), "question_id long, question string")
+    answers, rejected = answer_batch(questions, store.chunks(), generator=Generator(model))
+    assert {(r.question_id, r.answer) for r in answers.collect()} == {(0, "fine"), (2, "fine")}
+    assert [(r.question_id, r.error_code, r.error_status) for r in rejected.collect()] == [(1, "GENERATION_FAILED", 502)]
+
+
 def test_one_even_position(spark):
     df = spark.createDataFrame([(5, 1), (5, 2), (1, 1)], "total int, lim int")
     rows = df.select(even_positions(F.col("total"), F.col("lim")).alias("p")).collect()
