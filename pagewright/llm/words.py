@@ -56,7 +56,7 @@ def prefix_hashes(values: np.ndarray, base: int = BASE) -> tuple[np.ndarray, np.
     return prefix, down
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows whose texts (column ``text``) have about ``limit`` bytes at
     most, so that a task's arrays stay small. A longer text is a run of its own."""
     for batch in batches:
