@@ -98,15 +98,18 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int,
 
 
 def distinct_nodes(nodes: DataFrame) -> DataFrame:
-    """``node``, ``id`` of the nodes with two members or more. Of nodes with the same members,
-    one stays."""
-    nodes = stored(nodes.select("node", "id").distinct(), "nodes")
-    members = nodes.groupBy("node").agg(
-        F.min("id").alias("head"), F.max("id").alias("last"), F.count("*").alias("size"),
+    """``node``, ``id``, ``head`` (the smallest id) of the nodes with two members or more. Of
+    nodes with the same members, one stays."""
+    # Dealt by node once, for the extremes and for the join with them.
+    dealt = nodes.select("node", "id").repartition("node")
+    ends = dealt.groupBy("node").agg(F.min("id").alias("head"), F.max("id").alias("last"))
+    shared = stored(dealt.join(ends.filter("head != last").select("node", "head"), "node"), "colliding")
+    members = shared.groupBy("node").agg(
+        F.min("head").alias("head"), F.max("id").alias("last"), F.count("*").alias("size"),
         F.sum(F.xxhash64("id") % 1000000007).alias("one"), F.sum(F.xxhash64(F.lit(1), "id") % 1000000009).alias("two"),
     )
-    members = members.filter("size > 1").groupBy("head", "last", "size", "one", "two").agg(F.min("node").alias("node"))
-    return stored(nodes.join(members.select("node", "head"), "node"), "shared-nodes")
+    kept = members.groupBy("head", "last", "size", "one", "two").agg(F.min("node").alias("node")).select("node")
+    return stored(shared.join(kept, "node"), "shared-nodes")
 
 
 def _links_of(sets: list[np.ndarray], percent: int) -> np.ndarray:
