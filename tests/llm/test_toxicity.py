@@ -51,3 +51,34 @@ def test_edge_cases(spark):
     assert toxicity_scores(empty, labels).collect() == []
     alone = toxicity_scores(spark.createDataFrame(rows, SCHEMA), labels.limit(0)).collect()
     assert {r.score for r in alone} == {0.5}
+
+
+def test_labels_of_other_documents_take_no_part_of_the_sample(spark, corpus):
+    rows, labels = corpus
+    docs, told = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    others = spark.range(10_000, 60_000).selectExpr("id as doc_id", "1 as toxic")
+    alone = {(r.doc_id, r.score) for r in toxicity_scores(docs, told, CFG).collect()}
+    assert {(r.doc_id, r.score) for r in toxicity_scores(docs, told.unionByName(others), CFG).collect()} == alone
+
+
+def test_nothing_is_rejected_unless_both_classes_were_seen(spark, corpus):
+    rows, _ = corpus
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for labels in ([], [(10_000, 1), (10_001, 0)], [(1, 0)], [(1, 1)]):
+        told = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+        assert without_toxic(docs, told, CFG).count() == len(rows)
+        assert {r.predicted for r in toxicity_scores(docs, told, CFG).collect()} == {0}
+
+
+def test_few_telling_words_of_a_long_text_are_learned(spark):
+    rng, rows, labels = random.Random(8), [], []
+    for i in range(120):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(30_000)]
+        if i % 2:
+            words[rng.randrange(len(words))] = "scum"
+        rows.append((i, " ".join(words), 1, "", "", 1))
+        labels.append((i, i % 2))
+    docs, told = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    probes = spark.createDataFrame([(1000, "scum", 1, "", "", 1), (1001, "fine", 1, "", "", 1)], SCHEMA)
+    found = {r.doc_id: r.score for r in toxicity_scores(docs.unionByName(probes), told, Toxicity(l1=2.0, bits=24, min_texts=20)).collect()}
+    assert found[1000] > found[1001] + 0.2
