@@ -10,12 +10,14 @@ may be short.
 
 Places in queues are carried across partitions by totals per partition and source: each task
 counts its own tokens, a small table adds what earlier partitions hold, and no queue is
-gathered or sorted. One source may hold any share of the rows.
+gathered or sorted. One source may hold any share of the rows. Up to ``max_queues`` sources
+have their schedule in every task. Beyond that, the same schedule is a table: one row for each
+source and window in which it is served, joined with the documents' pieces.
 
 Defined results: a null text counts as empty, and an empty text is the end id alone. Null is a
 source of its own. Repeated rows are packed repeatedly. A null ``doc_id`` stays null. An empty
-table gives no piece. Other columns are ignored. Sources beyond the ``max_queues`` largest
-share one queue.
+table gives no piece. Other columns are ignored. Targets for sources without a document have no
+effect.
 """
 
 from __future__ import annotations
@@ -39,7 +41,9 @@ from .common import prepare, stored
 @dataclass(frozen=True)
 class Packing:
     """``window`` sequences are filled to the target shares together. ``targets`` maps sources
-    to weights; without it the shares are those of the corpus, which hold to the end."""
+    to weights; without it the shares are those of the corpus, which hold to the end.
+    ``max_queues`` only chooses between a schedule in memory and one in a table; the pieces are
+    the same."""
 
     length: int = 1024
     window: int = 64
@@ -192,19 +196,143 @@ PIECE = {
 PIECE_SCHEMA = ", ".join(f"`{k}` {'string' if v == pa.string() else 'bigint'}" for k, v in PIECE.items())
 
 
-def _schedule(totals: DataFrame, cfg: Packing) -> tuple[Schedule, list[str | None]]:
-    """The queues' names, the last one for all other sources, and their schedule."""
-    largest = totals.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    everything = largest.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    rows = largest.orderBy(F.desc("tokens"), "source").limit(cfg.max_queues).collect()  # at most max_queues
-    names, sizes = [r["source"] for r in rows], [r["tokens"] for r in rows]
-    sizes.append(everything - sum(sizes))
-    if cfg.targets is None:
-        weights = sizes
-    else:
-        wanted = dict(cfg.targets)
-        weights = [round(1e9 * wanted.get(x, 0.0)) for x in names] + [0]
-    return Schedule(sizes, weights, cfg.length * cfg.window), names
+class Queues:
+    """The schedule of any number of queues, each on its own. Sources with a target weight go
+    by ``Schedule``, as if alone; then all others, by size, in one phase."""
+
+    def __init__(self, wanted: Schedule, rest: int, window: int) -> None:
+        self.wanted, self.rest, self.window = wanted, rest, window
+
+    def served(self, queue: int | None, total: int, window: int) -> int:
+        if queue is not None:
+            return self.wanted.served(queue, window) if self.wanted.phases else 0
+        return min(total, self.window * max(0, window - self.wanted.windows) * total // self.rest)
+
+    def window_of(self, queue: int | None, total: int, token: int) -> int:
+        """The window that serves a queue's token."""
+        if queue is not None:
+            windows = range(self.wanted.windows + 1)
+            return bisect_right(windows, token, key=lambda w: self.wanted.served(queue, w)) - 1
+        return self.wanted.windows - (-(token + 1) * self.rest // (self.window * total)) - 1
+
+    def runs(self, queue: int | None, total: int, begin: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """Where tokens [begin, begin + n) of a queue go: start among them, length, window and
+        place among the queue's tokens of the window."""
+        at, end = begin, begin + n
+        while at < end:
+            k = self.window_of(queue, total, at)
+            low, stop = self.served(queue, total, k), min(end, self.served(queue, total, k + 1))
+            yield at - begin, stop - at, k, at - low
+            at = stop
+
+
+ROWS = 10_000  # of a batch
+
+
+def _cells(queues: Queues):
+    """Rows source, total, window and tokens of every window that serves a queue."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["source", "total", "window", "tokens"], [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        rows: list[tuple] = []
+        for batch in batches:
+            for source, total, queue in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for _, size, window, _ in queues.runs(queue, total, 0, total):
+                    rows.append((source, total, window, size))
+                    if len(rows) == ROWS:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                        rows = []
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    return run
+
+
+def _split(queues: Queues):
+    """Rows doc_id, source, n, start, window, near and ids of the parts of documents that lie in
+    one window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "source", "n", "start", "window", "near", "ids"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        for batch in batches:
+            rows: list[tuple] = []
+            columns = (batch.column(i).to_pylist() for i in range(7))
+            for doc, source, n, begin, ids, total, queue in zip(*columns):
+                width = len(ids) // n
+                for start, size, window, near in queues.runs(queue, total, begin, n):
+                    rows.append((doc, source, n, start, window, near, ids[start * width : (start + size) * width]))
+                    if len(rows) == ROWS:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                        rows = []
+            columns = list(zip(*rows)) or [()] * len(names)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    return run
+
+
+def _cut_parts(length: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            columns = (batch.column(i).to_pylist() for i in range(7))
+            for doc, source, n, start, window, place, ids in zip(*columns):
+                data, at = np.frombuffer(ids, f"<u{width}").astype("<u4"), 0
+                while at < len(data):
+                    take = min(len(data) - at, length - place % length)
+                    crc = zlib.crc32(data[at : at + take].tobytes())
+                    rows.append((doc, start + at, take, crc, n, place // length, place % length, source, window))
+                    at, place = at + take, place + take
+            columns = list(zip(*rows)) or [()] * len(PIECE)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, PIECE.values())], list(PIECE))
+
+    return run
+
+
+def _pack_by_table(encoded: DataFrame, totals: DataFrame, sources: DataFrame, width: int, cfg: Packing) -> DataFrame:
+    """The pieces for any number of ``sources`` (source, tokens)."""
+    spark, size = encoded.sparkSession, cfg.length * cfg.window
+    weights = {x: w for x, v in dict(cfg.targets or ()).items() if (w := round(1e9 * v)) > 0}
+    named = spark.createDataFrame([(x,) for x in weights], "name string")
+    # At most as many as there are targets.
+    found = sources.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("name"))).collect()
+    found = sorted(found, key=lambda r: (-r["tokens"], r["source"] is not None, r["source"] or ""))
+    wanted = Schedule([r["tokens"] for r in found], [weights[r["source"]] for r in found], size)
+    everything = sources.agg(F.sum("tokens")).first()[0]
+    queues = Queues(wanted, everything - sum(r["tokens"] for r in found), size)
+    numbers = spark.createDataFrame([(r["source"], i) for i, r in enumerate(found)], "name string, queue int")
+    queued = sources.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("name")), "left")
+    queued = stored(queued.select("source", F.col("tokens").alias("total"), "queue"), "queues")
+
+    cells = queued.repartition("source").mapInArrow(_cells(queues), "source string, total bigint, window bigint, tokens bigint")
+    cells = stored(cells, "served-windows")
+    # A window has at most its tokens' number of queues; windows are added up in blocks of 4096.
+    windows = cells.groupBy("window").agg(F.sum("tokens").alias("tokens")).withColumn("block", F.shiftright("window", 12))
+    blocks = windows.groupBy("block").agg(F.sum("tokens").alias("tokens"))
+    so_far = F.coalesce(F.sum("tokens").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("block", so_far.alias("block_begin"))
+    inside = Window.partitionBy("block").orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
+    windows = windows.join(blocks, "block").select(
+        "window", (F.col("block_begin") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).alias("window_begin")
+    )
+    inside = Window.partitionBy("window").orderBy(F.desc("total"), "source").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("near", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(windows, "window")
+    cells = cells.select(F.col("source").alias("s"), F.col("window").alias("w"), (F.col("window_begin") + F.col("near")).alias("cell"))
+    cells = stored(cells, "window-places")
+
+    earlier = Window.partitionBy("source").orderBy("part", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("part", "slot", "source", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("before"))
+    starts = starts.join(queued.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("source", "s")
+    placed = encoded.join(starts, ["part", "slot"]).select(
+        "doc_id", "source", "n", (F.col("before") + F.col("at")).alias("begin"), "ids", "total", "queue"
+    )
+    parts = placed.mapInArrow(
+        _split(queues), "doc_id bigint, source string, n bigint, start bigint, window bigint, near bigint, ids binary"
+    )
+    met = parts.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("window") == F.col("w"))).select(
+        "doc_id", "source", "n", "start", "window", (F.col("cell") + F.col("near")).alias("place"), "ids"
+    )
+    return met.mapInArrow(_cut_parts(cfg.length, width), PIECE_SCHEMA)
 
 
 def pack_documents(
@@ -225,10 +353,17 @@ def pack_documents(
     totals = stored(
         encoded.groupBy("part", "slot", "source").agg(F.max(F.col("at") + F.col("n")).alias("tokens")), "queue-totals"
     )
-    schedule, names = _schedule(totals, cfg)
+    sources = totals.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    largest = sources.orderBy(F.desc("tokens"), "source").limit(cfg.max_queues + 1).collect()
+    if len(largest) > cfg.max_queues:
+        one = encoded.select((F.length("ids") / F.col("n")).cast("int")).first()[0]
+        return _pack_by_table(encoded, totals, stored(sources, "sources"), one, cfg)
+    names, sizes = [r["source"] for r in largest], [r["tokens"] for r in largest]
+    wanted = dict(cfg.targets or ())
+    weights = sizes if cfg.targets is None else [round(1e9 * wanted.get(x, 0.0)) for x in names]
+    schedule = Schedule(sizes, weights, cfg.length * cfg.window)
     numbered = rows.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, queue int")
     queued = totals.join(F.broadcast(numbered), F.col("source").eqNullSafe(F.col("name")), "left")
-    queued = queued.select("part", "slot", "source", "tokens", F.coalesce("queue", F.lit(len(names))).alias("queue"))
     earlier = Window.partitionBy("queue").orderBy("part", "slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = queued.select("part", "slot", "queue", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("before"))
     placed = encoded.join(starts, ["part", "slot"]).select(

@@ -105,3 +105,25 @@ def test_schedule_is_gapless_for_any_mixture():
                     seen += range(place, place + length)
                 at += size
         assert sorted(seen) == list(range(sum(totals)))
+
+
+@pytest.mark.parametrize("targets", [None, (("s7", 3.0), ("s29", 1.0), (None, 2.0), ("s3", 0.0), ("absent", 5.0))])
+def test_every_source_keeps_its_queue_beyond_max_queues(spark, targets):
+    rows = [(i, "word " * (5 + i * i % 90), f"s{i % 30}" if i % 31 else None, 1, "", "") for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4).cache()
+    few, many = (
+        pack_documents(docs, RANKS, PATTERN, Packing(length=32, window=16, max_queues=n, targets=targets)).collect()
+        for n in (4, 256)
+    )
+    assert sorted(few, key=str) == sorted(many, key=str)
+    check(few, [r[:2] for r in rows], 32)
+    total, windows = Counter(), defaultdict(Counter)
+    for p in few:
+        total[p.source] += p.length
+        windows[p.window][p.source] += p.length
+    if targets is None:
+        for window in range(max(windows)):
+            for source, n in total.items():
+                assert abs(windows[window][source] - 512 * n / sum(total.values())) < 1 + 1e-6
+    else:
+        assert abs(windows[0]["s7"] - 256) < 1 and abs(windows[0]["s29"] - 512 / 6) < 1 and abs(windows[0][None] - 512 / 3) < 1
