@@ -18,9 +18,10 @@ equal anchors, and only anchors are shuffled, about one for 35 bytes:
 4. The removed ranges of a document meet its text.
 
 Defined results: null and empty texts, and texts shorter than ``length``, lose nothing by
-themselves. Rows without ``doc_id`` come after all others and count as one document. Rows that
-repeat a document are the same document, and each gets its result; texts that differ under one
-id are told apart by a hash. An empty table gives an empty result. Other columns are ignored
+themselves. Rows without ``doc_id`` come after all others. Rows that repeat a document (same id
+or none, same text) are the same document, and each gets its result; texts that differ under one
+id or without any are documents of their own, in the order of a hash, and are told apart by 78
+bits of hashes. An empty table gives an empty result. Other columns are ignored
 by ``repeated_bytes`` and kept by ``without_repeats``.
 """
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -105,12 +107,13 @@ def anchors(data: bytes, ends: np.ndarray, cfg: Repeats) -> Iterator[tuple[np.nd
 
 
 def _anchor_rows(cfg: Repeats):
-    """Rows route, block, doc, place: the earliest occurrence of each block in a run of texts to
+    """Rows route, block, doc, key, place: the earliest occurrence of each block in a run of texts to
     its gram, later ones spread evenly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             docs = np.array([LAST if x is None else x for x in batch.column(0).to_pylist()], np.int64)
+            keys = batch.column(2).to_numpy()
             texts = texts_of(batch.column(1))
             ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
             begins = ends - [len(t) for t in texts]
@@ -120,47 +123,48 @@ def _anchor_rows(cfg: Repeats):
                 continue
             at, one, last, gram, block = (np.concatenate(x) for x in zip(*found))
             text = np.searchsorted(ends, at, "right")
-            doc, place = docs[text], _pack(at - begins[text], at - one, last - one, tags[text], 0)
-            order = np.lexsort((place, doc, block, gram))
-            gram, block, doc, place = gram[order], block[order], doc[order], place[order]
+            doc, key, place = docs[text], keys[text], _pack(at - begins[text], at - one, last - one, tags[text], 0)
+            order = np.lexsort((place, key, doc, block, gram))
+            gram, block, doc, key, place = gram[order], block[order], doc[order], key[order], place[order]
             copy = np.zeros(len(gram), bool)
             copy[1:] = (gram[1:] == gram[:-1]) & (block[1:] == block[:-1])
             # Equal rows are one occurrence; later ones follow the same head.
             head = np.maximum.accumulate(np.where(copy, 0, np.arange(len(gram))))
-            same = (doc == doc[head]) & (place == place[head])
+            same = (doc == doc[head]) & (key == key[head]) & (place == place[head])
             keep = ~copy | ~same
             copy = copy & ~same
-            route = np.where(copy, mix(doc.astype(np.uint64) ^ mix(place.astype(np.uint64))), gram)
-            columns = route.view(np.int64), block.view(np.int64), doc, place | copy
-            yield pa.record_batch([pa.array(c[keep]) for c in columns], ["route", "block", "doc", "place"])
+            route = np.where(copy, mix(doc.astype(np.uint64) ^ mix(key.astype(np.uint64) ^ mix(place.astype(np.uint64)))), gram)
+            columns = route.view(np.int64), block.view(np.int64), doc, key, place | copy
+            yield pa.record_batch([pa.array(c[keep]) for c in columns], ["route", "block", "doc", "key", "place"])
 
     return run
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by route, block, doc, place. Returns doc, place and route of every occurrence
+    """Rows sorted by route, block, doc, key, place. Returns doc, key, place and route of every occurrence
     to remove (route null), and of the first occurrence of each block of a gram that has
     several."""
-    carried = None  # the last row's group: route, block, first doc and place, waiting row or None
+    carried = None  # the last row's group: route, block, first doc, key and place, waiting row or None
     for batch in batches:
-        route, block, doc, place = (batch.column(i).to_numpy() for i in range(4))
+        route, block, doc, key, place = (batch.column(i).to_numpy() for i in range(5))
         copy = (place & 1).astype(bool)
-        done = [(doc[copy], place[copy], None)]
-        route, block, doc, place = route[~copy], block[~copy], doc[~copy], place[~copy]
+        done = [(doc[copy], key[copy], place[copy], None)]
+        route, block, doc, key, place = route[~copy], block[~copy], doc[~copy], key[~copy], place[~copy]
         n = len(route)
         if n:
             new_block = np.ones(n, bool)
             new_block[1:] = (route[1:] != route[:-1]) | (block[1:] != block[:-1])
-            first_doc, first_place, waiting = doc, place, None
+            waiting = None
             if carried is not None and carried[0] == route[0]:
-                waiting = carried[4]
+                waiting = carried[5]
                 new_block[0] = carried[1] != block[0]
             head = np.maximum.accumulate(np.where(new_block, np.arange(n), -1))
             of_old = head < 0
             first_doc = np.where(of_old, carried[2] if carried else 0, doc[np.maximum(head, 0)])
-            first_place = np.where(of_old, carried[3] if carried else 0, place[np.maximum(head, 0)])
-            later = ~new_block & ((doc != first_doc) | (place != first_place))
-            done.append((doc[later], place[later], None))
+            first_key = np.where(of_old, carried[3] if carried else 0, key[np.maximum(head, 0)])
+            first_place = np.where(of_old, carried[4] if carried else 0, place[np.maximum(head, 0)])
+            later = ~new_block & ((doc != first_doc) | (key != first_key) | (place != first_place))
+            done.append((doc[later], key[later], place[later], None))
             # First occurrences, by route.
             at = np.flatnonzero(new_block)
             old = bool(carried is not None and carried[0] == route[0])
@@ -177,21 +181,21 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     counts[0] += 1  # with what was carried
                 several = counts[number] > 1
                 if not new_route[0] and waiting is not None:
-                    done.append((np.array([waiting[0]]), np.array([waiting[1]]), np.array([route[0]])))
+                    done.append((*(np.array([x]) for x in waiting), np.array([route[0]])))
                     waiting = None
-            done.append((doc[at[several]], place[at[several]], routes[several]))
+            done.append((doc[at[several]], key[at[several]], place[at[several]], routes[several]))
             last_route = route[-1]
             if len(at) and routes[-1] == last_route:
-                pending = None if several[-1] else (int(doc[at[-1]]), int(place[at[-1]]))
+                pending = None if several[-1] else tuple(int(x[at[-1]]) for x in (doc, key, place))
             else:  # only more of the carried block
                 pending = waiting
-            carried = (last_route, block[-1], int(first_doc[-1]), int(first_place[-1]), pending)
-        docs = np.concatenate([x[0] for x in done])
-        routes = np.concatenate([np.zeros(len(x[0]), np.int64) if x[2] is None else x[2] for x in done])
-        removed = np.concatenate([np.full(len(x[0]), x[2] is None) for x in done])
+            carried = (last_route, block[-1], int(first_doc[-1]), int(first_key[-1]), int(first_place[-1]), pending)
+        docs, keys, places = (np.concatenate([x[i] for x in done]) for i in range(3))
+        routes = np.concatenate([np.zeros(len(x[0]), np.int64) if x[3] is None else x[3] for x in done])
+        removed = np.concatenate([np.full(len(x[0]), x[3] is None) for x in done])
         yield pa.record_batch(
-            [pa.array(docs), pa.array(np.concatenate([x[1] for x in done])), pa.array(routes, mask=removed)],
-            ["doc", "place", "route"],
+            [pa.array(docs), pa.array(keys), pa.array(places), pa.array(routes, mask=removed)],
+            ["doc", "key", "place", "route"],
         )
 
 
@@ -202,7 +206,8 @@ def _pack_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = [len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts]
         doc = [LAST if x is None else x for x in batch.column(0).to_pylist()]
         yield pa.record_batch(
-            [batch.column(0), pa.array(doc, pa.int64()), pa.array(packed, pa.binary())], ["id", "doc", "packed"]
+            [batch.column(0), pa.array(doc, pa.int64()), batch.column(2), pa.array(packed, pa.binary())],
+            ["id", "doc", "key", "packed"],
         )
 
 
@@ -211,44 +216,46 @@ def _unpack_text(packed: bytes) -> bytes:
 
 
 def _blocks(cfg: Repeats):
-    """Rows doc, packed text, list of (place, route): the blocks' bytes."""
+    """Rows doc, key, packed text, list of (place, route): the blocks' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, packed, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc, key, packed, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 text = _unpack_text(packed)
                 tag = text_tag(text)
                 for x in wanted:
                     position, before, more, its = (int(v) for v in _unpack(np.int64(x["place"])))
                     if its == tag:
                         first = position - before
-                        rows.append((x["route"], doc, x["place"], text[first : first + more + cfg.length]))
-            columns = list(zip(*rows)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["route", "doc", "place", "bytes"])
+                        rows.append((x["route"], doc, key, x["place"], text[first : first + more + cfg.length]))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = [*[pa.int64()] * 4, pa.binary()]
+            names = ["route", "doc", "key", "place", "bytes"]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return run
 
 
-def _shared_strings(rows: list[tuple], cfg: Repeats) -> list[tuple[int, int, int, int]]:
-    """Ranges (doc, tag, start, end) of strings that start earlier in another block of the same
-    gram. ``rows``: route, doc, place, bytes."""
+def _shared_strings(rows: list[tuple], cfg: Repeats) -> list[tuple[int, int, int, int, int]]:
+    """Ranges (doc, key, tag, start, end) of strings that start earlier in another block of the same
+    gram. ``rows``: route, doc, key, place, bytes."""
     route = np.array([r[0] for r in rows], np.int64)
     _, group = np.unique(route, return_inverse=True)
     doc = np.array([r[1] for r in rows], np.int64)
-    place = np.array([r[2] for r in rows], np.int64)
+    key = np.array([r[2] for r in rows], np.int64)
+    place = np.array([r[3] for r in rows], np.int64)
     position, before, more, tag = _unpack(place)
     wide = cfg.length - cfg.gram
-    right = [r[3][b + cfg.gram :] for r, b in zip(rows, before.tolist())]
-    left = [r[3][:b][::-1] for r, b in zip(rows, before.tolist())]
+    right = [r[4][b + cfg.gram :] for r, b in zip(rows, before.tolist())]
+    left = [r[4][:b][::-1] for r, b in zip(rows, before.tolist())]
     right_place, right_common, _ = prefix_classes(right, group)
     left_place, left_common, _ = prefix_classes(left, group)
     # The gram itself may hide a collision of its hash.
     grams = {}
-    gram = np.array([grams.setdefault(r[3][b : b + cfg.gram], len(grams)) for r, b in zip(rows, before.tolist())])
+    gram = np.array([grams.setdefault(r[4][b : b + cfg.gram], len(grams)) for r, b in zip(rows, before.tolist())])
     rank = np.empty(len(rows), np.int64)
-    by_start = np.lexsort((position, doc))
+    by_start = np.lexsort((position, tag, key, doc))
     rank[by_start] = np.arange(len(rows))
     gone = np.zeros((len(rows), wide + 1), bool)
     for back in range(wide + 1):  # strings that start so far before the gram
@@ -267,32 +274,32 @@ def _shared_strings(rows: list[tuple], cfg: Repeats) -> list[tuple[int, int, int
             | (group[own][1:] != group[own][:-1])
         )
         earliest = own[np.maximum.accumulate(np.where(head, np.arange(len(own)), 0))]
-        later = (doc[own] != doc[earliest]) | (position[own] != position[earliest])
+        later = reduce(np.logical_or, [x[own] != x[earliest] for x in (doc, key, tag, position)])
         gone[own[later], back] = True
     edges = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, near = np.nonzero(edges == 1)  # the nearest string to the gram of each run
     _, past = np.nonzero(edges == -1)
     start = position[row] - (past - 1)
     end = position[row] - near + cfg.length
-    return list(zip(doc[row].tolist(), tag[row].tolist(), start.tolist(), end.tolist()))
+    return list(zip(doc[row].tolist(), key[row].tolist(), tag[row].tolist(), start.tolist(), end.tolist()))
 
 
-RANGE = "doc bigint, tag int, start bigint, stop bigint"
+RANGE = "doc bigint, key bigint, tag int, start bigint, stop bigint"
 
 
 def _ranges(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 4
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc", "tag", "start", "stop"])
+    columns = list(zip(*rows)) or [()] * 5
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc", "key", "tag", "start", "stop"])
 
 
 def _groups(cfg: Repeats):
-    """Rows sorted by route: route, doc, place, bytes. Whole groups are sorted together."""
+    """Rows sorted by route: route, doc, key, place, bytes. Whole groups are sorted together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            rows += zip(*(batch.column(i).to_pylist() for i in range(4)))
+            rows += zip(*(batch.column(i).to_pylist() for i in range(5)))
             if len(rows) >= cfg.task_rows:
                 whole = len(rows)
                 while whole and rows[whole - 1][0] == rows[-1][0]:
@@ -307,43 +314,45 @@ def _groups(cfg: Repeats):
 
 
 def _strings(cfg: Repeats):
-    """Every string of the blocks: 128 bits of hash, doc, tag, start."""
+    """Every string of the blocks: 128 bits of hash, doc, key, tag, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, place, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            for doc, key, place, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
                 position, before, more, tag = (int(v) for v in _unpack(np.int64(place)))
                 for i in range(more + 1):
                     digest = hashlib.blake2b(data[i : i + cfg.length], digest_size=16).digest()
                     one, two = (int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
-                    rows.append((one, two, doc, tag, position - before + i))
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            names = ["one", "two", "doc", "tag", "start"]
+                    rows.append((one, two, doc, key, tag, position - before + i))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            names = ["one", "two", "doc", "key", "tag", "start"]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return run
 
 
 def repeated_ranges(docs: DataFrame, cfg: Repeats) -> tuple[DataFrame, DataFrame]:
-    """``docs``: id, text. Returns the removed ranges, which may overlap (doc, tag, start,
-    stop), and the packed texts (id, doc, packed)."""
-    found = docs.mapInArrow(_anchor_rows(cfg), "route bigint, block bigint, doc bigint, place bigint")
-    dealt = found.repartition("route").sortWithinPartitions("route", "block", "doc", "place")
-    settled = stored(dealt.mapInArrow(_settle, "doc bigint, place bigint, route bigint"), "settled-blocks")
-    texts = docs.mapInArrow(_pack_text, "id bigint, doc bigint, packed binary")
+    """``docs``: id, text. Returns the removed ranges, which may overlap (doc, key, tag, start,
+    stop), and the packed texts (id, doc, key, packed)."""
+    docs = docs.select("id", "text", F.xxhash64("text").alias("key"))
+    found = docs.mapInArrow(_anchor_rows(cfg), "route bigint, block bigint, doc bigint, key bigint, place bigint")
+    dealt = found.repartition("route").sortWithinPartitions("route", "block", "doc", "key", "place")
+    settled = stored(dealt.mapInArrow(_settle, "doc bigint, key bigint, place bigint, route bigint"), "settled-blocks")
+    texts = docs.mapInArrow(_pack_text, "id bigint, doc bigint, key bigint, packed binary")
     first = F.shiftright("place", 29) - F.shiftright("place", 22).bitwiseAND(127)
     copies = settled.filter("route is null").select(
         "doc",
+        "key",
         F.shiftright("place", 1).bitwiseAND(16383).cast("int").alias("tag"),
         first.alias("start"),
         (first + F.shiftright("place", 15).bitwiseAND(127) + cfg.length).alias("stop"),
     )
     edges = settled.filter("route is not null")
-    wanted = edges.groupBy("doc").agg(F.collect_list(F.struct("place", "route")).alias("wanted"))  # of one document
-    blocks = texts.select("doc", "packed").join(wanted, "doc").mapInArrow(
-        _blocks(cfg), "route bigint, doc bigint, place bigint, bytes binary"
+    wanted = edges.groupBy("doc", "key").agg(F.collect_list(F.struct("place", "route")).alias("wanted"))  # of one text
+    blocks = texts.select("doc", "key", "packed").join(wanted, ["doc", "key"]).mapInArrow(
+        _blocks(cfg), "route bigint, doc bigint, key bigint, place bigint, bytes binary"
     )
     blocks = stored(blocks, "edge-blocks")
     sizes = blocks.groupBy("route").count()
@@ -352,11 +361,11 @@ def repeated_ranges(docs: DataFrame, cfg: Repeats) -> tuple[DataFrame, DataFrame
     small = small.repartition("route").sortWithinPartitions("route")
     ranges = copies.unionByName(small.mapInArrow(_groups(cfg), RANGE))
     strings = blocks.join(large, "route", "left_semi").mapInArrow(
-        _strings(cfg), "one bigint, two bigint, doc bigint, tag int, start bigint"
+        _strings(cfg), "one bigint, two bigint, doc bigint, key bigint, tag int, start bigint"
     )
-    earliest = strings.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("head"))
-    later = strings.join(earliest, ["one", "two"]).filter("struct(doc, start) != head")
-    ranges = ranges.unionByName(later.select("doc", "tag", "start", (F.col("start") + cfg.length).alias("stop")))
+    earliest = strings.groupBy("one", "two").agg(F.min(F.struct("doc", "key", "tag", "start")).alias("head"))
+    later = strings.join(earliest, ["one", "two"]).filter("struct(doc, key, tag, start) != head")
+    ranges = ranges.unionByName(later.select("doc", "key", "tag", "start", (F.col("start") + cfg.length).alias("stop")))
     return stored(ranges, "removed-ranges"), texts
 
 
@@ -392,16 +401,16 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def _by_document(ranges: DataFrame) -> DataFrame:
-    # As many as a document's own length allows, about one for 35 bytes.
-    return ranges.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("ranges"))
+def _by_text(ranges: DataFrame) -> DataFrame:
+    # As many as a text's own length allows, about one for 35 bytes; repeated rows repeat them.
+    return ranges.groupBy("doc", "key").agg(F.collect_set(F.struct("tag", "start", "stop")).alias("ranges"))
 
 
 def repeated_bytes(docs: DataFrame, cfg: Repeats = Repeats(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``."""
     rows = prepare(docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")))
     ranges, texts = repeated_ranges(rows, cfg)
-    met = texts.join(_by_document(ranges), "doc", "left").select("id", "packed", "ranges")
+    met = texts.join(_by_text(ranges), ["doc", "key"], "left").select("id", "packed", "ranges")
     out = met.mapInArrow(_digests, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return out.withColumnRenamed("doc_id", doc_id)
 
@@ -431,8 +440,9 @@ def without_repeats(docs: DataFrame, cfg: Repeats = Repeats()) -> DataFrame:
     one); rows and other columns stay."""
     prepare(docs)
     ranges, _ = repeated_ranges(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text"), cfg)
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
-    by_doc = _by_document(ranges).select(F.col("doc").alias("_doc"), F.col("ranges").alias("_ranges"))
-    met = docs.withColumn("_doc", key).join(by_doc, "_doc", "left").select(*docs.columns, "_ranges")
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
+    by_text = _by_text(ranges).withColumnsRenamed({"doc": "_doc", "key": "_key", "ranges": "_ranges"})
+    met = docs.withColumn("_doc", doc).withColumn("_key", F.xxhash64("text")).join(by_text, ["_doc", "_key"], "left")
+    met = met.select(*docs.columns, "_ranges")
     at = docs.columns.index
     return met.mapInArrow(_shorten(at("text"), at("n_chars") if "n_chars" in docs.columns else None), docs.schema)

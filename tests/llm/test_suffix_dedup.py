@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.llm.deep_shallow import prefix_classes, sort_distinct
 from pagewright.llm.suffix_dedup import Repeats, repeated_bytes, without_repeats
@@ -58,6 +59,25 @@ def test_empty_table_null_ids_and_stage(spark):
     assert left == {None: ("", 0), 4: ("x" + passage, 231), 9: ("yz", 2), 11: (None, None)}
 
 
+@pytest.mark.parametrize("cfg", [Repeats(), Repeats(large_group=3)])
+def test_many_texts_under_one_id_or_none(spark, cfg):
+    rng = random.Random(7)
+    passages = ["".join(rng.choices("abcdefghij", k=260)) for _ in range(4)]
+    texts = []
+    for i in range(900):  # far more than it takes for 14 bits of hash to collide
+        a = rng.randrange(100)
+        # Passages at the same position of different texts, too.
+        texts.append(f"{i:05}" + rng.choice(passages)[a : a + rng.randrange(100, 160)] + f"{i * 7:06}")
+    for shared in (None, 5):
+        rows = [(shared, t) for t in texts] + [(shared, texts[0]), (1, passages[0][:120])]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+        ordered = [r.text for r in docs.filter("text like '0%'").distinct().orderBy(F.xxhash64("text")).collect()]
+        by_text = {t: 100 + i for i, t in enumerate(ordered)}
+        truth = removed_bytes([(1, passages[0][:120])] + [(i, t) for t, i in by_text.items()], cfg.length)
+        expected = sorted(truth[1 if t == passages[0][:120] else by_text[t]] for _, t in rows)
+        assert sorted(tuple(r)[1:] for r in repeated_bytes(docs, cfg).collect()) == expected
+
+
 def test_sorting_orders_and_shares():
     rng = random.Random(4)
     for _ in range(60):
