@@ -141,3 +141,100 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .paragraph_dedup import repeated_paragraphs
 
     return repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
+@_register("op12_fill_in_middle")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import fill_in_middle, restored_text
+
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored_text(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+ORACLES["op12_fill_in_middle"] = r"""
+with told as (
+  select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents
+), cut as (
+  select doc_id, text, string_split(text, chr(10)) as parts,
+    len(string_split(text, chr(10))) - case when text = '' or text like '%' || chr(10) then 1 else 0 end as n,
+    cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2,
+    cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4
+  from told
+), placed as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as low, greatest(h1 % (n + 1), h2 % (n + 1)) as high from cut
+), ended as (
+  select *,
+    case when low = 0 then '' when low = len(parts) then text else array_to_string(parts[1:low], chr(10)) || chr(10) end as one,
+    case when high = 0 then '' when high = len(parts) then text else array_to_string(parts[1:high], chr(10)) || chr(10) end as two,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100
+      then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form
+  from placed
+), pieces as (
+  select doc_id, n, form, text, one as prefix, substr(two, length(one) + 1) as middle, substr(text, length(two) + 1) as suffix
+  from ended
+)
+select doc_id, cast(n as bigint) as n, form,
+  case when form <> 'plain' then length(prefix) end as prefix_chars,
+  case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from pieces
+"""
+
+
+@_register("op13_prefix_trie")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+#: DuckDB has no crc32: it is folded bit by bit over the digits of the id.
+ORACLES["op13_prefix_trie"] = r"""
+with turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first,
+      md5(cast(length(coalesce(role, '')) as varchar) || ',' || coalesce(role, '') || coalesce(text, ''))) as place
+  from conversations where conv_id is not null
+), ids as (
+  select conv_id, conv_id - conv_id % 100 as base,
+    xor(4294967295, list_reduce(
+      list_concat([4294967295], flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda d: [cast(ascii(d) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, b: case when b >= 0 then xor(c, b) else xor(c >> 1, 3988292384 * (c & 1)) end)) % 6 as h
+  from (select distinct conv_id from turns)
+), moved as (
+  select i.conv_id, t.place as d, t.role, t.text from ids i join turns t on t.conv_id = i.base where t.place <= i.h
+  union all
+  select i.conv_id, least(i.h, coalesce(b.n, 0)) + t.place - i.h, t.role, t.text
+  from ids i join turns t on t.conv_id = i.conv_id and t.place > i.h
+  left join (select conv_id, count(*) as n from turns group by conv_id) b on b.conv_id = i.base
+), prefixes as (
+  select conv_id, d, text, string_agg(md5(cast(length(role) as varchar) || ',' || role || text), '')
+    over (partition by conv_id order by d) as prefix
+  from moved
+  union all select conv_id, 0, '', '' from ids
+), sizes as (
+  select conv_id, max(d) as size from prefixes group by conv_id
+), nodes as (
+  select prefix, d as depth, min(conv_id) as conv_id, count(*) as n_convs, min(length(text)) as chars,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (d = size), '')) as ends_sha256
+  from prefixes join sizes using (conv_id) group by prefix, d
+), edges as (
+  select n.prefix, n.depth, p.prefix as parent, q.conv_id as parent_conv_id from nodes n
+  left join prefixes p on p.conv_id = n.conv_id and p.d = n.depth - 1 left join nodes q on q.prefix = p.prefix
+), children as (
+  select parent as prefix, count(*) as n from edges where parent is not null group by parent
+), below as (
+  select a.prefix, count(*) filter (c.n is null) as n_leaves, sum((v.n_convs - 1) * v.chars) as saved
+  from nodes v join prefixes a on a.conv_id = v.conv_id and a.d <= v.depth left join children c on c.prefix = v.prefix
+  group by a.prefix
+)
+select n.conv_id, cast(n.depth as bigint) as depth, e.parent_conv_id, n.n_convs, coalesce(c.n, 0) as n_children,
+  b.n_leaves, cast(b.saved as bigint) as saved_tokens, n.ends_sha256
+from nodes n join edges e using (prefix) left join children c using (prefix) join below b using (prefix)
+"""
