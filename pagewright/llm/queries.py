@@ -238,3 +238,10 @@ select n.conv_id, cast(n.depth as bigint) as depth, e.parent_conv_id, n.n_convs,
   b.n_leaves, cast(b.saved as bigint) as saved_tokens, n.ends_sha256
 from nodes n join edges e using (prefix) left join children c using (prefix) join below b using (prefix)
 """
+
+
+@_register("op11_tree_model_extraction")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
