@@ -23,6 +23,7 @@ effect.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from bisect import bisect_right
@@ -42,6 +43,7 @@ from .common import prepare, stored
 class Packing:
     """``window`` sequences are filled to the target shares together. ``targets`` maps sources
     to weights; without it the shares are those of the corpus, which hold to the end.
+    ``specials`` are texts that are one id each, wherever they occur.
     ``max_queues`` only chooses between a schedule in memory and one in a table; the pieces are
     the same."""
 
@@ -51,6 +53,13 @@ class Packing:
     max_queues: int = 256
     cached_words: int = 300_000
     targets: tuple[tuple[str | None, float], ...] | None = None
+    specials: tuple[tuple[str, int], ...] = ()
+
+
+def special_tokens(tokenizer_file: str) -> tuple[tuple[str, int], ...]:
+    """The special tokens that a tokenizer's JSON file names."""
+    with open(tokenizer_file, encoding="utf-8") as told:
+        return tuple((t["content"], t["id"]) for t in json.load(told).get("added_tokens", ()))
 
 
 #: White space directly before a space: there, cutting before the space could change ids.
@@ -59,21 +68,34 @@ _RUN = re.compile(r"[\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202
 
 class Encoder:
     """Byte-level BPE ids. Words are cut before single spaces, where the vocabulary's pattern
-    always cuts, and each distinct word is encoded once."""
+    always cuts, and each distinct word is encoded once. ``specials`` are texts with an id of
+    their own, as in the tokenizer's file."""
 
-    def __init__(self, ranks_file: str, pattern: str, cached_words: int) -> None:
+    def __init__(self, ranks_file: str, pattern: str, cached_words: int, specials: tuple[tuple[str, int], ...] = ()) -> None:
         import tiktoken
 
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.kind = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
+        if max((i for _, i in specials), default=0) >= 1 << 16:
+            self.kind = np.dtype("<u4")
         self.limit, self.words = cached_words, {}
+        # The longest of those that begin at one place.
+        marks = sorted((re.escape(t) for t, _ in specials), key=len, reverse=True)
+        self.special = re.compile(f"({'|'.join(marks)})") if marks else None
+        self.special_ids = {t: np.array([i], self.kind).tobytes() for t, i in specials}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.plain.encode_ordinary(text), self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self.special is None or not any(t in text for t in self.special_ids):
+            return self.encode_plain(text)
+        parts = self.special.split(text)
+        return b"".join(self.special_ids[t] if i % 2 else self.encode_plain(t) if t else b"" for i, t in enumerate(parts))
+
+    def encode_plain(self, text: str) -> bytes:
         if _RUN.search(text):
             return self.ids(text)
         first, *rest = text.split(" ")
@@ -94,7 +116,7 @@ class Encoder:
 
 def _encoded(ranks_file: str, pattern: str, cfg: Packing):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(ranks_file, pattern, cfg.cached_words), TaskContext.get().partitionId()
+        encoder, part = Encoder(ranks_file, pattern, cfg.cached_words, cfg.specials), TaskContext.get().partitionId()
         end = np.array([cfg.end_id], encoder.kind).tobytes()
         slots: dict[str | None, int] = {}
         served: list[int] = []

@@ -13,7 +13,8 @@ the smallest hashes of their ids); every vector is indexed.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and
 rows without label or id, link with nothing. Vectors of different dimension don't link. Rows
-that repeat an id with an equal vector are counted as one vector and get one result each. An
+that repeat an id with an equal vector are counted as one vector and get one result each; with
+different vectors they are vectors of their own, which may link with each other. An
 empty table gives an empty result. Other columns are ignored.
 """
 
@@ -203,8 +204,10 @@ def linked_vectors(
     described = stored(rows.mapInArrow(_described(pivots, cfg.nearest), schema), "described")
     equal = ["label", "dim", "one", "two"]
     valid = described.filter("vector is not null")
-    same = stored(valid.groupBy(*equal).agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies")), "equal-vectors")
-    entries = valid.join(same, equal).filter("id = rep").dropDuplicates(["id", *equal])
+    same = valid.groupBy(*equal).agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
+    # An id may have several vectors: entries have numbers of their own, ascending with ``rep``.
+    same = stored(same.orderBy("rep", *equal).withColumn("entry", F.monotonically_increasing_id()), "equal-vectors")
+    entries = valid.join(same, equal).filter("id = rep").dropDuplicates(["entry"]).drop("id").withColumnRenamed("entry", "id")
     posted = stored(
         entries.select("id", "label", "dim", "copies", "vector", "pivots", F.explode("pivots").alias("pivot")), "postings"
     )
@@ -221,12 +224,14 @@ def linked_vectors(
     found = stored(found, "vector-links")
     counts = found.filter("other is null").groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    classes = same.join(counts.withColumnRenamed("id", "rep"), "rep", "left")
-    classes = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(
+    classes = same.join(counts.withColumnRenamed("id", "entry"), "entry", "left")
+    classes = classes.join(groups.withColumnRenamed("id", "entry"), "entry", "left").select(
         *equal,
         (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
+        F.coalesce("component", "entry").alias("head"),
     )
+    heads = same.select(F.col("entry").alias("head"), F.col("rep").alias("component_id"))
+    classes = classes.join(heads, "head").drop("head")
     out = valid.select("id", *equal).join(classes, equal).select("id", "n_links", "component_id")
     alone = described.filter("vector is null").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(alone).select(

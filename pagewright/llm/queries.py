@@ -68,10 +68,11 @@ from summed group by conv_id
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .packing import pack_documents
+    from .packing import Packing, pack_documents, special_tokens
 
     docs = _table(spark, sf_dir, "documents")
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    cfg = Packing(specials=special_tokens(public_tokenizers.path("byte_bpe_50k.json")))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cfg)
 
 
 RULES = {

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
+from .common import free_name, prepare, stored
 from .deep_shallow import prefix_classes
 from .words import mix, prefix_hashes, slices, texts_of
 
@@ -441,8 +441,8 @@ def without_repeats(docs: DataFrame, cfg: Repeats = Repeats()) -> DataFrame:
     prepare(docs)
     ranges, _ = repeated_ranges(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text"), cfg)
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
-    by_text = _by_text(ranges).withColumnsRenamed({"doc": "_doc", "key": "_key", "ranges": "_ranges"})
-    met = docs.withColumn("_doc", doc).withColumn("_key", F.xxhash64("text")).join(by_text, ["_doc", "_key"], "left")
-    met = met.select(*docs.columns, "_ranges")
+    # The row as a whole is one column, so that no name of its columns can clash.
+    own = docs.select(F.struct(*docs.columns).alias("row"), doc.alias("doc"), F.xxhash64("text").alias("key"))
+    met = own.join(_by_text(ranges), ["doc", "key"], "left").select("row.*", F.col("ranges").alias(free_name(docs, "ranges")))
     at = docs.columns.index
     return met.mapInArrow(_shorten(at("text"), at("n_chars") if "n_chars" in docs.columns else None), docs.schema)

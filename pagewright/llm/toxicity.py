@@ -204,14 +204,14 @@ def toxicity_scores(
     held-out fold are not read."""
     rows = prepare(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
     told = labels.select(F.col(doc_id).alias("id"), F.col(toxic).alias("toxic"))
-    features, weights, threshold = train(rows, told.filter(~held_out(F.col("id"))), cfg)
+    features, weights, _ = train(rows, told.filter(~held_out(F.col("id"))), cfg)
     kind = rows.schema["id"].dataType.simpleString()
     scored = rows.mapInArrow(_scores(features, weights, cfg.bits), f"id {kind}, score double")
     return scored.select(
         F.col("id").alias(doc_id),
         held_out(F.col("id")).alias("held_out"),
         "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"),
+        (F.col("score") >= cfg.threshold).cast("int").alias("predicted"),
     )
 
 

@@ -7,16 +7,16 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from pagewright.llm.packing import Packing, Schedule, pack_documents
+from pagewright.llm.packing import Packing, Schedule, pack_documents, special_tokens
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 DATA = "/root/testdata/sf0.001"
+SPECIALS = special_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 SCHEMA = "doc_id bigint, text string, source string, part int, slot string, ids string"
 
 
 def token_ids(texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return [np.array(e.ids + [0], "<u4") for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -78,9 +78,10 @@ def test_targets_hold_until_a_source_runs_out(spark):
 
 
 def test_texts_where_words_are_not_independent(spark):
-    hard = ["a  b", "a   b", " a", "a ", "a  ", "a\n b", "a\n  b", "a \nb", "\u3000 x", "a\u3000 b", "don't  'll 12 345", "x" * 3000, "é ü", "<|endoftext|> a", "\x1c a", "\t\t a b", ""]
+    hard = ["a  b", "a   b", " a", "a ", "a  ", "a\n b", "a\n  b", "a \nb", "\u3000 x", "a\u3000 b", "don't  'll 12 345", "x" * 3000, "é ü", "<|endoftext|> a", "\x1c a", "\t\t a b", "",
+            "<|endoftext|>", "a <|endoftext|><|endoftext|>b", "x<|endoftext| ><|endoftext|>  y", "<|endoftext|"]
     rows = [(i, t, None if i % 2 else "s", 1, "", "") for i, t in enumerate(hard)] + [(99, None, "s", 1, "", "")]
-    check(pack_documents(spark.createDataFrame(rows, SCHEMA), RANKS, PATTERN).collect(), [r[:2] for r in rows])
+    check(pack_documents(spark.createDataFrame(rows, SCHEMA), RANKS, PATTERN, Packing(specials=SPECIALS)).collect(), [r[:2] for r in rows])
 
 
 def test_empty_table_and_repeated_rows(spark):

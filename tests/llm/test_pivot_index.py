@@ -76,3 +76,9 @@ def test_edge_cases(spark):
     linked = {1: (2, 1, True), 2: (2, 1, False), 11: (2, 1, False), 13: (1, 13, True), 14: (1, 13, False)}
     assert told == sorted((r[0] or -1, *linked.get(r[0], (0, r[0] or -1, True))) for r in rows)
     assert linked_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_an_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.001], 1), (3, [0.001, 1.0], 1), (4, [1.0, 0.002], 1), (1, [0.0, 1.0], 1)]
+    found = linked_vectors(spark.createDataFrame([(*r, "", 1, "") for r in rows], SCHEMA), PivotIndex(shared=1)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(1, 1, 1), (1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 2, 1)]

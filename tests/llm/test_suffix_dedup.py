@@ -90,3 +90,12 @@ def test_sorting_orders_and_shares():
             assert n == (len(os.path.commonprefix([strings[before], strings[i]])) if same else -1)
     place, common, sizes = prefix_classes([b"ab", b"ab", b"abc", b""], np.zeros(4, int))
     assert place.tolist() == [1, 1, 2, 0] and common.tolist() == [-1, 0, 2] and sizes.tolist() == [2, 2, 3, 0]
+
+
+def test_clashing_columns_of_the_stage(spark):
+    text = "".join(random.Random(4).choices("abcdefghij", k=300))
+    docs = spark.createDataFrame([(1, text), (2, "x" + text)], "doc_id bigint, text string")
+    names = ("_doc", "_key", "_ranges", "doc", "key", "ranges", "row", "start")
+    left = without_repeats(docs.select("*", *(F.lit(n).alias(n) for n in names))).collect()
+    assert {(r.doc_id, r.text) for r in left} == {(1, text), (2, "x")}
+    assert all(r[n] == n for r in left for n in names)
