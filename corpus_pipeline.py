@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm.chosen_path import first_of_each_group
 from pagewright.llm.common import stored
-from pagewright.llm.packing import pack_documents
+from pagewright.llm.packing import Packing, pack_documents, special_tokens
 from pagewright.llm.suffix_dedup import without_repeats
 from pagewright.llm.toxicity import without_toxic
 
@@ -34,7 +34,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    cfg = Packing(specials=special_tokens(public_tokenizers.path("byte_bpe_50k.json")))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cfg)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
