@@ -29,9 +29,9 @@ def even_positions(total: Column, limit: Column) -> Column:
     return F.when(total <= limit, F.sequence(F.lit(0), total - 1)).otherwise(spread)
 
 
-def select_documents(chunks: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """The first documents of the listing with their budgets and sampled positions."""
-    summaries = document_summaries(chunks)
+def select_documents(summaries: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """The first documents of the listing (from ``document_summaries``, or a store's directory)
+    with their budgets and sampled positions."""
     total = summaries.agg(F.count("*").alias("total_documents")).withColumn("_one", F.lit(1))
     first = summaries.orderBy(F.lower("filename"), "document_id").limit(cfg.overview_max_documents)
     most = cfg.overview_max_chunks_per_document
@@ -108,7 +108,11 @@ def trim_interior(excerpts: Column, budget: Column, most: int) -> Column:
 
 def build_overview(chunks: DataFrame, cfg: EngineConfig) -> DataFrame:
     """One row per shown document: profile and excerpts in reading order."""
-    documents = select_documents(chunks, cfg)
+    return overview_of(select_documents(document_summaries(chunks), cfg), chunks, cfg)
+
+
+def overview_of(documents: DataFrame, chunks: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """The overview of selected documents; ``chunks`` need hold no others."""
     per_document = (
         sample_excerpts(chunks, documents, cfg)
         .groupBy("document_id")

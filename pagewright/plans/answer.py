@@ -162,9 +162,11 @@ def answer_batch(
     embedder: Embedder | None = None,
     generator: Generator | None = None,
     cfg: EngineConfig | None = None,
+    overview: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Answers for the valid questions, and the rejected questions with their errors.
 
+    ``overview`` is the rendered overview of ``chunks``, where the caller keeps one.
     The small tables that several branches share (routed questions, candidates, the
     overview) are written once.
     """
@@ -175,7 +177,8 @@ def answer_batch(
     routed = materialize(
         route_questions(valid.select("question_id", "question")).drop("normalized"), "routed-questions"
     )
-    overview = materialize(render_overview(build_overview(chunks, cfg)), "overview")
+    if overview is None:
+        overview = materialize(render_overview(build_overview(chunks, cfg)), "overview")
     has_overview = not overview.isEmpty()
 
     by_overview = routed.filter("document_level").drop("document_level") if has_overview else None

@@ -27,7 +27,7 @@ def first_uploads(uploads: DataFrame) -> DataFrame:
 
 def uploads_to_index(uploads: DataFrame, stored: DataFrame) -> DataFrame:
     """First uploads of documents the store does not hold yet."""
-    known = stored.select(F.col("document_fingerprint").alias("document_id")).distinct()
+    known = stored.select(F.col("document_fingerprint").alias("document_id"))
     return first_uploads(uploads).join(known, "document_id", "left_anti")
 
 
@@ -116,7 +116,7 @@ def ingest(
 
     batch = batch or uuid.uuid4().hex
     # A batch run again is judged against the store as it was before its first run.
-    stored = store.chunks(snapshot=store.snapshot().without(batch))
+    stored = store.directory().filter(F.col("batch") != batch)
     uploads = materialize(
         document_gate(pages, ["upload_id"]).drop("error_details", "meaningful"), "uploads"
     )
@@ -127,12 +127,8 @@ def ingest(
     chunks = chunk_documents(_pages_of(pages, kept, dropped, cfg), cfg)
     store.append(embed(chunks, "text", embedder), batch, empty_ok=True)
 
-    ours = uploads.select(F.col("document_id").alias("document_fingerprint")).distinct()
-    counts = (
-        store.chunks(ours)
-        .groupBy(F.col("document_fingerprint").alias("document_id"))
-        .agg(F.count("*").alias("chunk_count"), F.max("document_page_count").alias("stored_pages"))
-    )
+    counts = store.directory().select(F.col("document_fingerprint").alias("document_id"), "chunk_count", "stored_pages")
+    counts = counts.join(uploads.select("document_id").distinct(), "document_id", "left_semi")
     rejected = store.rejected(batch)
     # Another writer was first with these: they are duplicates, not failures.
     late = rejected.filter("error_code = 'DOCUMENT_ALREADY_INDEXED'")

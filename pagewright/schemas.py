@@ -34,6 +34,20 @@ STORED_CHUNK = T.StructType(
     ]
 )
 
+#: A row per document of a store.
+DIRECTORY = T.StructType(
+    [
+        T.StructField("document_fingerprint", T.StringType()),
+        T.StructField("folder", T.StringType()),
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("batch", T.StringType()),
+        T.StructField("filename", T.StringType()),
+        T.StructField("chunk_count", T.IntegerType()),
+        T.StructField("page_count", T.IntegerType()),
+        T.StructField("stored_pages", T.IntegerType()),
+    ]
+)
+
 QUESTION = T.StructType(
     [T.StructField("question_id", T.LongType()), T.StructField("question", T.StringType())]
 )

@@ -656,6 +656,47 @@ ORACLES: dict[str, str] = {
       case when invalid then 'EMBEDDING_INVALID_VALUE'
         when len(embedding) <> 64 then 'INDEX_EMBEDDING_DIMENSION_CONFLICT' else '' end as error_code,
       case when invalid then 502 when len(embedding) <> 64 then 409 else 0 end as error_status from judged""",
+    "index_with_vectors": """with placed as (
+      select vec_id, vec_id // 7 as unit, vec_id // 7 % 9 as kind, vec_id % 7 as place, embedding from embeddings
+    ), chunks as (
+      select unit, 'v' || vec_id as chunk_id, case when kind = 6 and place = 0 then 'other'
+        when kind = 8 then 'u' || (unit - 8) else 'u' || unit end as doc from placed where kind <> 5
+    ), vectors as (
+      select unit, case when kind = 4 and place = 0 then 'stranger' else '' end || 'v' || vec_id as chunk_id, embedding,
+        kind = 2 and place = 0 as bad, vec_id from placed where kind <> 3 or place <> 0
+      union all select unit, 'v' || vec_id, embedding, false, vec_id from placed where kind = 7 and place = 1
+    ), sizes as (
+      select unit, (select count(*) from chunks c where c.unit = p.unit) as chunk_count,
+        (select count(*) from vectors v where v.unit = p.unit) as vector_count,
+        (select count(distinct doc) from chunks c where c.unit = p.unit) as docs,
+        (select min(doc) from chunks c where c.unit = p.unit) as doc,
+        (select count(*) from chunks c join vectors v using (unit, chunk_id) where c.unit = p.unit) as pairs,
+        (select bool_or(bad) from vectors v where v.unit = p.unit) as bad,
+        (select sum(cast(round(cast(embedding[1] as double) * 1e6) as bigint) * vec_id) from vectors v where v.unit = p.unit) as total
+      from (select distinct unit from placed) p
+    ), checked as (
+      select *, case when chunk_count = 0 then 'NO_CHUNKS_TO_INDEX'
+        when not (chunk_count = vector_count and pairs = chunk_count) then 'CHUNK_EMBEDDING_COUNT_MISMATCH'
+        when docs > 1 then 'MIXED_DOCUMENT_CHUNKS' else '' end as pairing from sizes
+    ), judged as (
+      select *, case when pairing <> '' then pairing
+        when row_number() over (partition by doc, pairing = '' order by unit) > 1 then 'DOCUMENT_ALREADY_INDEXED'
+        when bad then 'EMBEDDING_INVALID_VALUE' else '' end as error_code from checked
+    )
+    select unit as batch_id, chunk_count, vector_count, case when error_code = '' then chunk_count else 0 end as indexed_count,
+      error_code, case error_code when '' then 0 when 'NO_CHUNKS_TO_INDEX' then 422 when 'DOCUMENT_ALREADY_INDEXED' then 409
+        when 'EMBEDDING_INVALID_VALUE' then 502 else 500 end as error_status,
+      case when error_code = '' then total::bigint else 0 end as checksum from judged""",
+    "document_lookup": chain(*CHUNKS, LISTING)
+    + """select chunk_id, document_fingerprint, sequence, text, chunk_count, page_count
+    from chunks join summaries on document_id = document_fingerprint
+    where substr(document_fingerprint, 3, 1) < '5' and substr(document_fingerprint, 2, 1) not in ('2', '3')""",
+    "store_reset": chain(VECTORS)
+    + """select document_fingerprint as document_id, document_fingerprint || '.pdf' as filename, count(*)::int as chunk_count,
+      1 as page_count, sum(count(*)) over ()::bigint as total_chunks
+    from vectors where document_fingerprint < 'd15' group by document_fingerprint""",
+    "store_overview": chain(*CHUNKS, OVERVIEW)
+    + "select total_documents, estimated_tokens, rendered from view",
     "absent_inserts": chain(VECTORS)
     + "select chunk_id, document_fingerprint, sequence from vectors where label > 3 and not label < 6",
     "count_verification": chain(VECTORS)

@@ -21,13 +21,15 @@ from pagewright.operators.context import build_context, retrieval_diagnostics, r
 from pagewright.operators.knn import accept, knn, rank_candidates, split_finite
 from pagewright.operators.routing import route_questions
 from pagewright.operators.units import normalize_pages, page_units
+from pagewright.plans import index
 from pagewright.plans.answer import answer_batch, with_chunk_columns
 from pagewright.plans.ingest import first_uploads, ingest, uploads_to_index
 from pagewright.session import materialize, scratch_path
-from pagewright.sources.sinks import answer_payloads
+from pagewright.sources.sinks import answer_payloads, write_listing
 from pagewright.sources.store import ChunkStore, count_mismatches, insert_if_absent
 from pagewright.sources.tables import parse_log, questions_from_requests, scan_log, scan_pages
 from pagewright.streaming.answer import answer_stream
+from pagewright.streaming.answer import store_overview as live_overview
 from pagewright.streaming.ingest import ingest_stream
 from verification import fixtures as fx
 
@@ -477,6 +479,84 @@ def question_vectors(spark, sf_dir):
     return answered.unionByName(failed.select("question_id", F.lit(0).alias("neighbours"), "error_code", "error_status"))
 
 
+def _unit_faults(spark, sf_dir):
+    """Chunks and vectors in units of seven, each kind of unit with a fault of its own: a vector
+    missing, of another chunk, twice, or not finite; no chunk; a chunk of another document; a
+    document that a smaller unit has too."""
+    number = F.col("question_id")
+    unit, kind, place = F.floor(number / 7), F.floor(number / 7) % 9, number % 7
+    rows = fx.vectors(spark, sf_dir).withColumns({"batch_id": unit, "kind": kind, "place": place})
+    own = F.concat(F.lit("u"), F.when(kind == 8, unit - 8).otherwise(unit).cast("string"))
+    chunks = _stored(rows.withColumn("document_fingerprint", F.when((kind == 6) & (place == 0), F.lit("other")).otherwise(own)))
+    chunks = chunks.drop("embedding", "model_id").join(rows.select("chunk_id", "batch_id", "kind"), "chunk_id")
+    nan = F.concat(F.array(F.lit(float("nan")).cast("float")), F.slice("embedding", 2, 1000))
+    vectors = rows.filter((kind != 3) | (place != 0)).select(
+        "batch_id",
+        F.when((kind == 4) & (place == 0), F.concat(F.lit("stranger"), "chunk_id")).otherwise(F.col("chunk_id")).alias("chunk_id"),
+        F.when((kind == 2) & (place == 0), nan).otherwise(F.col("embedding")).alias("embedding"),
+        F.lit("m").alias("model_id"),
+        F.when((kind == 7) & (place == 1), 2).otherwise(1).alias("times"),
+    )
+    vectors = vectors.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times", "again")
+    return chunks.filter("kind <> 5").drop("kind"), vectors
+
+
+@query
+def index_with_vectors(spark, sf_dir):
+    """Units of chunks and vectors from two tables: a report row each, and a checksum over the
+    vectors that were stored with their chunks."""
+    store = _new_store(spark)
+    chunks, vectors = _unit_faults(spark, sf_dir)
+    report = index.index_with_vectors(chunks, vectors, store)
+    first = F.round(F.get("embedding", F.lit(0)).cast("double") * 1e6).cast("bigint") * F.substring("chunk_id", 2, 18).cast("bigint")
+    sums = store.chunks().groupBy("document_fingerprint").agg(F.sum(first).alias("checksum"))
+    told = report.join(sums, "document_fingerprint", "left")
+    return told.select(
+        "batch_id", "chunk_count", "vector_count", "indexed_count", F.coalesce("error_code", F.lit("")).alias("error_code"),
+        F.coalesce("error_status", F.lit(0)).alias("error_status"),
+        F.when(F.col("indexed_count") > 0, F.col("checksum")).otherwise(0).alias("checksum"),
+    )
+
+
+@query
+def document_lookup(spark, sf_dir):
+    """Chunks of a third of all documents, found by the directory of a store that was filled in
+    two parts, lost some documents and got one part of them back."""
+    store = _new_store(spark)
+    chunks = materialize(fx.stored_chunks(spark, sf_dir), "query-chunks")
+    doc = F.col("document_fingerprint")
+    store.append(chunks.filter(doc < "9"), "low")
+    store.append(chunks.filter(doc >= "9"), "high")
+    gone = chunks.filter(F.substring(doc, 2, 1).isin("0", "1", "2", "3"))
+    store.delete(gone.select(doc))
+    store.append(gone.filter(F.substring(doc, 2, 1) < "2"), "back")
+    wanted = chunks.filter(F.substring(doc, 3, 1) < "5").select(doc)
+    listed = store.documents().select(F.col("document_id").alias("document_fingerprint"), "chunk_count", "page_count")
+    found = store.chunks(wanted).join(listed, "document_fingerprint")
+    return found.select("chunk_id", "document_fingerprint", "sequence", "text", "chunk_count", "page_count")
+
+
+@query
+def store_reset(spark, sf_dir):
+    """A store that was reset holds only what came after; its listing as the sink writes it."""
+    store = _new_store(spark)
+    rows = _stored(fx.vectors(spark, sf_dir))
+    store.append(rows, "first")
+    store.reset()
+    store.append(rows.filter("document_fingerprint < 'd15'"), "first")
+    path = scratch_path(spark, "listing")
+    write_listing(store.chunks(), path)
+    return spark.read.schema("document_id string, filename string, chunk_count int, page_count int, total_chunks bigint").json(path)
+
+
+@query
+def store_overview(spark, sf_dir):
+    """The overview made from the directory and the chunks of the shown documents."""
+    store = _new_store(spark)
+    store.append(fx.stored_chunks(spark, sf_dir))
+    return live_overview(store, fx.CFG).select("total_documents", "estimated_tokens", "rendered")
+
+
 @query
 def absent_inserts(spark, sf_dir):
     """Two overlapping halves of the vector table, the second inserted where absent."""
