@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,11 +26,27 @@ _TOKEN = re.compile(r"[a-z0-9]+")
 
 @dataclass(frozen=True)
 class Embedder:
-    """``embed_texts`` maps texts to vectors; ``model_id`` is stored with every vector."""
+    """``embed_texts`` maps texts to vectors; ``model_id`` is stored with every vector.
+    ``dimension`` is the length of its vectors, where it is known."""
 
     model_id: str
     embed_texts: Callable[[Sequence[str]], Sequence[Sequence[float]]]
     batch: int = 16
+    dimension: int | None = None
+
+
+#: Stands before the error code that a row without a vector carries in place of a model.
+FAILED = "error:"
+
+# Error codes of embedding and their statuses.
+EMBEDDING_STATUSES = {
+    "EMPTY_EMBEDDING_INPUT": 400,
+    "EMBEDDING_PROVIDER_ERROR": 502,
+    "EMBEDDING_COUNT_MISMATCH": 502,
+    "EMBEDDING_DIMENSION_MISMATCH": 502,
+    "EMBEDDING_INVALID_VALUE": 502,
+}
+_CODE = re.compile(r"EMBEDDING_[A-Z_]+")
 
 
 class _BucketCache(dict):
@@ -72,44 +88,79 @@ def hash_embedder() -> Embedder:
     return Embedder("hash-128", hash_embed_texts, batch=1024)
 
 
-def clean_inputs(df: DataFrame, text_column: str) -> tuple[DataFrame, DataFrame]:
-    """Strip the texts; split off the rows whose text is empty, with their error."""
-    stripped = df.withColumn(text_column, tx.strip(F.coalesce(text_column, F.lit(""))))
-    bad = stripped.filter(F.col(text_column) == "").withColumn(
-        "error_code", F.lit("EMPTY_EMBEDDING_INPUT")
-    ).withColumn("error_status", F.lit(400))
-    return stripped.filter(F.col(text_column) != ""), bad
-
-
-def embed(df: DataFrame, text_column: str, embedder: Embedder) -> DataFrame:
-    """Add ``embedding`` and ``model_id`` to every row.
+def _vector_or_code(vector: Sequence[float] | None, dimension: int | None) -> np.ndarray | str:
+    try:
+        found = np.asarray(vector, dtype=np.float32)
+    except (TypeError, ValueError):
+        return "EMBEDDING_INVALID_VALUE"
+    if found.ndim != 1 or not len(found) or not np.isfinite(found).all():
+        return "EMBEDDING_INVALID_VALUE"
+    if dimension is not None and len(found) != dimension:
+        return "EMBEDDING_DIMENSION_MISMATCH"
+    return found
+
+
+def embed_each(texts: list[str], embedder: Embedder) -> list[np.ndarray | str]:
+    """A vector or an error code for every text. A call that fails, or returns another number
+    of vectors, is made again with either half of its texts, until the texts at fault are alone:
+    they cost the others nothing. A message that names an embedding code keeps it."""
+    try:
+        got = list(embedder.embed_texts(texts))
+        code = None if len(got) == len(texts) else "EMBEDDING_COUNT_MISMATCH"
+    except Exception as error:  # noqa: BLE001, whatever a model throws
+        named = _CODE.match(str(error))
+        code = named.group() if named else "EMBEDDING_PROVIDER_ERROR"
+    if code is None:
+        return [_vector_or_code(v, embedder.dimension) for v in got]
+    if len(texts) == 1:
+        return [code]
+    half = len(texts) // 2
+    return embed_each(texts[:half], embedder) + embed_each(texts[half:], embedder)
+
+
+def embed(df: DataFrame, text_column: str, embedder: Embedder, refuse_blank: bool = False) -> DataFrame:
+    """Add ``embedding`` and ``model_id`` to every row. A row whose text could not be embedded
+    has no vector, and its error code behind ``FAILED`` as ``model_id``; so has a blank text
+    with ``refuse_blank``.
 
     One call is served by one embedder, so no document can mix vectors of two models.
     """
-    embed_texts, batch = embedder.embed_texts, embedder.batch
-    # Only the text to embed crosses into Python twice; the other columns pass through Arrow.
-    prepared = df.withColumn("_input", F.lower(tx.strip(F.col(text_column)))) if (
-        embed_texts is hash_embed_texts
-    ) else df.withColumn("_input", tx.strip(F.col(text_column)))
+    plain = embedder.embed_texts is hash_embed_texts
+    text = tx.strip(F.coalesce(F.col(text_column), F.lit("")))
+    text = F.lower(text) if plain else text
+    batch = embedder.batch
+    result = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("code", T.StringType())])
 
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             values = texts.tolist()
             out: list = []
             for start in range(0, len(values), batch):
                 part = values[start : start + batch]
-                got = embed_texts(part)
-                if len(got) != len(part):
-                    raise ValueError("EMBEDDING_COUNT_MISMATCH: an embedder must return one vector per text")
-                out.extend(None if v is None else np.asarray(v, dtype=np.float32) for v in got)
-            yield pd.Series(out, index=texts.index, dtype=object)
+                asked = [t for t in part if t or not refuse_blank]
+                found = iter(embed_each(asked, embedder) if asked else [])
+                out += [next(found) if t or not refuse_blank else "EMPTY_EMBEDDING_INPUT" for t in part]
+            failed = [v if isinstance(v, str) else None for v in out]
+            good = [None if isinstance(v, str) else v for v in out]
+            yield pd.DataFrame({"vector": pd.Series(good, dtype=object), "code": pd.Series(failed, dtype=object)})
 
-    column = F.pandas_udf(vectors, T.ArrayType(T.FloatType()))
-    return (
-        prepared.withColumn("embedding", column(F.col("_input")))
-        .withColumn("model_id", F.lit(embedder.model_id))
-        .drop("_input")
-    )
+    # Only the text to embed crosses into Python; the other columns pass through Arrow.
+    made = df.withColumn("_made", F.pandas_udf(vectors, result)(text))
+    model = F.coalesce(F.concat(F.lit(FAILED), F.col("_made.code")), F.lit(embedder.model_id))
+    return made.withColumn("embedding", F.col("_made.vector")).withColumn("model_id", model).drop("_made")
+
+
+def embedding_error(model_id: Column) -> Column:
+    """The error code of a row that ``embed`` left without a vector; null for others."""
+    return F.when(F.startswith(model_id, F.lit(FAILED)), F.substring(model_id, len(FAILED) + 1, 100))
+
+
+def embedding_errors(embedded: DataFrame) -> DataFrame:
+    """``embed``'s result with ``error_code`` and ``error_status``, null for sound rows."""
+    statuses = F.create_map(*[F.lit(x) for pair in EMBEDDING_STATUSES.items() for x in pair])
+    code = embedding_error(F.col("model_id"))
+    status = F.when(code.isNotNull(), F.coalesce(F.try_element_at(statuses, code), F.lit(502)))
+    return embedded.withColumn("error_code", code).withColumn("error_status", status)
 
 
 def vector_errors(df: DataFrame, stored_dimension: int | None = None) -> DataFrame:
@@ -120,6 +171,9 @@ def vector_errors(df: DataFrame, stored_dimension: int | None = None) -> DataFra
     """
     sizes = F.size("embedding")
     invalid = ~vx.is_finite_vector(F.col("embedding"))
+    told = F.lit("EMBEDDING_INVALID_VALUE")
+    if "model_id" in df.columns:
+        told = F.coalesce(embedding_error(F.col("model_id")), told)
     if stored_dimension is None:
         span = df.filter(vx.is_finite_vector(F.col("embedding"))).agg(
             F.min(F.size("embedding")).alias("_lo"), F.max(F.size("embedding")).alias("_hi")
@@ -136,7 +190,7 @@ def vector_errors(df: DataFrame, stored_dimension: int | None = None) -> DataFra
     return (
         checked.withColumn(
             "error_code",
-            F.when(invalid, F.lit("EMBEDDING_INVALID_VALUE"))
+            F.when(invalid, told)
             .when(mixed, F.lit("INDEX_EMBEDDING_DIMENSION_MISMATCH"))
             .when(conflict, F.lit("INDEX_EMBEDDING_DIMENSION_CONFLICT")),
         )
@@ -162,11 +216,14 @@ def document_vector_errors(vectors: DataFrame, stored_dimension: int | None = No
     Without a stored dimension, the first sound document by id sets it.
     """
     finite = vx.is_finite_vector(F.col("embedding"))
+    named = "model_id" in vectors.columns
+    told = F.when(~finite, embedding_error(F.col("model_id"))) if named else F.lit(None).cast("string")
     spans = vectors.groupBy("document_fingerprint").agg(
         F.count("*").alias("vectors"),
         F.count_if(~finite).alias("invalid_vectors"),
         F.min(F.when(finite, F.size("embedding"))).alias("dimension"),
         F.max(F.when(finite, F.size("embedding"))).alias("max_dimension"),
+        F.min(told).alias("told"),
     )
     sound = (F.col("invalid_vectors") == 0) & (F.col("dimension") == F.col("max_dimension"))
     if stored_dimension is None:
@@ -180,10 +237,10 @@ def document_vector_errors(vectors: DataFrame, stored_dimension: int | None = No
         spans = spans.withColumn("_expected", F.lit(stored_dimension))
     return spans.withColumn(
         "error_code",
-        F.when(F.col("invalid_vectors") > 0, F.lit("EMBEDDING_INVALID_VALUE"))
+        F.when(F.col("invalid_vectors") > 0, F.coalesce("told", F.lit("EMBEDDING_INVALID_VALUE")))
         .when(F.col("dimension") != F.col("max_dimension"), F.lit("INDEX_EMBEDDING_DIMENSION_MISMATCH"))
         .when(F.col("dimension") != F.col("_expected"), F.lit("INDEX_EMBEDDING_DIMENSION_CONFLICT")),
-    ).drop("_expected")
+    ).drop("_expected", "told")
 
 
 def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions import text as tx
+
 
 def threshold_sweep(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     """Acceptance and precision at every threshold.
@@ -77,3 +79,36 @@ def retrieval_quality(results: DataFrame, expected: DataFrame) -> DataFrame:
         F.round(F.avg(hit.cast("double")), 6).alias("hit_rate"),
         F.round(F.try_divide(F.sum("good"), F.sum("retrieved")), 6).alias("precision_at_k"),
     )
+
+
+def passages_in(chunks: DataFrame, passages: DataFrame, seed: int = 8) -> DataFrame:
+    """Which documents hold which passages: distinct ``passage``, ``document_fingerprint``.
+
+    ``chunks`` has ``chunk_id``, ``document_fingerprint`` and ``text``; ``passages`` has ``passage``. A passage
+    is held where all its words stand in a chunk one after another. Windows of a chunk's words
+    meet the first ``seed`` words of the passages by hash, shorter passages as a whole, and what
+    meets is compared word by word.
+    """
+    wanted = passages.select("passage", tx.words(F.col("passage")).alias("wanted")).filter(F.size("wanted") > 0).distinct()
+    wanted = wanted.withColumn("width", F.least(F.lit(seed), F.size("wanted")))
+    widths = sorted(r.width for r in wanted.select("width").distinct().collect())  # at most ``seed``
+    wanted = wanted.withColumn("key", F.xxhash64("width", F.slice("wanted", F.lit(1), F.col("width"))))
+    texts = chunks.select("chunk_id", "document_fingerprint", tx.words(F.col("text")).alias("words"))
+
+    def windows(width: int) -> Column:
+        last = F.size("words") - width
+        keys = F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(width), F.slice("words", i + 1, F.lit(width))).alias("key")),
+        )
+        return F.when(last >= 0, keys).otherwise(F.array().cast("array<struct<at:int,key:bigint>>"))
+
+    if not widths:
+        return texts.limit(0).select(F.lit("").alias("passage"), "document_fingerprint")
+    # Windows are many and narrow: they are sorted, never hashed in memory. Words follow later.
+    found = texts.select("chunk_id", F.explode(F.concat(*[windows(w) for w in widths])).alias("window"))
+    found = found.select("chunk_id", "window.at", "window.key").hint("merge")
+    met = found.join(wanted.select("key", "passage"), "key").select("chunk_id", "at", "passage")
+    met = met.join(texts, "chunk_id").join(wanted.select("passage", "wanted"), "passage")
+    met = met.filter(F.slice("words", F.col("at") + 1, F.size("wanted")) == F.col("wanted"))
+    return met.select("passage", "document_fingerprint").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.config import EngineConfig
-from pagewright.operators.admission import document_gate
+from pagewright.operators.admission import document_gate, file_errors
 from pagewright.operators.chunking import chunk_documents
 from pagewright.operators.embedding import Embedder, embed, hash_embedder
 from pagewright.session import materialize
@@ -125,7 +125,7 @@ def ingest(
     dropped = uploads.join(kept, "upload_id", "left_anti")
 
     chunks = chunk_documents(_pages_of(pages, kept, dropped, cfg), cfg)
-    store.append(embed(chunks, "text", embedder), batch, empty_ok=True)
+    store.append(embed(chunks, "text", embedder, refuse_blank=True), batch, empty_ok=True)
 
     counts = store.directory().select(F.col("document_fingerprint").alias("document_id"), "chunk_count", "stored_pages")
     counts = counts.join(uploads.select("document_id").distinct(), "document_id", "left_semi")
@@ -134,3 +134,42 @@ def ingest(
     late = rejected.filter("error_code = 'DOCUMENT_ALREADY_INDEXED'")
     kept = kept.join(late.select(F.col("document_fingerprint").alias("document_id")), "document_id", "left_anti")
     return ingest_report(uploads, kept, counts, rejected.filter("error_code != 'DOCUMENT_ALREADY_INDEXED'"))
+
+
+def ingest_files(
+    files: DataFrame,
+    pages: DataFrame,
+    store: ChunkStore,
+    embedder: Embedder | None = None,
+    cfg: EngineConfig | None = None,
+    batch: str | None = None,
+) -> DataFrame:
+    """Admit files, index the pages of the admitted ones, and report on every file.
+
+    ``files`` (from ``scan_files``) has ``path``, ``filename``, ``content_type``, ``content`` and
+    optionally ``length``; ``pages`` has ``path``, ``page_number`` and ``text``, as an extractor
+    left them. The bytes are read once, to be checked and hashed, and go no further: the hash is
+    the document id. A refused file has its code in the report; an admitted one without pages is
+    NO_EXTRACTABLE_TEXT. Pages of refused or unknown files are not indexed.
+    """
+    cfg = cfg or EngineConfig()
+    judged = file_errors(files, cfg).select(
+        F.col("path").alias("upload_id"),
+        F.when(F.col("error_code").isNull(), F.sha2("content", 256)).alias("document_id"),
+        F.coalesce(F.col("clean_filename"), F.lit("")).alias("filename"),
+        "error_code",
+    )
+    judged = materialize(judged, "judged-files")
+    admitted = judged.filter("error_code is null").drop("error_code")
+    own = pages.select(F.col("path").alias("upload_id"), "page_number", "text").join(admitted, "upload_id")
+    report = materialize(ingest(own, store, embedder, cfg, batch), "ingest-report")
+    bare = admitted.join(report.select("upload_id"), "upload_id", "left_anti")
+    refused = judged.filter("error_code is not null").unionByName(bare.withColumn("error_code", F.lit("NO_EXTRACTABLE_TEXT")))
+    none = F.lit(0)
+    return report.unionByName(
+        refused.select(
+            "upload_id", "document_id", "filename", none.alias("page_count"), none.alias("empty_page_count"),
+            none.alias("chunk_count"), none.alias("indexed_count"), F.lit("rejected").alias("status"),
+            F.col("error_code").alias("message"), "error_code",
+        )
+    )

@@ -12,7 +12,8 @@ def scan_files(spark: SparkSession, path: str, cfg: EngineConfig, pattern: str =
     """Files below ``path`` as ``(path, filename, content_type, content, length)``.
 
     The size test is pushed into the scan, so the content of oversized files is never read;
-    they still appear, without content, to be rejected by name.
+    they still appear, without content, to be rejected by name. Files of no bytes don't appear:
+    Spark's reader passes over them.
     """
     def scan() -> DataFrame:
         return (

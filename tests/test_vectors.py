@@ -9,8 +9,9 @@ from pagewright.config import EngineConfig
 from pagewright.functions import vectors as vx
 from pagewright.operators.embedding import (
     Embedder,
-    clean_inputs,
     embed,
+    embed_each,
+    embedding_errors,
     hash_embedder,
     mixed_models,
     missing_vectors,
@@ -113,8 +114,27 @@ def test_user_embedder_batches_and_counts(spark):
 
     rows = embed(df, "text", Embedder("len", lengths)).collect()
     assert {r.id: r.embedding[0] for r in rows}[11] == 7.0
-    with pytest.raises(Exception, match="EMBEDDING_COUNT_MISMATCH"):
-        embed(df, "text", Embedder("short", lambda t: [[1.0]] * (len(t) - 1))).collect()
+    short = embed(df, "text", Embedder("short", lambda t: [[1.0]] * (len(t) - 1))).collect()
+    assert {(r.embedding, r.model_id) for r in short} == {(None, "error:EMBEDDING_COUNT_MISMATCH")}
+
+
+def test_texts_at_fault_cost_the_others_nothing(spark):
+    calls = []
+
+    def moody(texts):
+        calls.append(len(texts))
+        if "bad" in texts:
+            raise ValueError("EMBEDDING_RATE_LIMIT: later")
+        return [None if t == "none" else [1.0, 2.0, 3.0] if t == "long" else [float(len(t)), 1.0] for t in texts]
+
+    texts = [f"t{i}" for i in range(30)] + ["bad", "none", "long"]
+    found = embed_each(texts, Embedder("m", moody, dimension=2))
+    assert [list(v) for v in found[:30]] == [[float(len(t)), 1.0] for t in texts[:30]]
+    assert found[30:] == ["EMBEDDING_RATE_LIMIT", "EMBEDDING_INVALID_VALUE", "EMBEDDING_DIMENSION_MISMATCH"]
+    assert len(calls) <= 1 + 2 * 6  # halves only around the one at fault
+    df = spark.createDataFrame([(1, None), (2, " \t"), (3, "x")], "id int, text string")
+    told = embedding_errors(embed(df, "text", Embedder("m", lambda t: [[1.0]] * len(t)), refuse_blank=True)).collect()
+    assert [(r.id, r.error_code, r.error_status) for r in told] == [(1, "EMPTY_EMBEDDING_INPUT", 400), (2, "EMPTY_EMBEDDING_INPUT", 400), (3, None, None)]
 
 
 def test_vector_validation(spark):
@@ -130,16 +150,6 @@ def test_vector_validation(spark):
     assert {r.error_code for r in validate_vectors(mixed)[1].collect()} == {"INDEX_EMBEDDING_DIMENSION_MISMATCH"}
 
 
-def test_input_and_pairing_checks(spark):
-    df = spark.createDataFrame([(1, " a "), (2, " \n"), (3, None)], "id int, text string")
-    good, bad = clean_inputs(df, "text")
-    assert [r.text for r in good.collect()] == ["a"] and bad.count() == 2
-    chunks = spark.createDataFrame([("a",), ("a",), ("b",)], "document_fingerprint string")
-    vectors = spark.createDataFrame([("a", "m"), ("b", "m"), ("b", "n")], "document_fingerprint string, model_id string")
-    assert missing_vectors(chunks, vectors).count() == 2
-    assert [r.document_fingerprint for r in mixed_models(vectors).collect()] == ["b"]
-
-
 def test_normalization(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     a, b = df.select(vx.l2_normalize(F.col("v")).alias("u")).collect()
@@ -159,3 +169,10 @@ def test_knn_is_exact_for_close_and_tiny_vectors(spark):
         for r in knn(spark.createDataFrame(questions, Q), spark.createDataFrame(chunks, C), 7, metric).collect():
             got.setdefault(r.question_id, []).append((r.distance, r.document_fingerprint, r.sequence, r.chunk_id))
         assert {q: sorted(v) for q, v in got.items()} == brute(questions, chunks, 7, metric)
+
+
+def test_pairing_checks(spark):
+    chunks = spark.createDataFrame([("a",), ("a",), ("b",)], "document_fingerprint string")
+    vectors = spark.createDataFrame([("a", "m"), ("b", "m"), ("b", "n")], "document_fingerprint string, model_id string")
+    assert missing_vectors(chunks, vectors).count() == 2
+    assert [r.document_fingerprint for r in mixed_models(vectors).collect()] == ["b"]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagewright.config import EngineConfig
 from pagewright.functions.text import fingerprint
 from pagewright.operators.chunking import chunk_documents
-from pagewright.operators.embedding import embed, hash_embedder
+from pagewright.operators.embedding import Embedder, embed, hash_embedder
 from pagewright.session import materialize, spread
 
 CFG = EngineConfig(
@@ -189,6 +189,22 @@ def uploaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FILE_CFG = EngineConfig(max_upload_size_bytes=12_000)
 
+UPLOAD_CFG = replace(CFG, max_upload_size_bytes=12_000)
+
+
+def faulty_embed_texts(texts):
+    """Fails by the lengths of its texts: the whole call, one vector too few, or a bad vector."""
+    kinds = [len(t) % 11 for t in texts]
+    if 0 in kinds:
+        raise RuntimeError("no answer")
+    if 1 in kinds:
+        raise RuntimeError("EMBEDDING_TIMEOUT after 30 s")
+    out = [[float(len(t)), float("nan") if k == 3 else 1.0] + [1.0] * (k == 4) for t, k in zip(texts, kinds)]
+    return out[1:] if 2 in kinds else out
+
+
+FAULTY = Embedder("faulty", faulty_embed_texts, batch=16, dimension=2)
+
 ERROR_CODES = [
     "FILE_TOO_LARGE", "INVALID_FILENAME", "INVALID_CONTENT_TYPE", "INVALID_PDF_SIGNATURE", "EMPTY_FILE",
     "PAGE_EXTRACTION_FAILED", "PDF_EXTRACTION_FAILED", "NO_EXTRACTABLE_TEXT", "PDF_ENCRYPTED", "CORRUPTED_PDF",

@@ -25,6 +25,11 @@ def strip(x: str) -> str:
     return f"trim({x}, {SPACES})"
 
 
+def words_apart(x: str) -> str:
+    """The words of a text with one space between them."""
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
 def strlist(values) -> str:
     return "[" + ", ".join(lit(v) for v in values) + "]"
 
@@ -525,10 +530,6 @@ _STATUSES = "map {" + ", ".join(f"{lit(k)}: {v}" for k, v in admission.STATUS_OF
 _TYPO_MAP = "map {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in TYPOS.items()) + "}"
 
 
-def opening(x: str) -> str:
-    return rf"array_to_string(string_split_regex({strip(x)}, '\s+')[1:3], ' ')"
-
-
 ORACLES: dict[str, str] = {
     "normalized_pages": chain(PAGES, NORMAL)
     + f"select document_id, page_number, text, {strip('raw')} = '' as empty, text = '' as blank from norm",
@@ -641,6 +642,39 @@ ORACLES: dict[str, str] = {
     from (select doc_id as upload_id, sha256(text) as document_id, {filename("doc_id")} as filename, text,
         row_number() over (partition by sha256(text) order by doc_id) = 1 as first from documents)
     join counts using (document_id)""",
+    "ingest_files": chain(FIRST_COPIES, NORMAL, units(T), packed(T, O), FILES)
+    + f""", judged as (
+      select *, 'in/' || doc_id as upload_id, case when content is null then 'MISSING_FILE' when content = '' then 'EMPTY_FILE'
+        when strlen(content) > {fx.UPLOAD_CFG.max_upload_size_bytes} then 'FILE_TOO_LARGE'
+        when clean = '' then 'MISSING_FILENAME' when not ends_with(lower(clean), '.pdf') then 'INVALID_FILENAME'
+        when bare is not null and bare not in ({_ALLOWED}) then 'INVALID_CONTENT_TYPE'
+        when not contains(content[1:1024], '%PDF-') then 'INVALID_PDF_SIGNATURE' when doc_id % 10 = 3 then 'NO_EXTRACTABLE_TEXT'
+        end as code from named),
+    counts as (select document_fingerprint as text_id, max(sequence) as n from chunks group by all),
+    known as (
+      select j.*, coalesce(case when code is null or code = 'NO_EXTRACTABLE_TEXT' then sha256(content) end, '') as document_id,
+        code is null and coalesce(n, 0) = 0 as blank, coalesce(n, 0) as n
+      from judged j join documents using (doc_id) left join counts on text_id = sha256(text)),
+    placed as (
+      select *, code is null and not blank
+        and row_number() over (partition by document_id, code is null and not blank order by upload_id) = 1 as first from known)
+    select upload_id, document_id, clean as filename, case when code is null then 1 else 0 end as page_count,
+      case when code is null then n else 0 end::int as chunk_count, case when code is null then n else 0 end::int as indexed_count,
+      case when code is not null or blank then 'rejected' when first then 'indexed' else 'already_indexed' end as status,
+      case when code is not null then code when blank then 'NO_EXTRACTABLE_TEXT' when first then
+        'Document ingestion completed successfully. 1 pages processed, ' || n || ' chunks created, ' || n || ' vectors indexed.'
+        else 'This document is already indexed. No duplicate embedding or indexing was performed.' end as message,
+      case when code is not null then code when blank then 'NO_EXTRACTABLE_TEXT' else '' end as error_code
+    from placed""",
+    "embedder_faults": f"""with asked as (
+      select doc_id, length({strip("text")}) as n, {strip("text")} = '' or doc_id % 17 = 0 as blank from documents
+    ), judged as (
+      select doc_id, n, case when blank then 'EMPTY_EMBEDDING_INPUT' when n % 11 = 0 then 'EMBEDDING_PROVIDER_ERROR'
+        when n % 11 = 1 then 'EMBEDDING_TIMEOUT' when n % 11 = 2 then 'EMBEDDING_COUNT_MISMATCH'
+        when n % 11 = 3 then 'EMBEDDING_INVALID_VALUE' when n % 11 = 4 then 'EMBEDDING_DIMENSION_MISMATCH' else '' end as error_code
+      from asked)
+    select doc_id, error_code, case error_code when '' then 0 when 'EMPTY_EMBEDDING_INPUT' then 400 else 502 end as error_status,
+      case when error_code = '' then n else -1 end::int as first from judged""",
     "uploads_chosen": """select sha256(text) as document_id, min(doc_id) as upload_id from documents
     group by sha256(text) having not bool_or(lang = 'fr')""",
     "store_round_trip": chain(VECTORS)
@@ -719,16 +753,19 @@ ORACLES: dict[str, str] = {
     + f""", results as (
       select distinct question_id, document_fingerprint from candidates
       where distance <= {fx.CFG.relevance_threshold}),
-    openings as (select distinct {opening("text")} as opening, document_fingerprint from chunks),
+    spaced as (select distinct document_fingerprint, ' ' || {words_apart("text")} || ' ' as said from chunks),
+    passages as (select distinct question, ' ' || {words_apart("question")} || ' ' as said from questions
+      where {words_apart("question")} <> ''),
+    held as (select distinct p.question, s.document_fingerprint from passages p join spaced s on contains(s.said, p.said)),
     asked as (
       select question_id, case when question_id < 1000000000 then 'passage' when question_id < 2000000000 then 'turn'
-        else 'template' end as scenario, {opening("question")} as opening from questions),
+        else 'template' end as scenario, question from questions),
     judged as (
       select scenario,
-        (select count(*) from openings o where o.opening = a.opening) as wanted,
+        (select count(*) from held h where h.question = a.question) as wanted,
         (select count(*) from results r where r.question_id = a.question_id) as retrieved,
-        (select count(*) from results r join openings o using (document_fingerprint)
-          where r.question_id = a.question_id and o.opening = a.opening) as good
+        (select count(*) from results r join held h using (document_fingerprint)
+          where r.question_id = a.question_id and h.question = a.question) as good
       from asked a)
     select scenario, count(*) as questions,
       count(*) filter (case when wanted > 0 then good > 0 else retrieved = 0 end) as hits,

@@ -24,6 +24,7 @@ from pagewright.operators.units import normalize_pages, page_units
 from pagewright.plans import index
 from pagewright.plans.answer import answer_batch, with_chunk_columns
 from pagewright.plans.ingest import first_uploads, ingest, uploads_to_index
+from pagewright.plans.ingest import ingest_files as ingest_uploads
 from pagewright.session import materialize, scratch_path
 from pagewright.sources.sinks import answer_payloads, write_listing
 from pagewright.sources.store import ChunkStore, count_mismatches, insert_if_absent
@@ -401,6 +402,32 @@ def ingest_dedup(spark, sf_dir):
     return report.withColumn("error_code", F.coalesce("error_code", F.lit("")))
 
 
+@query
+def ingest_files(spark, sf_dir):
+    """Uploaded files with their pages, a tenth of them without: a report row for every file."""
+    files = fx.uploaded_files(spark, sf_dir).withColumn("path", F.concat(F.lit("in/"), F.col("doc_id").cast("string")))
+    pages = fx.table(spark, sf_dir, "documents").filter("doc_id % 10 <> 3").select(
+        F.concat(F.lit("in/"), F.col("doc_id").cast("string")).alias("path"), F.lit(1).alias("page_number"), "text"
+    )
+    report = ingest_uploads(files, pages, _new_store(spark), cfg=fx.UPLOAD_CFG)
+    return report.select(
+        "upload_id", F.coalesce("document_id", F.lit("")).alias("document_id"), "filename", "page_count", "chunk_count",
+        "indexed_count", "status", "message", F.coalesce("error_code", F.lit("")).alias("error_code"),
+    )
+
+
+@query
+def embedder_faults(spark, sf_dir):
+    """Texts of which some are blank and others make the embedder fail, in batches of sixteen."""
+    number = F.col("doc_id")
+    texts = fx.table(spark, sf_dir, "documents").select("doc_id", F.when(number % 17 == 0, F.lit(" \n")).otherwise(F.col("text")).alias("text"))
+    made = embedding.embedding_errors(embedding.embed(texts, "text", fx.FAULTY, refuse_blank=True))
+    return made.select(
+        "doc_id", F.coalesce("error_code", F.lit("")).alias("error_code"), F.coalesce("error_status", F.lit(0)).alias("error_status"),
+        F.coalesce(F.get("embedding", F.lit(0)).cast("int"), F.lit(-1)).alias("first"),
+    )
+
+
 @query
 def uploads_chosen(spark, sf_dir):
     """Uploads to index when all French documents are stored already."""
@@ -629,18 +656,18 @@ def retrieval_quality(spark, sf_dir):
         "question_id", F.col("document_fingerprint").alias("chunk_id"), "rank"
     )
     per_document = accepted.groupBy("question_id", "chunk_id").agg(F.min("rank").alias("rank"))
-    # A passage is expected where any chunk starts with the same three words.
-    opening = F.array_join(F.slice(tx.words(F.col("text")), 1, 3), " ")
-    openings = chunks.select(opening.alias("opening"), F.col("document_fingerprint").alias("chunk_id")).distinct()
+    # A passage is expected where all its words stand in a chunk one after another.
+    held = evaluation.passages_in(chunks, questions.select(F.col("question").alias("passage")))
     asked = questions.select(
         "question_id",
         F.when(F.col("question_id") < 1_000_000_000, F.lit("passage"))
         .when(F.col("question_id") < 2_000_000_000, F.lit("turn"))
         .otherwise(F.lit("template"))
         .alias("scenario"),
-        F.array_join(F.slice(tx.words(F.col("question")), 1, 3), " ").alias("opening"),
+        F.col("question").alias("passage"),
     )
-    expected = asked.join(openings, "opening", "left").select("question_id", "scenario", "chunk_id")
+    held = held.withColumnRenamed("document_fingerprint", "chunk_id")
+    expected = asked.join(held, "passage", "left").select("question_id", "scenario", "chunk_id")
     return evaluation.retrieval_quality(per_document, expected).withColumn(
         "precision_at_k", F.coalesce("precision_at_k", F.lit(-1.0))
     )
