@@ -237,14 +237,17 @@ def knn(
 
     ``questions`` has ``question_id`` and ``embedding``; ``chunks`` has the key columns and
     ``embedding``, of which nothing else is read. With ``exclude_self``, a chunk row naming
-    a question in its own ``question_id`` is no candidate for it.
+    a question in its own ``question_id`` is no candidate for it. Rows that repeat a question id
+    are one question; of different vectors the least is taken, element by element.
     """
     cfg = cfg or EngineConfig()
     corpus = _corpus(chunks)
     exclude = exclude_self and "question_id" in chunks.columns
     asked = questions.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("width")
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("question_id").alias("ids"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("width")
     ).first()
+    if asked["rows"] > asked["ids"]:
+        questions = questions.groupBy("question_id").agg(F.min("embedding").alias("embedding"))
     total, size = asked["rows"], asked["rows"] * asked["width"] * 4
     if total == 0:
         hits = questions.sparkSession.createDataFrame([], _HITS)
