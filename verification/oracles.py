@@ -822,6 +822,7 @@ ORACLES: dict[str, str] = {
       coalesce(round(avg(case when event_type = 'signup' then value end), 4), -1) as mean_latency_ms
     from log group by event, level""",
     "stream_ingest": chain(*CHUNKS) + CHUNK_SELECT,
+    "stream_split_documents": chain(*CHUNKS) + CHUNK_SELECT,
     "stream_two_sources": chain(*CHUNKS) + CHUNK_SELECT,
     "stream_answers": answer_sql(fx.CFG.max_context_tokens, True),
 }

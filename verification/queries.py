@@ -32,6 +32,7 @@ from pagewright.sources.tables import parse_log, questions_from_requests, scan_l
 from pagewright.streaming.answer import answer_stream
 from pagewright.streaming.answer import store_overview as live_overview
 from pagewright.streaming.ingest import ingest_stream
+from pagewright.streaming.parts import ingest_parts_stream
 from verification import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -842,6 +843,24 @@ def stream_ingest(spark, sf_dir):
     return chunk_view(store.chunks())
 
 
+@query
+def stream_split_documents(spark, sf_dir):
+    """Pages of every document spread over three micro-batches; some pages come twice. Together
+    they are what one batch would be."""
+    pages = fx.decorated_pages(spark, sf_dir)
+    counts = pages.groupBy("document_id").agg(F.max("page_number").alias("page_count"))
+    parts = pages.join(counts, "document_id").withColumn("step", F.pmod(F.xxhash64("text", "page_number"), F.lit(3)))
+    again = parts.filter("page_number = 1").withColumn("step", F.lit(2).cast("long"))
+    incoming, work = scratch_path(spark, "incoming"), scratch_path(spark, "stream")
+    for step in range(3):
+        both = parts.unionByName(again).filter(F.col("step") == step).drop("step")
+        both.coalesce(1).write.mode("append").parquet(incoming)
+    store, schema = _new_store(spark), spark.read.parquet(incoming).schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    ingest_parts_stream(source, store, f"{work}/checkpoint", f"{work}/reports", cfg=fx.CFG).awaitTermination()
+    return chunk_view(store.chunks())
+
+
 @query
 def stream_two_sources(spark, sf_dir):
     """Two streams feed one store: together they hold what one batch would."""
