@@ -73,3 +73,17 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(1000, 1001), (5000, 1001)], "a bigint, b bigint").repartition(20)
     found = {r.id: r.component for r in components(links).collect()}
     assert found == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000, 5000: 1000}
+
+
+def test_recall_at_the_threshold_in_the_deepest_nodes(spark):
+    # Pairs of 96 shingles each, 11 to 13 of them unlike: similarities 0.76 to 0.80. Every node branches on.
+    rng, rows = random.Random(7), []
+    for pair in range(2000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        unlike = rng.choice([11, 12, 13])
+        other = words[:-unlike] + [f"v{rng.randrange(10**6)}" for _ in range(unlike)]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.component_id for r in near_duplicates(docs, ChosenPath(large_node=1)).collect()}
+    linked = sum(found[2 * p + 1] == 2 * p for p in range(2000))
+    assert linked >= 0.999 * 2000 and all(found[2 * p] == 2 * p for p in range(2000))
