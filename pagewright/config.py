@@ -25,14 +25,13 @@ class EngineConfig:
     embedding_batch: int = 16
     # Physical sizing. These never change a result.
     long_document_pages: int = 2_000
-    folio_pages: int = 256
+    long_document_characters: int = 16_000_000
+    folio_words: int = 100_000
     folios_per_span: int = 4_096
     broadcast_questions: int = 20_000
     broadcast_bytes: int = 64 * 1024 * 1024
     broadcast_documents: int = 100_000
     broadcast_chunk_ids: int = 500_000
-    question_block: int = 20_000
-    corpus_shard: int = 200_000
 
     def __post_init__(self) -> None:
         positive = (
@@ -43,10 +42,11 @@ class EngineConfig:
             "max_upload_size_bytes",
             "embedding_batch",
             "long_document_pages",
-            "folio_pages",
+            "long_document_characters",
+            "folio_words",
             "folios_per_span",
-            "question_block",
-            "corpus_shard",
+            "broadcast_questions",
+            "broadcast_bytes",
         )
         for name in positive:
             if getattr(self, name) <= 0:

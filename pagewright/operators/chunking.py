@@ -7,8 +7,8 @@ only the words since the last flush, a chunk is the span between two flushes plu
 overlap, and the texts are put together afterwards.
 
 Documents of ordinary length are gathered into one row each, which costs one shuffle.
-Longer ones would make that row the bottleneck; ``long_documents`` packs them page range
-by page range with the same result.
+Longer ones, by pages or by characters, would make that row the bottleneck; ``long_documents``
+packs them word range by word range with the same result.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pagewright.config import EngineConfig
 from pagewright.functions import text as tx
-from pagewright.operators.units import normalize_pages, unit_array, with_units
+from pagewright.operators.units import unit_array
 from pagewright.schemas import CHUNK_COLUMNS
 
 END = "struct<e:int,eu:int>"
@@ -181,11 +181,12 @@ def finish(chunks: DataFrame) -> DataFrame:
 
 
 def long_document_ids(pages: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Documents with more pages than one row should hold. Reads two narrow columns."""
+    """Documents with more pages or characters than one row should hold."""
     return (
         pages.groupBy("document_id")
-        .agg(F.count("*").alias("document_page_count"))
-        .filter(F.col("document_page_count") > cfg.long_document_pages)
+        .agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("characters"))
+        .filter((F.col("pages") > cfg.long_document_pages) | (F.col("characters") > cfg.long_document_characters))
+        .select("document_id")
     )
 
 
@@ -193,8 +194,8 @@ def chunk_documents(pages: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Chunks of every document with a usable fingerprint, filename and some text.
 
     ``pages`` has ``document_id``, ``filename``, ``page_number`` and the extracted ``text``.
-    A narrow scan first looks for overlong documents; where there are none, the plan has a
-    single shuffle.
+    A scan that adds up pages and characters first looks for overlong documents; where there are
+    none, the plan has a single shuffle.
     """
     from pagewright.operators.long_documents import pack_long_documents
 
@@ -212,5 +213,5 @@ def chunk_documents(pages: DataFrame, cfg: EngineConfig) -> DataFrame:
     short = usable.join(marked, "document_id", "left_anti")
     long = usable.join(marked, "document_id")
     short_chunks = _pack_gathered(short, cfg)
-    long_chunks = pack_long_documents(with_units(normalize_pages(long), cfg.chunk_size), cfg)
+    long_chunks = pack_long_documents(long, cfg)
     return finish(short_chunks.unionByName(long_chunks))

@@ -6,9 +6,10 @@ distances, the near ones are measured again element by element in the documented
 only the best ``k`` per question leave the task. A window keeps the best ``k`` overall;
 Spark limits it per partition before the shuffle.
 
-Question vectors are broadcast when a count shows that they fit. Otherwise questions and
-chunks are cut into blocks and shards, and each pair of them meets in one task of a
-co-grouped grid, so that neither side has to fit anywhere.
+Question vectors are broadcast when their number and size show that they fit. Otherwise they
+are dealt to blocks that fit, and each block makes one pass over the chunks' stored vectors: its
+best ``k`` are written before the next one is broadcast. No vector of a chunk is ever shuffled
+or copied; what moves is the best ``k`` of every task.
 
 Equal distances are ordered by document, sequence and chunk id.
 """
@@ -19,14 +20,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.config import EngineConfig
+from pagewright.session import materialize, scratch_path
 
 KEYS = ["document_fingerprint", "sequence", "chunk_id"]
 ORDER = ["distance", *KEYS]
 _HITS = "question_id long, chunk_id string, document_fingerprint string, sequence int, distance double"
+_HIT_ARROW = pa.schema(
+    [
+        ("question_id", pa.int64()),
+        ("chunk_id", pa.string()),
+        ("document_fingerprint", pa.string()),
+        ("sequence", pa.int32()),
+        ("distance", pa.float64()),
+    ]
+)
 _TILE_CELLS = 4_000_000
 
 
@@ -74,22 +86,42 @@ def _exact(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return np.where(scale == 0, 1.0, 1.0 - dots / np.where(scale == 0, 1.0, scale))
 
 
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as rows, taken from the values that lie behind each other."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+    width = len(flat) // len(vectors)
+    if vectors.null_count or (np.diff(vectors.offsets.to_numpy()) != width).any():
+        raise ValueError("vectors of one length are needed; see validate_vectors")
+    return flat.reshape(len(vectors), width)
+
+
+def _first_copies(vectors: np.ndarray, most: int) -> np.ndarray:
+    """Places of rows that at most ``most - 1`` equal rows precede."""
+    if not vectors.shape[1]:
+        return np.arange(min(most, len(vectors)))
+    rows = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * 4))).ravel()
+    numbers = np.unique(rows, return_inverse=True)[1]
+    return np.flatnonzero(pd.Series(numbers).groupby(numbers).cumcount().to_numpy() < most)
+
+
 def nearest_in_block(
     question_ids: np.ndarray,
     questions: np.ndarray,
     chunks: pd.DataFrame,
+    vectors: np.ndarray,
     k: int,
     metric: str,
     exclude: bool = False,
 ) -> pd.DataFrame:
-    """The best ``k`` chunks of one block for each question, in the documented order."""
-    chunks = chunks.sort_values(KEYS, kind="stable")
+    """The best ``k`` chunks of one block for each question, in the documented order. ``chunks``
+    are the keys of the rows of ``vectors``."""
+    chunks = chunks.reset_index(drop=True).sort_values(KEYS, kind="stable")
+    vectors = vectors[chunks.index]
     if not exclude:
         # Copies of one vector tie for every question, so its first k copies are enough.
-        same = chunks["embedding"].map(lambda v: np.asarray(v, dtype=np.float32).tobytes())
-        chunks = chunks[chunks.groupby(same).cumcount() < k]
+        first = _first_copies(vectors, k)
+        chunks, vectors = chunks.iloc[first], vectors[first]
     chunks = chunks.reset_index(drop=True)
-    vectors = np.stack(chunks["embedding"].to_numpy()).astype(np.float32)
     own = chunks["question_id"].to_numpy() if exclude else None
     tile = max(1, _TILE_CELLS // len(chunks))
     compared = _to_unit(vectors) if metric == "cosine" else vectors
@@ -155,29 +187,30 @@ def _corpus(chunks: DataFrame) -> DataFrame:
     return chunks.select(*[F.col(n) for n in names]).withColumn("sequence", F.col("sequence").cast("int"))
 
 
-def _by_broadcast(questions: DataFrame, corpus: DataFrame, k: int, metric: str, exclude: bool) -> DataFrame:
-    spark = corpus.sparkSession
-    rows = questions.select("question_id", "embedding").toPandas()
-    ids = rows["question_id"].to_numpy(dtype=np.int64)
-    matrix = np.stack(rows["embedding"].to_numpy()).astype(np.float32)
-    shared = spark.sparkContext.broadcast((ids, matrix))
+def _by_broadcast(questions: DataFrame, corpus: DataFrame, k: int, metric: str, exclude: bool):
+    """Hits of questions that fit on the driver and every executor, with their broadcast."""
+    rows = questions.select("question_id", "embedding").toArrow().combine_chunks()
+    ids = rows["question_id"].to_numpy().astype(np.int64)
+    vectors = rows["embedding"].combine_chunks()
+    shared = corpus.sparkSession.sparkContext.broadcast((ids, _matrix(vectors)))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        question_ids, vectors = shared.value
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        question_ids, asked = shared.value
         held, best = 0, []
-        for chunks in batches:
-            if chunks.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            best.append(nearest_in_block(question_ids, vectors, chunks, k, metric, exclude))
+            keys = batch.drop_columns(["embedding"]).to_pandas()
+            best.append(nearest_in_block(question_ids, asked, keys, _matrix(batch["embedding"]), k, metric, exclude))
             held += len(best[-1])
             # Fold the per-batch results together before they pile up.
             if held > 2_000_000:
                 best = [_best(pd.concat(best), k)]
                 held = len(best[0])
         if best:
-            yield _best(pd.concat(best), k)
+            yield from pa.Table.from_pandas(_best(pd.concat(best), k), _HIT_ARROW, preserve_index=False).to_batches(100_000)
 
-    return corpus.mapInPandas(score, _HITS)
+    return corpus.mapInArrow(score, _HITS), shared
 
 
 def _best(hits: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -185,39 +218,30 @@ def _best(hits: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby("question_id", sort=False).head(k)
 
 
-def _numbers(n: int):
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+def _nearest(hits: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` hits per question. Arrow brings a NaN back as null, which would sort first."""
+    hits = hits.withColumn("distance", F.coalesce("distance", F.lit(float("nan"))))
+    nearest = Window.partitionBy("question_id").orderBy(*ORDER)
+    return hits.withColumn("_cut", F.row_number().over(nearest)).filter(F.col("_cut") <= k).drop("_cut")
 
 
-def _by_grid(
-    questions: DataFrame, corpus: DataFrame, total: int, k: int, metric: str, exclude: bool, cfg: EngineConfig
-) -> DataFrame:
-    blocks = -(-total // cfg.question_block)
-    shards = max(1, -(-corpus.count() // cfg.corpus_shard))
-    # Renamed, so that questions and chunks may come from one table.
-    asked = questions.select(F.col("question_id").alias("asked_id"), F.col("embedding").alias("asked_vector"))
-    spread_q = asked.withColumn(
-        "block", F.pmod(F.xxhash64("asked_id"), F.lit(blocks))
-    ).withColumn("shard", F.explode(_numbers(shards)))
-    spread_c = corpus.withColumn("shard", F.pmod(F.xxhash64(*KEYS), F.lit(shards))).withColumn(
-        "block", F.explode(_numbers(blocks))
-    )
-
-    def score(asked: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or chunks.empty:
-            return pd.DataFrame(columns=["question_id", "chunk_id", "document_fingerprint", "sequence", "distance"])
-        ids = asked["asked_id"].to_numpy(dtype=np.int64)
-        vectors = np.stack(asked["asked_vector"].to_numpy()).astype(np.float32)
-        step = 10_000
-        parts = [
-            nearest_in_block(ids, vectors, chunks.iloc[i : i + step], k, metric, exclude)
-            for i in range(0, len(chunks), step)
-        ]
-        return _best(pd.concat(parts), k)
-
-    return (
-        spread_q.groupBy("block", "shard").cogroup(spread_c.groupBy("block", "shard")).applyInPandas(score, _HITS)
-    )
+def _by_passes(questions: DataFrame, corpus: DataFrame, blocks: int, k: int, metric: str, exclude: bool) -> DataFrame:
+    """Block after block of questions over the stored vectors. Ids are dealt to blocks by hash, so
+    that blocks are of about one size; the driver holds one block at a time."""
+    spark = corpus.sparkSession
+    corpus = materialize(corpus, "knn-vectors")
+    dealt, found = scratch_path(spark, "knn-questions"), scratch_path(spark, "knn-hits")
+    block = F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int").alias("block")
+    asked = questions.select("question_id", "embedding", block).hint("rebalance", F.col("block"))
+    asked.write.partitionBy("block").parquet(dealt)
+    for number in range(blocks):
+        part = spark.read.parquet(dealt).filter(F.col("block") == number)
+        if part.isEmpty():
+            continue
+        hits, shared = _by_broadcast(part, corpus, k, metric, exclude)
+        _nearest(hits, k).write.mode("append").parquet(found)
+        shared.destroy()
+    return spark.read.schema(_HITS).parquet(found)
 
 
 def knn(
@@ -252,13 +276,11 @@ def knn(
     if total == 0:
         hits = questions.sparkSession.createDataFrame([], _HITS)
     elif total <= cfg.broadcast_questions and size <= cfg.broadcast_bytes:
-        hits = _by_broadcast(questions, corpus, k, metric, exclude)
+        hits = _by_broadcast(questions, corpus, k, metric, exclude)[0]
     else:
-        hits = _by_grid(questions, corpus, total, k, metric, exclude, cfg)
-    # Arrow brings a NaN back as null, which would sort first.
-    hits = hits.withColumn("distance", F.coalesce("distance", F.lit(float("nan"))))
-    nearest = Window.partitionBy("question_id").orderBy(*ORDER)
-    cut = hits.withColumn("_cut", F.row_number().over(nearest)).filter(F.col("_cut") <= k).drop("_cut")
+        blocks = max(-(-total // cfg.broadcast_questions), -(-size // cfg.broadcast_bytes))
+        hits = _by_passes(questions, corpus, blocks, k, metric, exclude)
+    cut = _nearest(hits, k)
     return _require_finite(cut) if check else cut
 
 

@@ -1,12 +1,14 @@
-"""Packing of documents too long for one row, page range by page range.
+"""Packing of documents too long for one row, word range by word range.
 
-A document is cut into folios of a fixed number of pages. The only thing a folio needs to
-know about everything before it is how many words it starts at and how many words stand
-since the last flush, a number below the chunk size. Per folio we therefore compute the
+The units of a document are cut into folios of a fixed number of words, which may begin and end
+inside a page, so that neither many pages nor one huge page make a large task. The only thing a
+folio needs to know about everything before it is how many words it starts at and how many words
+stand since the last flush, a number below the chunk size. Per folio we therefore compute the
 table "words since flush on entry -> words since flush on exit"; tables compose, first
 within spans of folios, then over spans, which gives every folio its true entry. After that
 all folios find their flushes independently, and units and spans meet in a join on word
-ranges. No task ever holds more than one span of tables or one folio of units.
+ranges. Folios hold numbers only; no task ever holds more than one span of tables or the units
+of one page.
 """
 
 from __future__ import annotations
@@ -17,9 +19,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from pagewright.config import EngineConfig
+from pagewright.functions import text as tx
 from pagewright.functions.ordered import running_totals
+from pagewright.operators.units import unit_array
 from pagewright.session import materialize
 
 WORD_BUCKET = 4096
@@ -78,45 +83,73 @@ def _follow(tables: pd.Series, state: int) -> list[int]:
     return entries
 
 
-def pack_long_documents(units: DataFrame, cfg: EngineConfig) -> DataFrame:
-    target, overlap, per_span = cfg.chunk_size, cfg.chunk_overlap, cfg.folios_per_span
+@F.pandas_udf(ArrayType(LongType()))
+def _ends(lengths: pd.Series) -> pd.Series:
+    """Running totals of the lengths of each row's units."""
+    return lengths.map(lambda ns: np.cumsum(ns, dtype=np.int64))
 
-    folios = (
-        units.withColumn("folio", F.floor(F.col("page_number") / cfg.folio_pages).cast("long"))
-        .groupBy("document_id", "folio")
-        .agg(
-            F.min("filename").alias("filename"),
-            F.count("*").alias("pages_in_folio"),
-            F.array_sort(F.collect_list(F.struct("page_number", "units"))).alias("pages"),
-        )
-        .select(
-            "document_id",
-            "folio",
-            "filename",
-            "pages_in_folio",
-            F.flatten(F.col("pages.units")).alias("units"),
-            F.flatten(
-                F.transform("pages", lambda p: F.array_repeat(p["page_number"], F.size(p["units"])))
-            ).alias("unit_pages"),
-        )
-        .withColumn("words", F.aggregate("units", F.lit(0).cast("long"), lambda a, u: a + u["n"]))
-    )
-    folios = materialize(folios, "folios")
 
-    documents = folios.groupBy("document_id").agg(
+def _pages_with_units(pages: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """One row per page number, its units beside their lengths; equal numbers in order of text."""
+    per_page = pages.groupBy("document_id", "page_number").agg(
         F.min("filename").alias("filename"),
-        F.sum("pages_in_folio").cast("int").alias("document_page_count"),
-        F.max("folio").alias("last_folio"),
+        F.count("*").alias("copies"),
+        F.array_sort(F.collect_list(F.struct("text"))).alias("texts"),
     )
-    starts = running_totals(
-        folios.select("document_id", "folio", "words"), ["document_id"], "folio", {"words": "start"}, per_span
-    ).drop("words")
-    lengths = folios.select(
+    cut = per_page.select(
         "document_id",
-        "folio",
-        F.col("units.n").alias("ns"),
-        F.transform("units.kind", lambda k: k == "section").alias("sections"),
-    ).join(starts, ["document_id", "folio"])
+        "page_number",
+        "filename",
+        "copies",
+        F.flatten(
+            F.transform("texts", lambda t: unit_array(tx.normalize_text(F.coalesce(t["text"], F.lit(""))), cfg.chunk_size))
+        ).alias("units"),
+    )
+    measured = cut.withColumn("ns", F.col("units.n")).withColumn(
+        "sections", F.transform("units.kind", lambda k: k == "section")
+    )
+    measured = materialize(measured.withColumn("ends", _ends("ns")), "long-pages")
+    return measured.withColumn("words", F.coalesce(F.element_at(F.col("ends"), F.when(F.size("ends") > 0, -1)), F.lit(0)))
+
+
+def _folios(pages: DataFrame, places: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Lengths and kinds of the units that begin in each range of ``folio_words`` words."""
+    lengths = pages.select("document_id", "page_number", "ns", "sections", "ends").join(
+        places, ["document_id", "page_number"]
+    )
+    unit = F.transform(
+        "ns",
+        lambda n, i: F.struct(
+            (F.col("page_start") + F.get("ends", i) - n).alias("at"), n.alias("n"), F.get("sections", i).alias("section")
+        ),
+    )
+    return (
+        lengths.select("document_id", F.explode_outer(unit).alias("unit"))
+        .filter(F.col("unit").isNotNull())
+        .groupBy("document_id", F.floor(F.col("unit.at") / cfg.folio_words).cast("long").alias("folio"))
+        .agg(F.min("unit.at").alias("start"), F.array_sort(F.collect_list("unit")).alias("units"))
+        .select("document_id", "folio", "start", F.col("units.n").alias("ns"), F.col("units.section").alias("sections"))
+    )
+
+
+def _page_starts(pages: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Words before each page."""
+    words = pages.select("document_id", "page_number", "words")
+    starts = running_totals(words, ["document_id"], "page_number", {"words": "page_start"}, cfg.folios_per_span)
+    return materialize(starts.drop("words"), "page-starts")
+
+
+def pack_long_documents(pages: DataFrame, cfg: EngineConfig) -> DataFrame:
+    target, overlap, per_span = cfg.chunk_size, cfg.chunk_overlap, cfg.folios_per_span
+
+    pages = _pages_with_units(pages, cfg)
+    places = _page_starts(pages, cfg)
+    lengths = materialize(_folios(pages, places, cfg), "folios")
+
+    documents = pages.groupBy("document_id").agg(
+        F.min("filename").alias("filename"), F.sum("copies").cast("int").alias("document_page_count")
+    )
+    last = lengths.groupBy("document_id").agg(F.max("folio").alias("last_folio"))
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -176,7 +209,7 @@ def pack_long_documents(units: DataFrame, cfg: EngineConfig) -> DataFrame:
 
     spans = materialize(
         lengths.join(entries, ["document_id", "folio"])
-        .join(documents.select("document_id", "last_folio"), "document_id")
+        .join(last, "document_id")
         .mapInPandas(find_flushes, "document_id string, folio long, place int, b long, e long"),
         "folio-spans",
     )
@@ -190,33 +223,24 @@ def pack_long_documents(units: DataFrame, cfg: EngineConfig) -> DataFrame:
     chunks = spans.join(counted, ["document_id", "folio"]).select(
         "document_id", (F.col("earlier") + F.col("place") + 1).cast("int").alias("sequence"), "b", "e"
     )
-    return _assemble(folios, starts, documents, chunks, cfg)
+    return _assemble(pages.join(places, ["document_id", "page_number"]), documents, chunks, cfg)
 
 
-def _assemble(
-    folios: DataFrame, starts: DataFrame, documents: DataFrame, chunks: DataFrame, cfg: EngineConfig
-) -> DataFrame:
+def _assemble(pages: DataFrame, documents: DataFrame, chunks: DataFrame, cfg: EngineConfig) -> DataFrame:
     overlap = cfg.chunk_overlap
     longest_unit = max(cfg.chunk_size, LONGEST_HEADING_WORDS)
 
-    offsets = F.aggregate(
-        "units",
-        F.array(F.col("start")),
-        lambda out, u: F.array_append(out, F.element_at(out, -1) + u["n"]),
-    )
     unit_rows = (
-        folios.join(starts, ["document_id", "folio"])
-        .withColumn("at", offsets)
-        .select(
+        pages.select(
             "document_id",
             F.explode(
                 F.transform(
                     "units",
                     lambda u, i: F.struct(
-                        F.col("at")[i].alias("at"),
+                        (F.col("page_start") + F.get("ends", i) - u["n"]).alias("at"),
                         u["kind"].alias("kind"),
                         u["n"].alias("n"),
-                        F.col("unit_pages")[i].alias("page"),
+                        F.col("page_number").alias("page"),
                         u["text"].alias("text"),
                     ),
                 )
@@ -225,7 +249,7 @@ def _assemble(
         .withColumn("bucket", F.floor(F.col("unit.at") / WORD_BUCKET).cast("long"))
     )
     reach = F.greatest(F.col("b") - overlap - longest_unit, F.lit(0))
-    asking = chunks.join(documents.drop("last_folio"), "document_id").withColumn(
+    asking = chunks.join(documents, "document_id").withColumn(
         "bucket",
         F.explode(
             F.sequence(

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.config import EngineConfig
+from pagewright.operators import long_documents
 from pagewright.operators.chunking import chunk_documents
 from pagewright.operators.units import page_units
 from tests.brute_chunker import pack
@@ -64,18 +65,43 @@ def test_matches_brute_force(spark, target, overlap):
 
 
 @pytest.mark.parametrize(
-    "target,overlap,folio,span", [(12, 5, 1, 2), (12, 0, 2, 3), (30, 29, 1, 3), (60, 10, 3, 2), (500, 50, 1, 2)]
+    "target,overlap,folio,span", [(12, 5, 40, 2), (12, 0, 90, 3), (30, 29, 7, 3), (60, 10, 200, 2), (500, 50, 300, 2)]
 )
 def test_long_documents_match_brute_force(spark, target, overlap, folio, span):
     pages = spark.createDataFrame(
-        random_pages(folio * 100 + span, 12, 40), "document_id string, filename string, page_number int, text string"
+        random_pages(target * 100 + span, 12, 40), "document_id string, filename string, page_number int, text string"
     ).cache()
     cfg = EngineConfig(
-        chunk_size=target, chunk_overlap=overlap, long_document_pages=5, folio_pages=folio, folios_per_span=span
+        chunk_size=target, chunk_overlap=overlap, long_document_pages=5, folio_words=folio, folios_per_span=span
     )
     assert actual_chunks(chunk_documents(pages, cfg)) == expected_chunks(spark, pages, target, overlap)
 
 
+def test_one_huge_page_and_many_small_ones_match_brute_force(spark):
+    rng = random.Random(4)
+    huge = " ".join("Word" + " w" * rng.choice([1, 3, 8, 70]) + "." for _ in range(900))
+    rows = [("huge", "h.pdf", 1, "1.1 Part\n\n" + huge), ("huge", "h.pdf", 2, None), ("huge", "h.pdf", 3, "The end.")]
+    rows += [("many", "m.pdf", p, f"Page {p} says something. And more.") for p in range(1, 400)]
+    rows += [("twice", "t.pdf", 1, huge[:900]), ("twice", "t.pdf", 1, "Another first page."), ("blank", "b.pdf", 1, " " * 5000)]
+    pages = spark.createDataFrame(rows, "document_id string, filename string, page_number int, text string").cache()
+    plain = EngineConfig(chunk_size=40, chunk_overlap=10)
+    cut = EngineConfig(chunk_size=40, chunk_overlap=10, long_document_characters=500, folio_words=100, folios_per_span=7)
+    got = actual_chunks(chunk_documents(pages, cut))
+    assert got == actual_chunks(chunk_documents(pages, plain))
+    once = pages.filter("document_id <> 'twice'")
+    expected = expected_chunks(spark, once, 40, 10)
+    assert {k: v for k, v in got.items() if k[0] != "twice"} == expected
+
+
+def test_folios_begin_inside_a_page(spark):
+    words = " ".join(f"Sentence {i} of one page." for i in range(3000))
+    pages = spark.createDataFrame([("d", "d.pdf", 1, words)], "document_id string, filename string, page_number int, text string")
+    cfg = EngineConfig(chunk_size=50, chunk_overlap=5, folio_words=500)
+    cut = long_documents._pages_with_units(pages, cfg)
+    folios = long_documents._folios(cut, long_documents._page_starts(cut, cfg), cfg).orderBy("folio").collect()
+    assert len(folios) == 30 and all(sum(f.ns) == 500 and f.start == 500 * f.folio for f in folios)
+
+
 def test_documented_invariants(spark):
     sentence = " ".join
     one = sentence(f"This is sentence number {i} about the topic." for i in range(40))

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from pagewright.operators.embedding import (
     missing_vectors,
     validate_vectors,
 )
-from pagewright.operators.knn import accept, knn, rank_candidates
+from pagewright.operators.knn import _by_broadcast, _matrix, _nearest, accept, knn, rank_candidates
 
 Q = "question_id long, embedding array<float>"
 C = "chunk_id string, document_fingerprint string, sequence int, embedding array<float>"
@@ -58,10 +59,10 @@ def data(seed, n_questions, n_chunks, dim=8):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
-@pytest.mark.parametrize("grid", [False, True])
-def test_knn_is_exact(spark, metric, grid):
+@pytest.mark.parametrize("passes", [False, True])
+def test_knn_is_exact(spark, metric, passes):
     questions, chunks = data(5, 23, 300)
-    cfg = EngineConfig(broadcast_questions=5, question_block=7, corpus_shard=40) if grid else EngineConfig()
+    cfg = EngineConfig(broadcast_questions=8) if passes else EngineConfig()
     got = knn(
         spark.createDataFrame(questions, Q), spark.createDataFrame(chunks, C).repartition(7), 6, metric, cfg
     ).collect()
@@ -71,6 +72,25 @@ def test_knn_is_exact(spark, metric, grid):
     assert {q: sorted(v) for q, v in found.items()} == brute(questions, chunks, 6, metric)
 
 
+def test_passes_move_no_vectors(spark):
+    questions, chunks = data(6, 40, 200)
+    asked, corpus = spark.createDataFrame(questions, Q), spark.createDataFrame(chunks, C)
+    hits, shared = _by_broadcast(asked, corpus, 4, "cosine", False)
+    plan = _nearest(hits, 4)._jdf.queryExecution().executedPlan().toString()
+    dealt = plan[: plan.index("MapInArrow")]
+    assert plan.count("Exchange") == 1 and "Exchange" in dealt and "embedding" not in dealt
+    shared.destroy()
+
+
+def test_vectors_of_other_lengths_are_refused(spark):
+    with pytest.raises(ValueError):
+        _matrix(pa.array([[1.0, 2.0], [1.0], [1.0, 2.0, 3.0]], pa.list_(pa.float32())))
+    with pytest.raises(ValueError):
+        _matrix(pa.array([[1.0, 2.0], None], pa.list_(pa.float32())))
+    sliced = pa.array([[9.0, 9.0], [1.0, 2.0], [3.0, 4.0]], pa.list_(pa.float32())).slice(1)
+    assert _matrix(sliced).tolist() == [[1.0, 2.0], [3.0, 4.0]]
+
+
 def test_store_example(spark):
     chunks = spark.createDataFrame(
         [("a", "d1", 1, [1.0, 0.0]), ("b", "d1", 2, [0.0, 1.0]), ("c", "d2", 1, [1.0, 1.0])], C

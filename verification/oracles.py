@@ -547,6 +547,7 @@ ORACLES: dict[str, str] = {
     "document_chunks": chain(*CHUNKS) + CHUNK_SELECT,
     "long_document_chunks": chain(*CHUNKS) + CHUNK_SELECT,
     "single_page_chunks": chain(FIRST_COPIES, NORMAL, units(500), packed(500, 50)) + CHUNK_SELECT,
+    "long_page_chunks": chain(FIRST_COPIES, NORMAL, units(500), packed(500, 50)) + CHUNK_SELECT,
     "page_labels": chain(*CHUNKS)
     + "select chunk_id, case when start_page = end_page then 'p. ' || start_page "
     "else 'pp. ' || start_page || '–' || end_page end as label, "

@@ -131,7 +131,7 @@ def long_document_chunks(spark, sf_dir):
         chunk_size=fx.CFG.chunk_size,
         chunk_overlap=fx.CFG.chunk_overlap,
         long_document_pages=1,
-        folio_pages=2,
+        folio_words=150,
         folios_per_span=2,
     )
     return chunk_view(chunk_documents(fx.decorated_pages(spark, sf_dir), cfg))
@@ -146,6 +146,16 @@ def single_page_chunks(spark, sf_dir):
     return chunk_view(chunk_documents(kept, fx.EngineConfig()))
 
 
+@query
+def long_page_chunks(spark, sf_dir):
+    """The same documents, of which those of over 2 000 characters are cut inside their page."""
+    pages = fx.single_page_docs(spark, sf_dir)
+    first = first_uploads(pages.select("document_id", "upload_id"))
+    kept = pages.join(first.select("upload_id"), "upload_id", "left_semi")
+    cfg = fx.EngineConfig(long_document_characters=2_000, folio_words=1_000, folios_per_span=2)
+    return chunk_view(chunk_documents(kept, cfg))
+
+
 @query
 def page_labels(spark, sf_dir):
     return fx.chunks(spark, sf_dir).select(
@@ -323,8 +333,8 @@ for _metric in ("cosine", "l2", "ip"):
 
 @query
 def knn_grid(spark, sf_dir):
-    """The path for question tables too large to broadcast."""
-    cfg = fx.EngineConfig(broadcast_questions=1, question_block=200, corpus_shard=150)
+    """The way for question tables too large to broadcast at once: one pass per block."""
+    cfg = fx.EngineConfig(broadcast_questions=150)
     vectors = fx.vectors(spark, sf_dir)
     questions = vectors.select("question_id", "embedding")
     hits = knn(questions, vectors, fx.CFG.top_k, "cosine", cfg, exclude_self=True)
