@@ -196,3 +196,17 @@ def test_pairing_checks(spark):
     vectors = spark.createDataFrame([("a", "m"), ("b", "m"), ("b", "n")], "document_fingerprint string, model_id string")
     assert missing_vectors(chunks, vectors).count() == 2
     assert [r.document_fingerprint for r in mixed_models(vectors).collect()] == ["b"]
+
+
+def test_jobs_do_not_grow_with_blocks_of_questions(spark):
+    questions, chunks = data(8, 60, 150)
+    questions += [(1000 + i, v) for i, v in questions]  # copies are answered too
+    asked, corpus = spark.createDataFrame(questions, Q), spark.createDataFrame(chunks, C)
+    context = spark.sparkContext
+    context.setJobGroup("blocks-of-one", "")
+    try:
+        got = knn(asked, corpus, 4, "cosine", EngineConfig(broadcast_questions=1)).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, knn(asked, corpus, 4).collect()))
+    assert len(got) == 480 and len(context.statusTracker().getJobIdsForGroup("blocks-of-one")) < 60
