@@ -81,13 +81,14 @@ def retrieval_quality(results: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-def passages_in(chunks: DataFrame, passages: DataFrame, seed: int = 8) -> DataFrame:
+def passages_in(chunks: DataFrame, passages: DataFrame, seed: int = 8, broadcast_keys: int = 2_000_000) -> DataFrame:
     """Which documents hold which passages: distinct ``passage``, ``document_fingerprint``.
 
     ``chunks`` has ``chunk_id``, ``document_fingerprint`` and ``text``; ``passages`` has ``passage``. A passage
     is held where all its words stand in a chunk one after another. Windows of a chunk's words
     meet the first ``seed`` words of the passages by hash, shorter passages as a whole, and what
-    meets is compared word by word.
+    meets is compared word by word. Up to ``broadcast_keys`` hashes are broadcast, so that only the
+    windows that meet one are shuffled; beyond that all are.
     """
     wanted = passages.select("passage", tx.words(F.col("passage")).alias("wanted")).filter(F.size("wanted") > 0).distinct()
     wanted = wanted.withColumn("width", F.least(F.lit(seed), F.size("wanted")))
@@ -107,7 +108,11 @@ def passages_in(chunks: DataFrame, passages: DataFrame, seed: int = 8) -> DataFr
         return texts.limit(0).select(F.lit("").alias("passage"), "document_fingerprint")
     # Windows are many and narrow: they are sorted, never hashed in memory. Words follow later.
     found = texts.select("chunk_id", F.explode(F.concat(*[windows(w) for w in widths])).alias("window"))
-    found = found.select("chunk_id", "window.at", "window.key").hint("merge")
+    found = found.select("chunk_id", "window.at", "window.key")
+    keys = wanted.select("key").distinct()
+    if keys.count() <= broadcast_keys:
+        found = found.join(F.broadcast(keys), "key", "left_semi")
+    found = found.hint("merge")
     met = found.join(wanted.select("key", "passage"), "key").select("chunk_id", "at", "passage")
     met = met.join(texts, "chunk_id").join(wanted.select("passage", "wanted"), "passage")
     met = met.filter(F.slice("words", F.col("at") + 1, F.size("wanted")) == F.col("wanted"))

@@ -72,3 +72,15 @@ def test_passages_stand_word_by_word(spark):
     nine = "w3 w4 w5 w6 w7 w8 w9 w10 w11"
     assert found == {(long, "d1"), ("two three", "d1"), ("two three", "d3"), ("one  two", "d1"), ("one  two", "d3"), (nine, "d1"), (nine, "d2")}
     assert passages_in(chunks, passages.filter(F.lit(False))).collect() == []
+
+
+def test_windows_are_dropped_before_they_are_shuffled(spark):
+    chunks = spark.createDataFrame(
+        [(str(i), f"d{i % 3}", " ".join(f"w{(i * j) % 11}" for j in range(30))) for i in range(40)],
+        "chunk_id string, document_fingerprint string, text string",
+    )
+    passages = spark.createDataFrame([("w1 w2 w3",), ("w0 w5",), ("w7",), ("w9 w1 w1",)], "passage string")
+    found = passages_in(chunks, passages)
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in passages_in(chunks, passages, broadcast_keys=0).collect()}
+    assert found.count() > 0
