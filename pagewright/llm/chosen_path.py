@@ -135,6 +135,8 @@ def path_nodes(sketches: DataFrame, cfg: ChosenPath) -> DataFrame:
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         last = depth == cfg.deepest
         found = level.join(sizes if last else sizes.filter(F.col("size") <= cfg.large_node), "node").drop("size")
+        # Written, since joins whose skew was split differently fail when their union is read as one.
+        found = stored(found, "leaves")
         leaves = found if leaves is None else leaves.unionByName(found)
         large = sizes.filter(F.col("size") > cfg.large_node)
         if last or large.isEmpty():

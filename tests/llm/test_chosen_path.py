@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from pagewright.llm import set_links
 from pagewright.llm.chosen_path import ChosenPath, branch, first_of_each_group, near_duplicates
 from pagewright.llm.common import components
 from pagewright.llm.words import mix, shingle_sets, word_hashes
@@ -87,3 +88,31 @@ def test_recall_at_the_threshold_in_the_deepest_nodes(spark):
     found = {r.doc_id: r.component_id for r in near_duplicates(docs, ChosenPath(large_node=1)).collect()}
     linked = sum(found[2 * p + 1] == 2 * p for p in range(2000))
     assert linked >= 0.999 * 2000 and all(found[2 * p] == 2 * p for p in range(2000))
+
+
+def test_a_group_of_copies_with_strangers_is_not_compared_with_itself(spark, monkeypatch):
+    body = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{body} x{i}") for i in range(64)] + [(100 + i, " ".join(f"s{i}{j}" for j in range(20))) for i in range(3)]
+    rows.append((200, rows[100 - 36][1] + " end"))  # near a stranger, not the head
+    docs = spark.createDataFrame(rows, "id bigint, text string")
+    nodes = docs.selectExpr("1L as node", "id", "0L as head")
+    read, tiles = spark.sparkContext.accumulator(0), set_links._tiles
+
+    def counted(width, percent):
+        run = tiles(width, percent)
+
+        def counting(batches):
+            def each():
+                for batch in batches:
+                    read.add(batch.num_rows)
+                    yield batch
+
+            return run(each())
+
+        return counting
+
+    monkeypatch.setattr(set_links, "TILE_TEXTS", 4)
+    monkeypatch.setattr(set_links, "_tiles", counted)
+    found = set_links.link_within_nodes(nodes, set_links.texts_by_id(docs, nodes), lambda pairs: pairs, 5, 75, 2)
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(64)} | {(100, 100), (200, 100)}
+    assert 68 <= read.value <= 200  # in tiles of all members, each would be read 17 times
