@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pagewright.operators.embedding import (
     missing_vectors,
     validate_vectors,
 )
-from pagewright.operators.knn import _by_broadcast, _matrix, _nearest, accept, knn, rank_candidates
+from pagewright.operators.knn import _Asked, _by_broadcast, _exact, _matrix, _nearest, _Piece, accept, knn, rank_candidates
 
 Q = "question_id long, embedding array<float>"
 C = "chunk_id string, document_fingerprint string, sequence int, embedding array<float>"
@@ -210,3 +211,25 @@ def test_jobs_do_not_grow_with_blocks_of_questions(spark):
         context.setLocalProperty("spark.jobGroup.id", None)
     assert sorted(map(tuple, got)) == sorted(map(tuple, knn(asked, corpus, 4).collect()))
     assert len(got) == 480 and len(context.statusTracker().getJobIdsForGroup("blocks-of-one")) < 60
+
+
+def test_pieces_meet_in_blocks_that_fit_the_cache():
+    rng = np.random.default_rng(3)
+    asked, stored = (rng.normal(size=(2048, 32)).astype(np.float32) for _ in range(2))
+    stored[5], asked[9] = 0, 0
+    for metric in ("cosine", "l2", "ip"):
+        one = _Asked(np.arange(2048).tobytes(), asked.tobytes(), 3, metric)
+        for half in (0, 1):
+            rows = slice(1024 * half, 1024 * half + 1024)
+            numbers = np.arange(2048)[rows]
+            row = {"numbers": numbers.tobytes(), "vectors": stored[rows].tobytes(), "own": numbers.tobytes(), "owned": np.ones(1024, bool).tobytes()}
+            piece = _Piece(row, 3, metric, True)
+            tracemalloc.start()
+            one.meet(piece, metric, True)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert half == 0 or peak < 6 * 2**20  # all products at once hold 8 MB
+        for q in (0, 9, 700, 2047):
+            far = _exact(np.repeat(asked[q : q + 1], 2048, axis=0).astype(float), stored.astype(float), metric)
+            far[q] = np.inf
+            assert one.number[q].tolist() == np.lexsort((np.arange(2048), far))[:3].tolist()
