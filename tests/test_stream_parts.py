@@ -86,3 +86,21 @@ def test_a_batch_run_again_gives_what_it_gave(spark, tmp_path, stream):
     store, again = stream([page("u3", "c", 1, 1)])
     assert told <= again and again - told == {("u3", "indexed", None)}
     assert before == sorted(r.chunk_id for r in store.chunks().filter(F.col("document_fingerprint") != "c").collect())
+
+
+def test_steps_arrive_in_many_files(spark, monkeypatch, tmp_path):
+    from verification import queries
+
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: str(tmp_path / name))
+    rows = spark.range(0, 80, 1, 4).selectExpr("id", "id % 2 as step")
+    batches = []
+
+    def start(source, work):
+        def one_batch(batch, number):
+            batches.append(sorted(r.id for r in batch.collect()))
+
+        return source.writeStream.foreachBatch(one_batch).option("checkpointLocation", f"{work}/c").trigger(availableNow=True).start()
+
+    queries._in_steps(spark, rows, 2, start)
+    assert batches == [list(range(0, 80, 2)), list(range(1, 80, 2))]
+    assert len(list((tmp_path / "incoming").glob("*.parquet"))) == 8

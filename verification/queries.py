@@ -841,15 +841,23 @@ def event_counts(spark, sf_dir):
 # --- streaming ---------------------------------------------------------------------------------
 
 
+def _in_steps(spark, rows: DataFrame, steps: int, start) -> None:
+    """Rows arrive by their ``step``, a micro-batch each, in as many files as there are tasks: no
+    task writes a whole step. ``start`` takes the source and a folder; the stream goes on after each step."""
+    incoming, work = scratch_path(spark, "incoming"), scratch_path(spark, "stream")
+    for step in range(steps):
+        arriving = rows.filter(F.col("step") == step).drop("step")
+        arriving.write.mode("append").parquet(incoming)
+        start(spark.readStream.schema(arriving.schema).parquet(incoming), work).awaitTermination()
+
+
 @query
 def stream_ingest(spark, sf_dir):
     """Documents arriving in three steps; the store must equal the one-shot result."""
     pages = fx.decorated_pages(spark, sf_dir)
-    incoming, work = scratch_path(spark, "incoming"), scratch_path(spark, "stream")
-    pages.repartition(3, "document_id").write.parquet(incoming)
     store = _new_store(spark)
-    source = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
-    ingest_stream(source, store, f"{work}/checkpoint", f"{work}/reports", cfg=fx.CFG).awaitTermination()
+    dealt = pages.withColumn("step", F.pmod(F.xxhash64("document_id"), F.lit(3)))
+    _in_steps(spark, dealt, 3, lambda source, work: ingest_stream(source, store, f"{work}/checkpoint", f"{work}/reports", cfg=fx.CFG))
     return chunk_view(store.chunks())
 
 
@@ -861,13 +869,11 @@ def stream_split_documents(spark, sf_dir):
     counts = pages.groupBy("document_id").agg(F.max("page_number").alias("page_count"))
     parts = pages.join(counts, "document_id").withColumn("step", F.pmod(F.xxhash64("text", "page_number"), F.lit(3)))
     again = parts.filter("page_number = 1").withColumn("step", F.lit(2).cast("long"))
-    incoming, work = scratch_path(spark, "incoming"), scratch_path(spark, "stream")
-    for step in range(3):
-        both = parts.unionByName(again).filter(F.col("step") == step).drop("step")
-        both.coalesce(1).write.mode("append").parquet(incoming)
-    store, schema = _new_store(spark), spark.read.parquet(incoming).schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(incoming)
-    ingest_parts_stream(source, store, f"{work}/checkpoint", f"{work}/reports", cfg=fx.CFG).awaitTermination()
+    both, store = parts.unionByName(again), _new_store(spark)
+    _in_steps(
+        spark, both, 3,
+        lambda source, work: ingest_parts_stream(source, store, f"{work}/checkpoint", f"{work}/reports", cfg=fx.CFG),
+    )
     return chunk_view(store.chunks())
 
 
