@@ -212,3 +212,17 @@ def test_triage(spark):
 def test_configuration_is_checked(wrong):
     with pytest.raises(ValueError):
         EngineConfig(**wrong)
+
+
+def test_normalized_lines_need_no_stripping(spark):
+    raw = ["a \n  b　\n \n\n\nc  d\t\te", " \n", "", "x.\n   Y-\nz", "\n" * 50_000 + "A" + " " * 50_000 + "\n b"]
+    found = apply(spark, raw, lambda c: tx.normalized_lines(tx.normalize_text(c)))
+    assert found == [["a", "b", "c d e"], [], [], ["x.", "Y-", "z"], ["A", "b"]]
+    assert found == apply(spark, raw, lambda c: tx.lines(tx.normalize_text(c)))
+
+
+@pytest.mark.parametrize("line", ["é" * 140, "😀" * 70, "A" * 141, "😀" * 71, "1. " + "é" * 138])
+def test_heading_length_counts_utf16_units(spark, line):
+    short = len(line.encode("utf-16-le")) // 2 <= 140
+    expected = short and (line.upper() == line and any(c.isalpha() for c in line) or line.startswith("1."))
+    assert apply(spark, [line], lambda c: tx.is_section_heading(c, stripped=True)) == [expected]
