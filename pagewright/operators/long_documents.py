@@ -13,7 +13,8 @@ of one page.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ from pyspark.sql.types import ArrayType, LongType
 from pagewright.config import EngineConfig
 from pagewright.functions import text as tx
 from pagewright.functions.ordered import running_totals
+from pagewright.operators.chunking import flush_points
 from pagewright.operators.units import unit_array
 from pagewright.session import materialize
 
@@ -31,56 +33,107 @@ WORD_BUCKET = 4096
 LONGEST_HEADING_WORDS = 140
 
 
-def _step(since, words, n, section, target, overlap):
-    """One unit for an array of states: returns (flush before, flush after, new state)."""
-    kept = np.minimum(words - since, overlap)
-    before = (since > 0) & (section | (since + kept + n > target))
-    since = np.where(before, 0, since)
-    kept = np.minimum(words - since, overlap)
-    since = since + n
-    after = since + kept >= target
-    return before, after, np.where(after, 0, since)
-
-
 def exit_table(ns, sections, start, target, overlap):
-    """Exit state for each entry state; states that have met are carried on as one."""
+    """Exit state for each entry state.
+
+    A state is the word of the last flush. Whatever flushes at a unit are the states up to a
+    bound, which only grows, and they meet in one new state behind all others: a queue, in which
+    every state is looked at once. The entry states are consecutive words, so those that have
+    flushed are a range.
+    """
     words = int(start)
+    lowest = max(words - target + 1, 0)
+    size = words - lowest + 1
+    taken, ranges = 0, []
+    made, into, live = [], [], deque()
+
+    def flush(bound: int, at: int) -> None:
+        nonlocal taken
+        reached = min(bound - lowest + 1, size)
+        if reached <= taken and not (live and made[live[0]] <= bound):
+            return
+        if not live or made[live[-1]] != at:
+            made.append(at)
+            into.append(-1)
+            live.append(len(made) - 1)
+        if reached > taken:
+            ranges.append((taken, reached, live[-1]))
+            taken = reached
+        while made[live[0]] <= bound:
+            into[live[0]] = live[-1]
+            live.popleft()
+
+    for n, section in zip(ns.tolist(), sections.tolist(), strict=True):
+        # The buffer holds the words since the flush and, before it, up to ``overlap`` of the rest.
+        over = words + n - target
+        if section:
+            flush(words - 1, words)
+        elif over > 0:
+            flush(min(words, over + overlap) - 1, words)
+        words += n
+        if over >= 0:
+            flush(over + overlap, words)
+    for node in range(len(made) - 1, -1, -1):
+        if into[node] >= 0:
+            made[node] = made[into[node]]
+    last = np.arange(lowest, lowest + size)
+    for low, high, node in ranges:
+        last[low:high] = made[node]
     # No more words can stand since a flush than the document has had so far.
-    states = np.minimum(np.arange(target, dtype=np.int64), words)
-    index = np.arange(target)
-    for n, section in zip(ns, sections, strict=True):
-        states = _step(states, words, int(n), bool(section), target, overlap)[2]
-        words += int(n)
-        if len(states) > 1:
-            states, inverse = np.unique(states, return_inverse=True)
-            index = inverse[index]
-    return states[index].astype(np.int32)
+    return (words - last[np.maximum(size - 1 - np.arange(target), 0)]).astype(np.int32)
 
 
 def flushes(ns, sections, start, since, target, overlap, last):
     """Word spans ``(b, e)`` flushed inside one folio, given its true entry state."""
-    state, words, out = np.array([since], dtype=np.int64), int(start), []
-    b = words - int(since)
-    for n, section in zip(ns, sections, strict=True):
-        before, after, state = _step(state, words, int(n), bool(section), target, overlap)
-        if before[0]:
-            out.append((b, words))
-            b = words
-        words += int(n)
-        if after[0]:
-            out.append((b, words))
-            b = words
-    if last and words > b:
-        out.append((b, words))
-    return out
-
-
-def _follow(tables: pd.Series, state: int) -> list[int]:
-    entries = []
-    for table in tables:
-        entries.append(state)
-        state = int(table[state])
-    return entries
+    points, since, words = flush_points(ns.tolist(), sections.tolist(), int(start), int(since), target, overlap)
+    out = [(b, e) for b, e, _ in points]
+    return [*out, (words - since, words)] if last and since else out
+
+
+def _ordered(df: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """Groups side by side, each in order. A Python function then reads them as they stream by: no
+    task holds a group, and a group costs no call of its own, of which short documents need many."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, position)
+
+
+def _compose(target: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The exit table of each span from those of its folios, which come in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, table = None, None
+        for pdf in batches:
+            done = []
+            for r in pdf.itertuples(index=False):
+                if key != (r.document_id, r.span):
+                    done += [] if key is None else [(*key, table)]
+                    key, table = (r.document_id, r.span), np.arange(target, dtype=np.int32)
+                table = np.asarray(r.exits, dtype=np.int32)[table]
+            yield pd.DataFrame(done, columns=["document_id", "span", "exits"])
+        if key is not None:
+            yield pd.DataFrame([(*key, table)], columns=["document_id", "span", "exits"])
+
+    return run
+
+
+def _follow(
+    group: list[str], number: str, first: str | None, state: str
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The state on entry to each row of a group, whose rows come in order: ``first`` names the
+    column with that of its first row (none: 0)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, now = None, 0
+        for pdf in batches:
+            entries = []
+            starts = pdf[first] if first else [0] * len(pdf)
+            for found, start, exits in zip(zip(*[pdf[g] for g in group], strict=True), starts, pdf["exits"], strict=True):
+                if key != found:
+                    key, now = found, int(start)
+                entries.append(now)
+                now = int(exits[now])
+            yield pdf[["document_id", number]].assign(**{state: entries})
+
+    return run
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -170,33 +223,14 @@ def pack_long_documents(pages: DataFrame, cfg: EngineConfig) -> DataFrame:
         "folio-exits",
     )
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = np.arange(target)
-        for exits_of_folio in pdf.sort_values("folio")["exits"]:
-            table = np.asarray(exits_of_folio)[table]
-        first = pdf.iloc[0]
-        return pd.DataFrame(
-            {"document_id": [first.document_id], "span": [first.span], "exits": [table.astype(np.int32)]}
-        )
-
-    def span_entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("span")
-        return pdf[["document_id", "span"]].assign(entry=_follow(pdf["exits"], 0))
-
-    def folio_entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("folio")
-        return pdf[["document_id", "folio"]].assign(since=_follow(pdf["exits"], int(pdf["entry"].iloc[0])))
-
-    by_span = (
-        exits.groupBy("document_id", "span")
-        .applyInPandas(compose, "document_id string, span long, exits array<int>")
-        .groupBy("document_id")
-        .applyInPandas(span_entries, "document_id string, span long, entry int")
+    spans_of = _ordered(exits, ["document_id", "span"], "folio").mapInPandas(
+        _compose(target), "document_id string, span long, exits array<int>"
+    )
+    by_span = _ordered(spans_of, ["document_id"], "span").mapInPandas(
+        _follow(["document_id"], "span", None, "entry"), "document_id string, span long, entry int"
     )
-    entries = (
-        exits.join(by_span, ["document_id", "span"])
-        .groupBy("document_id", "span")
-        .applyInPandas(folio_entries, "document_id string, folio long, since int")
+    entries = _ordered(exits.join(by_span, ["document_id", "span"]), ["document_id", "span"], "folio").mapInPandas(
+        _follow(["document_id", "span"], "folio", "entry", "since"), "document_id string, folio long, since int"
     )
 
     def find_flushes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.config import EngineConfig
 from pagewright.operators import long_documents
-from pagewright.operators.chunking import chunk_documents
+from pagewright.operators.chunking import chunk_documents, flush_points
 from pagewright.operators.units import page_units
 from tests.brute_chunker import pack
 
@@ -138,3 +140,32 @@ def test_short_document_plan_has_one_shuffle(spark, sf_dir):
     plan = chunk_documents(pages, EngineConfig())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "lang" not in plan
+
+
+def test_exit_tables_agree_with_the_fold():
+    rng = random.Random(4)
+    for _ in range(300):
+        target = rng.choice([1, 5, 12, 60])
+        overlap, start = rng.randint(0, target - 1), rng.choice([0, 3, 59, 1000])
+        ns = np.array([rng.randint(1, target + 2) for _ in range(rng.randint(0, 30))], dtype=np.int64)
+        sections = np.array([rng.random() < 0.1 for _ in ns], dtype=bool)
+        expected = [
+            flush_points(ns.tolist(), sections.tolist(), start, min(s, start), target, overlap)[1] for s in range(target)
+        ]
+        assert long_documents.exit_table(ns, sections, start, target, overlap).tolist() == expected
+
+
+def test_spans_and_entries_are_carried_over_batches():
+    """Groups stream by, and one may begin in one batch and end in the next."""
+    folios = pd.DataFrame(
+        [("a", 0, 0, [1, 2, 0]), ("a", 0, 1, [2, 0, 1]), ("a", 1, 2, [0, 0, 0]), ("b", 0, 0, [2, 2, 2])],
+        columns=["document_id", "span", "folio", "exits"],
+    )
+    for cut in range(5):
+        batches = [folios[:cut], folios[cut:]]
+        spans = pd.concat(long_documents._compose(3)(iter(batches)))
+        told = [(r.document_id, r.span, list(r.exits)) for r in spans.itertuples()]
+        assert told == [("a", 0, [0, 1, 2]), ("a", 1, [0, 0, 0]), ("b", 0, [2, 2, 2])]
+        entered = [b.assign(entry=[1, 1, 2, 0][b.index.start : b.index.stop]) for b in batches]
+        found = pd.concat(long_documents._follow(["document_id", "span"], "folio", "entry", "since")(iter(entered)))
+        assert found["since"].tolist() == [1, 2, 2, 0]
