@@ -154,3 +154,19 @@ def test_one_even_position(spark):
     df = spark.createDataFrame([(5, 1), (5, 2), (1, 1)], "total int, lim int")
     rows = df.select(even_positions(F.col("total"), F.col("lim")).alias("p")).collect()
     assert [r.p for r in rows] == [[0], [0, 4], [0]]
+
+
+def test_named_documents_are_looked_up_before_their_chunks(spark, store, monkeypatch):
+    store.append(chunk_rows(spark, EXAMPLE), "one")
+    moved, write = [], store._write_chunks
+    monkeypatch.setattr(store, "_write_chunks", lambda df, path: (moved.append(df), write(df, path)))
+    same = chunk_rows(spark, EXAMPLE)
+    store.append(same, "again", documents=same)
+    assert not moved and codes(store, "again") == {(d, "DOCUMENT_ALREADY_INDEXED") for d in ("d1", "d2")}
+    new = chunk_rows(spark, [("n", "d9", 1, [0.0, 2.0])])
+    store.append(new, "new", documents=new)
+    assert "Join" not in moved[-1]._jdf.queryExecution().optimizedPlan().toString()
+    both = chunk_rows(spark, [*EXAMPLE, ("m", "d8", 1, [2.0, 0.0])])
+    store.append(both, "both", documents=both)
+    assert ids(store.chunks()) == ["a", "b", "c", "m", "n"] and len(moved) == 2
+    assert codes(store, "both") == {(d, "DOCUMENT_ALREADY_INDEXED") for d in ("d1", "d2")}
