@@ -1,7 +1,7 @@
 """Attaching vectors to texts.
 
 An embedder is a function from a list of texts to a list of vectors. It runs in
-``mapInPandas`` over partitions of Spark's choosing; load models lazily inside the function
+Arrow batches over partitions of Spark's choosing; load models lazily inside the function
 so that each Python worker loads them once.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +21,8 @@ from pagewright.functions import text as tx
 from pagewright.functions import vectors as vx
 
 HASH_DIMENSION = 128
-_TOKEN = re.compile(r"[a-z0-9]+")
+HASH_BLOCK = 256 * 1024
+_GAP = re.compile(r"[^a-z0-9]")
 
 
 @dataclass(frozen=True)
@@ -49,39 +50,62 @@ EMBEDDING_STATUSES = {
 _CODE = re.compile(r"EMBEDDING_[A-Z_]+")
 
 
-class _BucketCache(dict):
-    """Token buckets, computed once per worker; refilled when it outgrows its bound."""
+# Powers of 31 modulo 128; they repeat after four.
+_POWERS = np.array([1, 31, 65, 95], dtype=np.uint8)
+_IN_TOKEN = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
 
-    LIMIT = 1_000_000
 
-    def __missing__(self, token: str) -> int:
-        bucket = 0
-        for ch in token:
-            bucket = (bucket * 31 + ord(ch)) % HASH_DIMENSION
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[token] = bucket
-        return bucket
+def _pieces(texts: Sequence[str]) -> Iterator[list[tuple[int, str]]]:
+    """Groups of numbered texts of about ``HASH_BLOCK`` characters. Longer texts are cut between tokens."""
+    group, size = [], 0
+    for number, text in enumerate(texts):
+        start = 0
+        while start < len(text):
+            gap = _GAP.search(text, start + HASH_BLOCK)
+            end = gap.start() if gap else len(text)
+            group.append((number, text[start:end]))
+            size, start = size + end - start, end
+            if size >= HASH_BLOCK:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
 
 
-_buckets = _BucketCache()
+def _bucket_counts(group: list[tuple[int, str]]) -> np.ndarray:
+    """Tokens per bucket, a row for each number from the group's first to its last.
+
+    The bucket of a token is the sum of its characters times falling powers of 31. With every
+    character weighted by its place in the whole group, it is a difference of running sums;
+    bytes that overflow keep it modulo 128.
+    """
+    numbers = np.array([number for number, _ in group]) - group[0][0]
+    starts = np.cumsum([1] + [len(piece) + 1 for _, piece in group])
+    chars = np.frombuffer(f" {' '.join(piece for _, piece in group)} ".encode("ascii", "replace"), dtype=np.uint8)
+    inside = _IN_TOKEN[chars]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    before, last = edges[0::2], edges[1::2]
+    weighted = chars.copy()
+    for place in (1, 2, 3):
+        weighted[place::4] *= _POWERS[4 - place]
+    sums = np.cumsum(weighted, dtype=np.uint8)
+    buckets = (sums[last] - sums[before]) * _POWERS[last % 4] % HASH_DIMENSION
+    tokens = np.diff(np.searchsorted(last, starts))
+    bins = np.repeat(numbers, tokens) * HASH_DIMENSION + buckets
+    return np.bincount(bins, minlength=(numbers[-1] + 1) * HASH_DIMENSION).reshape(-1, HASH_DIMENSION)
 
 
 def hash_embed_texts(texts: Sequence[str]) -> list[np.ndarray]:
     """Hashed bag of words with 128 buckets, scaled to unit length.
 
-    Texts are expected in lower case; ``embed`` lower-cases them in the JVM.
+    Texts are expected in lower case; ``embed`` lower-cases them in the JVM. Nothing is kept
+    between calls, and beside the vectors a call holds one block of characters.
     """
-    vectors = []
-    for text in texts:
-        tokens = _TOKEN.findall(text)
-        counts = np.bincount([_buckets[t] for t in tokens], minlength=HASH_DIMENSION) if tokens else None
-        if counts is None:
-            vectors.append(np.zeros(HASH_DIMENSION, dtype=np.float32))
-            continue
-        counts = counts.astype(np.float64)
-        vectors.append((counts / np.sqrt((counts * counts).sum())).astype(np.float32))
-    return vectors
+    counts = np.zeros((len(texts), HASH_DIMENSION))
+    for group in _pieces(texts):
+        counts[group[0][0] : group[-1][0] + 1] += _bucket_counts(group)
+    norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    return list(np.divide(counts, norms, out=counts, where=norms > 0).astype(np.float32))
 
 
 def hash_embedder() -> Embedder:
@@ -131,21 +155,24 @@ def embed(df: DataFrame, text_column: str, embedder: Embedder, refuse_blank: boo
     batch = embedder.batch
     result = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("code", T.StringType())])
 
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            values = texts.tolist()
-            out: list = []
-            for start in range(0, len(values), batch):
-                part = values[start : start + batch]
-                asked = [t for t in part if t or not refuse_blank]
-                found = iter(embed_each(asked, embedder) if asked else [])
-                out += [next(found) if t or not refuse_blank else "EMPTY_EMBEDDING_INPUT" for t in part]
-            failed = [v if isinstance(v, str) else None for v in out]
-            good = [None if isinstance(v, str) else v for v in out]
-            yield pd.DataFrame({"vector": pd.Series(good, dtype=object), "code": pd.Series(failed, dtype=object)})
+    def batch_vectors(texts: pa.Array) -> pa.Array:
+        out: list = []
+        # Texts stay in Arrow until their call; only those of one call are Python strings.
+        for start in range(0, len(texts), batch):
+            part = texts.slice(start, batch).to_pylist()
+            asked = [t for t in part if t or not refuse_blank]
+            found = iter(embed_each(asked, embedder) if asked else [])
+            out += [next(found) if t or not refuse_blank else "EMPTY_EMBEDDING_INPUT" for t in part]
+        failed = pa.array([v if isinstance(v, str) else None for v in out], pa.string())
+        good = pa.array([None if isinstance(v, str) else v for v in out], pa.list_(pa.float32()))
+        return pa.StructArray.from_arrays([good, failed], names=["vector", "code"])
+
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # Holds no batch while the next one is read.
+        return map(batch_vectors, batches)
 
     # Only the text to embed crosses into Python; the other columns pass through Arrow.
-    made = df.withColumn("_made", F.pandas_udf(vectors, result)(text))
+    made = df.withColumn("_made", F.arrow_udf(vectors, result)(text))
     model = F.coalesce(F.concat(F.lit(FAILED), F.col("_made.code")), F.lit(embedder.model_id))
     return made.withColumn("embedding", F.col("_made.vector")).withColumn("model_id", model).drop("_made")
 

@@ -1,6 +1,8 @@
 import math
 import random
+import re
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -9,11 +11,13 @@ from pyspark.sql import functions as F
 
 from pagewright.config import EngineConfig
 from pagewright.functions import vectors as vx
+from pagewright.operators import embedding
 from pagewright.operators.embedding import (
     Embedder,
     embed,
     embed_each,
     embedding_errors,
+    hash_embed_texts,
     hash_embedder,
     mixed_models,
     missing_vectors,
@@ -126,6 +130,39 @@ def test_hash_embedding_agrees_with_native_buckets(spark, sf_dir):
         assert np.array_equal(np.array(r.embedding, dtype=np.float32), expected)
 
 
+def test_hash_embedding_keeps_no_tokens():
+    texts = [" ".join(f"t{i}x{j}" for j in range(2000)) for i in range(200)]
+    tracemalloc.start()
+    hash_embed_texts(texts)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 1_000_000 and peak < 12_000_000
+
+
+@pytest.mark.parametrize("block", [1, 4, embedding.HASH_BLOCK])
+def test_hash_embedding_in_blocks(monkeypatch, block):
+    monkeypatch.setattr(embedding, "HASH_BLOCK", block)
+    long = 2 * block
+    texts = ["", "a", "", "ab  z9-ab", "é1ü a😀b", " \n", "q7" * long + " r", "one two " * long, "", "end"]
+    got = hash_embed_texts(texts)
+    assert len(got) == len(texts) and hash_embed_texts([]) == []
+    for text, vector in zip(texts, got):
+        counts = np.zeros(128)
+        for token, times in Counter(re.findall("[a-z0-9]+", text)).items():
+            bucket = 0
+            for ch in token:
+                bucket = (bucket * 31 + ord(ch)) % 128
+            counts[bucket] += times
+        norm = np.sqrt((counts * counts).sum())
+        expected = (counts / norm if norm else counts).astype(np.float32)
+        assert vector.dtype == np.float32 and np.array_equal(vector, expected)
+
+
+def test_embedding_of_no_rows(spark):
+    none = spark.createDataFrame([], "id int, text string")
+    assert embed(none, "text", hash_embedder(), refuse_blank=True).collect() == []
+
+
 def test_user_embedder_batches_and_counts(spark):
     df = spark.createDataFrame([(i, f" text {i} ") for i in range(40)], "id int, text string")
 
