@@ -23,7 +23,19 @@ from pagewright.operators.embedding import (
     missing_vectors,
     validate_vectors,
 )
-from pagewright.operators.knn import _Asked, _by_broadcast, _exact, _matrix, _nearest, _Piece, accept, knn, rank_candidates
+from pagewright.operators.knn import (
+    _Asked,
+    _by_broadcast,
+    _exact,
+    _matrix,
+    _nearest,
+    _Piece,
+    _places,
+    _sent_once,
+    accept,
+    knn,
+    rank_candidates,
+)
 
 Q = "question_id long, embedding array<float>"
 C = "chunk_id string, document_fingerprint string, sequence int, embedding array<float>"
@@ -270,3 +282,24 @@ def test_pieces_meet_in_blocks_that_fit_the_cache():
             far = _exact(np.repeat(asked[q : q + 1], 2048, axis=0).astype(float), stored.astype(float), metric)
             far[q] = np.inf
             assert one.number[q].tolist() == np.lexsort((np.arange(2048), far))[:3].tolist()
+
+
+def test_bytes_of_a_piece_reach_a_task_once(spark):
+    """Six pieces of chunks in two tasks' shares meet five of questions in one."""
+    chunks = spark.range(6).select(*[F.lit(b"c").alias(c) for c in ("numbers", "vectors", "own", "owned")])
+    asked = spark.range(5).select(F.lit(b"q").alias("ids"), F.lit(b"q").alias("asked"))
+    chunks = chunks.repartition(2).withColumn("piece", F.monotonically_increasing_id())
+    asked = asked.repartition(1).withColumn("place", F.monotonically_increasing_id())
+    pairs = _sent_once(chunks.crossJoin(asked.hint("shuffle_replicate_nl"))).cache()
+    tasks = pairs.select(F.shiftright("piece", 33).alias("task")).distinct().count()
+    assert pairs.count() == 30 and pairs.filter("vectors is not null").count() == 6
+    assert pairs.filter("numbers is not null").count() == 6
+    assert pairs.filter("asked is not null").count() == pairs.filter("ids is not null").count() == 5 * tasks
+
+
+def test_places_of_near_pairs():
+    rng = np.random.default_rng(3)
+    for shape in ((1, 1), (3, 5), (8, 16), (7, 100)):
+        for share in (0.0, 0.1, 1.0):
+            keep = rng.random(shape) < share
+            assert _places(keep).tolist() == np.flatnonzero(keep).tolist()
