@@ -2,9 +2,12 @@
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagewright.config import EngineConfig
+from pagewright.operators import evaluation
 from pagewright.operators.embedding import Embedder
 from pagewright.operators.evaluation import passages_in
 from pagewright.plans.ingest import ingest, ingest_files
@@ -84,3 +87,21 @@ def test_windows_are_dropped_before_they_are_shuffled(spark):
     assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in passages_in(chunks, passages, broadcast_keys=0).collect()}
     assert found.count() > 0
+
+
+def test_windows_that_meet_no_passage_become_no_rows():
+    texts = ["größe x größe y", "", "a b c d", "x", "b c größe x"]
+    batch = pa.record_batch([pa.array(["d1", "d2", "d3", "d4", "d5"]), pa.array(texts)], ["document_fingerprint", "text"])
+    wanted = pa.record_batch([pa.array(["p", "q", "r"]), pa.array(["größe x", "b c d e", "x"])], ["passage", "wanted"])
+    told = [r for b in evaluation._with_keys(2)(iter([wanted])) for r in b.to_pylist()]
+    assert [(r["words"], r["width"]) for r in told] == [(2, 2), (4, 2), (1, 1)]
+    bits = np.zeros((1 << 26) // 64, np.uint64)
+    for r in told:
+        bit = r["key"] % 2**64 >> 38
+        bits[bit >> 6] |= np.uint64(1 << (bit & 63))
+    rows = [r for b in evaluation._windows([1, 2], 3, bits)(iter([batch])) for r in b.to_pylist()]
+    keys = {r["key"]: r["passage"] for r in told}
+    assert sorted((r["document_fingerprint"], keys[r["key"]], r["said"]) for r in rows) == [
+        ("d1", "p", "größe x größe"), ("d1", "r", "x größe y"), ("d3", "q", "b c d"), ("d4", "r", "x"),
+        ("d5", "p", "größe x"), ("d5", "q", "b c größe"), ("d5", "r", "x"),
+    ]
