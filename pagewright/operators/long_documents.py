@@ -18,9 +18,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from pagewright.config import EngineConfig
 from pagewright.functions import text as tx
@@ -30,7 +31,7 @@ from pagewright.operators.units import unit_array
 from pagewright.session import materialize
 
 WORD_BUCKET = 4096
-LONGEST_HEADING_WORDS = 140
+ASKED_AT_ONCE = 1024
 
 
 def exit_table(ns, sections, start, target, overlap):
@@ -189,7 +190,7 @@ def _page_starts(pages: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Words before each page."""
     words = pages.select("document_id", "page_number", "words")
     starts = running_totals(words, ["document_id"], "page_number", {"words": "page_start"}, cfg.folios_per_span)
-    return materialize(starts.drop("words"), "page-starts")
+    return materialize(starts, "page-starts")
 
 
 def pack_long_documents(pages: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -257,47 +258,72 @@ def pack_long_documents(pages: DataFrame, cfg: EngineConfig) -> DataFrame:
     chunks = spans.join(counted, ["document_id", "folio"]).select(
         "document_id", (F.col("earlier") + F.col("place") + 1).cast("int").alias("sequence"), "b", "e"
     )
-    return _assemble(pages.join(places, ["document_id", "page_number"]), documents, chunks, cfg)
+    return _assemble(pages, places, documents, chunks, cfg)
 
 
-def _assemble(pages: DataFrame, documents: DataFrame, chunks: DataFrame, cfg: EngineConfig) -> DataFrame:
-    overlap = cfg.chunk_overlap
-    longest_unit = max(cfg.chunk_size, LONGEST_HEADING_WORDS)
-
-    unit_rows = (
-        pages.select(
-            "document_id",
-            F.explode(
-                F.transform(
-                    "units",
-                    lambda u, i: F.struct(
-                        (F.col("page_start") + F.get("ends", i) - u["n"]).alias("at"),
-                        u["kind"].alias("kind"),
-                        u["n"].alias("n"),
-                        F.col("page_number").alias("page"),
-                        u["text"].alias("text"),
-                    ),
-                )
-            ).alias("unit"),
-        )
-        .withColumn("bucket", F.floor(F.col("unit.at") / WORD_BUCKET).cast("long"))
-    )
-    reach = F.greatest(F.col("b") - overlap - longest_unit, F.lit(0))
-    asking = chunks.join(documents, "document_id").withColumn(
-        "bucket",
-        F.explode(
-            F.sequence(
-                F.floor(reach / WORD_BUCKET).cast("long"),
-                F.floor((F.col("e") - 1) / WORD_BUCKET).cast("long"),
-            )
-        ),
+def _asked_of_pages(places: DataFrame, documents: DataFrame, chunks: DataFrame, overlap: int) -> DataFrame:
+    """Per page, the chunks that hold words of it: numbers only, which meet by ranges of words."""
+
+    def buckets(first: Column, behind: Column) -> Column:
+        return F.explode(F.sequence(F.floor(first / WORD_BUCKET).cast("long"), F.floor((behind - 1) / WORD_BUCKET).cast("long")))
+
+    behind = F.col("page_start") + F.col("words")
+    spans = places.filter("words > 0").withColumn("bucket", buckets(F.col("page_start"), behind))
+    chunks = chunks.withColumn("since", F.greatest(F.col("b") - overlap, F.lit(0)))
+    asking = chunks.withColumn("bucket", buckets(F.col("since"), F.col("e")))
+    first = F.floor(F.greatest("page_start", "since") / WORD_BUCKET)  # a page and a chunk may share many
+    met = spans.join(asking, ["document_id", "bucket"]).filter(
+        (F.col("page_start") < F.col("e")) & (behind > F.col("since")) & (F.col("bucket") == first)
     )
-    met = unit_rows.join(asking, ["document_id", "bucket"]).filter(
-        (F.col("unit.at") < F.col("e")) & (F.col("unit.at") + F.col("unit.n") > F.col("b") - overlap)
+    # A page with very many chunks meets some of them at a time.
+    asked = met.groupBy("document_id", "page_number", F.floor(F.col("sequence") / ASKED_AT_ONCE).alias("block")).agg(
+        F.first("page_start").alias("page_start"),
+        F.first("words").alias("words"),
+        F.collect_list(F.struct("sequence", "b", "e", "since")).alias("asked"),
     )
-    gathered = met.groupBy(
-        "document_id", "filename", "document_page_count", "sequence", "b", "e"
-    ).agg(F.array_sort(F.collect_list("unit")).alias("units"))
+    return asked.drop("block").join(documents, "document_id")
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("first", IntegerType()), StructField("stop", IntegerType())])))
+def _unit_ranges(ends: pa.Array, page_start: pa.Array, since: pa.Array, e: pa.Array) -> pa.Array:
+    """Of the units of each page, which of them begin before the end of each chunk and end behind its start."""
+    out = []
+    for at, start, lows, highs in zip(ends, page_start.to_numpy(), since, e, strict=True):
+        at = at.values.to_numpy() + start
+        first = np.searchsorted(at, lows.values.to_numpy(), "right")
+        stop = np.searchsorted(np.append(start, at[:-1]), highs.values.to_numpy(), "left")
+        out.append([{"first": i, "stop": j} for i, j in zip(first.tolist(), stop.tolist(), strict=True)])
+    return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())])))
+
+
+def _assemble(pages: DataFrame, places: DataFrame, documents: DataFrame, chunks: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Texts of the chunks. Pages meet the numbers of their chunks, and a chunk inside one page is
+    put together there; only the units of those that reach over pages are shuffled once more."""
+    overlap = cfg.chunk_overlap
+    asked = _asked_of_pages(places, documents, chunks, overlap)
+    texts = pages.select("document_id", "page_number", "units", "ends").join(asked, ["document_id", "page_number"])
+    ranges = _unit_ranges("ends", "page_start", "asked.since", "asked.e")
+
+    def unit(j: Column) -> Column:
+        u = F.get("units", j)
+        at = F.col("page_start") + F.get("ends", j) - u["n"]
+        page = F.col("page_number").alias("page")
+        return F.struct(at.alias("at"), u["kind"].alias("kind"), u["n"].alias("n"), page, u["text"].alias("text"))
+
+    def piece(ask: Column, i: Column) -> Column:
+        found = F.get("ranges", i)
+        inside = (ask["since"] >= F.col("page_start")) & (ask["e"] <= F.col("page_start") + F.col("words"))
+        return F.struct(
+            ask["sequence"].alias("sequence"), ask["b"].alias("b"), ask["e"].alias("e"), inside.alias("inside"),
+            F.transform(F.sequence(found["first"], found["stop"] - 1), unit).alias("units"),
+        )
+
+    told = ["document_id", "filename", "document_page_count"]
+    pieces = texts.withColumn("ranges", ranges).select(*told, F.explode_outer(F.transform("asked", piece)).alias("piece"))
+    pieces = pieces.select(*told, "piece.*")
+    parts = pieces.filter("not inside").groupBy(*told, "sequence", "b", "e")
+    over_pages = parts.agg(F.array_sort(F.flatten(F.collect_list("units"))).alias("units"))
+    gathered = pieces.filter("inside").drop("inside").unionByName(over_pages)
     split = gathered.withColumn("own", F.filter("units", lambda u: u["at"] >= F.col("b"))).withColumn(
         "prior", F.filter("units", lambda u: u["at"] < F.col("b"))
     )

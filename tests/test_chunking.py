@@ -95,6 +95,39 @@ def test_one_huge_page_and_many_small_ones_match_brute_force(spark):
     assert {k: v for k, v in got.items() if k[0] != "twice"} == expected
 
 
+def test_pages_meet_the_numbers_of_their_chunks_once(spark, monkeypatch):
+    monkeypatch.setattr(long_documents, "WORD_BUCKET", 16)
+    monkeypatch.setattr(long_documents, "ASKED_AT_ONCE", 4)
+    rng = random.Random(6)
+    places, spans = [], []
+    for document in ("a", "b"):
+        start = 0
+        for page in range(1, 30):
+            words = rng.choice([0, 1, 5, 40, 200])
+            places.append((document, page, start, words))
+            start += words
+        b = 0
+        while b < start:
+            e = min(start, b + rng.randint(1, 60))
+            spans.append((document, len(spans) + 1, b, e))
+            b = e
+    told = spark.createDataFrame([("a", "a.pdf", 29), ("b", "b.pdf", 29)], "document_id string, filename string, document_page_count int")
+    asked = long_documents._asked_of_pages(
+        spark.createDataFrame(places, "document_id string, page_number int, page_start long, words long"),
+        told,
+        spark.createDataFrame(spans, "document_id string, sequence int, b long, e long"),
+        7,
+    ).collect()
+    got = sorted((r.document_id, r.page_number, a.sequence) for r in asked for a in r.asked)
+    assert got == sorted(
+        (d, page, n)
+        for d, page, start, words in places
+        for other, n, b, e in spans
+        if d == other and words and start < e and start + words > max(b - 7, 0)
+    )
+    assert all(len(r.asked) <= 4 and r.filename == f"{r.document_id}.pdf" for r in asked)
+
+
 def test_folios_begin_inside_a_page(spark):
     words = " ".join(f"Sentence {i} of one page." for i in range(3000))
     pages = spark.createDataFrame([("d", "d.pdf", 1, words)], "document_id string, filename string, page_number int, text string")
